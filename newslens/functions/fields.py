@@ -20,6 +20,14 @@ def packed_date(packed: Column) -> Column:
     return F.make_date(year.cast("int"), month.cast("int"), dom.cast("int"))
 
 
+def packed_instant(packed: Column) -> Column:
+    """Integer ``YYYYMMDDHHMMSS`` in UTC to TIMESTAMP, whatever the session time zone."""
+    clock = packed % 10**6
+    seconds = _div(clock, 10000) * 3600 + _div(clock, 100) % 100 * 60 + clock % 100
+    days = F.unix_date(packed_date(packed)).cast("bigint")
+    return F.timestamp_seconds(days * 86400 + seconds)
+
+
 def first_tone(packed: Column, strict: bool = True) -> Column:
     """First number of the comma-packed tone. Strict raises on text that is no number, else NULL."""
     head = F.substring_index(packed, ",", 1)

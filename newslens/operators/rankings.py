@@ -27,13 +27,17 @@ def country_tone(cube: DataFrame) -> DataFrame:
 
 
 def country_share(cube: DataFrame, k: int = 30) -> DataFrame:
-    """Top countries by articles, with their share of the shown total and of all articles."""
+    """Top countries by articles, with their share of the shown total and of all articles.
+
+    The mean tone divides by all articles of a country, also those of days without any tone.
+    """
+    total = F.sum("article_count")
     shown = (
         cube.filter(F.col("article_count") > 0)
         .groupBy("country_iso3")
         .agg(
-            F.sum("article_count").alias("total_articles"),
-            tone.weighted_tone().alias("mean_tone"),
+            total.alias("total_articles"),
+            (F.sum(F.col("avg_tone") * F.col("article_count")) / total).alias("mean_tone"),
         )
         .withColumn("_all", F.sum("total_articles").over(Window.partitionBy()))
         .orderBy(F.desc("total_articles"), "country_iso3")

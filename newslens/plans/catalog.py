@@ -134,7 +134,7 @@ def read_json_artifact(spark, folder):
     path = storage.scratch_folder(spark, "timeline")
     _tidy(_timeline(spark, folder)).write.json(path)
     schema = "date DATE, avg_tone DOUBLE, article_count BIGINT"
-    return datasets.read_json_artifact(spark, path, T._parse_datatype_string(schema))
+    return datasets.read_json_artifact(spark, path, schema, lines=True)
 
 
 def country_names(spark, folder):
@@ -499,8 +499,8 @@ def overview_series(spark, folder):
 def incremental_daily_sentiment(spark, folder):
     work = storage.scratch_folder(spark, "stream")
     events = w.event_articles(spark, folder).withColumn(
-        "event_time", w.packed_timestamp(F.col("DATE"))
-    ).withColumn("DocumentIdentifier", F.concat_ws("/", "DocumentIdentifier", "DATE"))
+        "DocumentIdentifier", F.concat_ws("/", "DocumentIdentifier", "DATE")
+    )
     events.write.parquet(f"{work}/in")
     return _tidy(daily_stream.run_available(
         spark, f"{work}/in", events.schema, f"{work}/out", f"{work}/checkpoint"

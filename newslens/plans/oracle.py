@@ -36,7 +36,7 @@ ART = """art AS MATERIALIZED (
       WHEN 3 THEN 'café ' || p_name || ' ' || kind || ' ' || p_size
       WHEN 4 THEN p_name || ' ' || kind || ' back in stock'
     END AS words,
-    CASE WHEN NOT (linenumber = 6 AND l_discount < 0.05) THEN amount::VARCHAR END AS tone_text,
+    CASE WHEN NOT (linenumber = 6 AND l_discount < 0.05) THEN amount END AS tone_text,
     CASE WHEN NOT (linenumber = 6 AND l_discount < 0.05) THEN amount::DOUBLE END AS tone,
     (year(date) * 10000 + month(date) * 100 + day(date))::BIGINT * 1000000
       + linenumber * 10000 + 3015 AS packed,
@@ -46,7 +46,8 @@ ART = """art AS MATERIALIZED (
     SELECT l.*, p.*, s.*, l_linenumber AS linenumber, CAST(l_shipdate AS DATE) AS date,
       s_nationkey AS nation, replace(p_name, ' ', '-') AS dashed, lower(p_type) AS kind,
       split_part(p_brand, '#', 2) AS brand_no, split_part(p_name, ' ', 1) AS word1,
-      CAST(round((l_extendedprice - 50000.0) / 7777.7, 10) AS DECIMAL(20,10)) AS amount,
+      CAST(CAST(CAST(round((l_extendedprice - 50000.0) * 100) AS BIGINT) * 1285737123 AS DECIMAL(20,0))
+        * CAST('0.000000000000001' AS DECIMAL(16,15)) AS VARCHAR) AS amount,
       ['FRA','DEU','GBR','USA',NULL,NULL,'TUV','ITA','ESP','JPN','CHN','IND','BRA','CAN','AUS',
        NULL,'TUR','KOR','UKR','RUS','POL','SWE','IRL','ZAF','MEX'] AS iso_list,
       ['fr','de','co.uk','us','com','net','tv','it','es','jp','cn','in','br','ca','au',
@@ -59,7 +60,8 @@ EVENT_ART = """event_art AS MATERIALIZED (
     (['FRA','DEU','GBR','USA',NULL,NULL,'TUV','ITA','ESP','JPN','CHN','IND','BRA','CAN','AUS',
       NULL,'TUR','KOR','UKR','RUS','POL','SWE','IRL','ZAF','MEX'])[(user_id % 25 + 1)::INT] AS iso,
     user_id || '/' || event_type AS doc, ts,
-    CAST(CAST(round((value - 20.0) / 7.7777, 10) AS DECIMAL(20,10)) AS DOUBLE) AS tone
+    CAST(CAST(CAST(CAST(round((value * 1000 - 20000.0) * 100) AS BIGINT) * 1285737123 AS DECIMAL(20,0))
+      * CAST('0.000000000000001' AS DECIMAL(16,15)) AS VARCHAR) AS DOUBLE) AS tone
   FROM events)"""
 
 
@@ -117,8 +119,7 @@ country AS MATERIALIZED (
 def _title_sql(text: str) -> str:
     """Capitalize each blank-separated word."""
     return (
-        f"array_to_string(list_transform(string_split({text}, ' '), "
-        "w -> upper(w[1]) || lower(w[2:])), ' ')"
+        f"array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split({text}, ' ')], ' ')"
     )
 
 
@@ -226,7 +227,7 @@ def _smooth(rows, window, keys="", part=""):
 def _frames(rows: str, days: int, start: str) -> str:
     return f"""SELECT date, country_iso3, round(mass / total, 8) AS avg_tone,
   floor(total / least({days}, date_diff('day', {start}, date) + 1) + 0.5)::BIGINT AS article_count
-FROM (SELECT date, country_iso3, sum(avg_tone * article_count) OVER w AS mass, sum(article_count) OVER w AS total
+FROM (SELECT date, country_iso3, sum(avg_tone * article_count) OVER w AS mass, sum(article_count) FILTER (avg_tone IS NOT NULL) OVER w AS total
   FROM {rows} WINDOW w AS (PARTITION BY country_iso3 ORDER BY date
     RANGE BETWEEN INTERVAL {days - 1} DAY PRECEDING AND CURRENT ROW))
 WHERE total > 0 AND mass IS NOT NULL"""
@@ -382,7 +383,7 @@ FROM mention_rows GROUP BY ALL""")
     sql["country_share"] = _with(CUBE + f""",
 totals AS (
   SELECT country_iso3, {VOLUME} AS total_articles,
-    sum(avg_tone * article_count) / sum(article_count) FILTER (avg_tone IS NOT NULL) AS mean_tone
+    sum(avg_tone * article_count) / sum(article_count) AS mean_tone
   FROM cube WHERE article_count > 0 GROUP BY country_iso3),
 shown AS (SELECT * FROM totals ORDER BY total_articles DESC, country_iso3 LIMIT 12)""",
         """SELECT country_iso3, total_articles, round(mean_tone, 8) AS mean_tone,

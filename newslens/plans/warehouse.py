@@ -12,6 +12,8 @@ NATION_TLDS = (
     "fr de co.uk us com net tv it es jp cn in br ca au org tr kr ua ru pl se ie za mx"
 ).split()
 
+TONE_FACTOR = 1_285_737_123  # tone steps of 1e-15 per cent of price
+
 # Eras that fit the years of the warehouse.
 BOUNDARIES = (
     "1995-01-01", "1996-07-01", "1998-01-01", "1999-01-01", "2000-01-01", "2002-01-01",
@@ -33,9 +35,14 @@ def _packed(date: Column, time_of_day: Column) -> Column:
     return day.cast("bigint") * 1_000_000 + time_of_day
 
 
-def _tone_text(value: Column) -> Column:
-    number = F.round(value, 10).cast("decimal(20,10)").cast("string")
-    return F.concat(number, F.lit(",1.5,2.5,4.0,20.1,0.5,310"))
+def _tone_text(amount: Column, origin: float) -> Column:
+    """Packed tone whose first number is ``(amount - origin) * 0.0001285737123``, as exact text.
+
+    Fifteen decimals keep averages away from the rounding ties that few decimals produce.
+    """
+    cents = F.round((amount - F.lit(origin)) * 100).cast("bigint") * F.lit(TONE_FACTOR)
+    number = cents.cast("decimal(20,0)") * F.lit("0.000000000000001").cast("decimal(16,15)")
+    return F.concat(number.cast("string"), F.lit(",1.5,2.5,4.0,20.1,0.5,310"))
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +101,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         F.when(col("l_linenumber") != 7, url).alias("DocumentIdentifier"),
         F.when(
             ~((col("l_linenumber") == 6) & (col("l_discount") < 0.05)),
-            _tone_text((col("l_extendedprice") - 50000.0) / 7777.7),
+            _tone_text(col("l_extendedprice"), 50000.0),
         ).alias("V2Tone"),
         F.concat(
             F.when(odd, F.upper("p_brand")).otherwise(col("p_brand")), F.lit(","), offset,
@@ -121,7 +128,7 @@ def event_articles(spark: SparkSession, folder: str) -> DataFrame:
         _packed(F.col("ts"), F.hour("ts") * 10_000 + F.minute("ts") * 100 + F.second("ts")).alias("DATE"),
         F.concat(F.lit("daily."), tld).alias("SourceCommonName"),
         F.concat_ws("/", F.lit("https://wire.example"), "user_id", "event_type").alias("DocumentIdentifier"),
-        _tone_text((F.col("value") - 20.0) / 7.7777).alias("V2Tone"),
+        _tone_text(F.col("value") * 1000, 20000.0).alias("V2Tone"),
         F.col("ts").cast("date").alias("partition_date"),
     )
 
@@ -146,7 +153,3 @@ NATION_ISO3 = (
     "FRA", "DEU", "GBR", "USA", None, None, "TUV", "ITA", "ESP", "JPN", "CHN", "IND", "BRA",
     "CAN", "AUS", None, "TUR", "KOR", "UKR", "RUS", "POL", "SWE", "IRL", "ZAF", "MEX",
 )
-
-
-def packed_timestamp(packed: Column) -> Column:
-    return F.to_timestamp_ntz(packed.cast("string"), F.lit("yyyyMMddHHmmss"))

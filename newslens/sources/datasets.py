@@ -52,10 +52,10 @@ def write_articles(feed: DataFrame, folder: str, topic: str) -> str:
 
 
 def read_json_artifact(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False
 ) -> DataFrame:
-    """A JSON document, an array of rows or JSON Lines, possibly spread over several lines."""
-    reader = spark.read.option("multiLine", True)
+    """An exported JSON document or array of rows; ``lines`` for JSON Lines, which Spark can split."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -11,21 +11,23 @@ from newslens.operators import filters, geo
 
 
 def daily_sentiment_stream(articles: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Mean tone and articles per day and country of a streaming article table.
+    """Mean tone and articles per UTC day and country of a streaming article table.
 
-    Needs an ``event_time`` column. A repeated article within the lateness is dropped; a day is
+    A repeated article within the lateness is dropped; a day is
     emitted once the watermark has passed its end.
     """
     toned = (
-        articles.withWatermark("event_time", lateness)
+        articles.withColumn("event_time", fields.packed_instant(F.col("DATE")))
+        .withWatermark("event_time", lateness)
         .dropDuplicatesWithinWatermark(["DocumentIdentifier"])
         .withColumn("tone", fields.first_tone(F.col("V2Tone"), strict=False))
     )
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("day.start") / 86400).cast("int"))
     return (
         filters.valid_country(geo.outlet_country(toned))
         .groupBy(F.window("event_time", "1 day").alias("day"), "country_iso3")
         .agg(F.avg("tone").alias("avg_tone"), F.count("*").alias("article_count"))
-        .select(F.col("day.start").cast("date").alias("date"), "country_iso3", "avg_tone", "article_count")
+        .select(day.alias("date"), "country_iso3", "avg_tone", "article_count")
     )
 
 
