@@ -21,13 +21,15 @@ def daily_country_sentiment(df: DataFrame, key: str = "DocumentIdentifier") -> D
 
 
 def date_country_spine(daily: DataFrame) -> DataFrame:
-    """Every day of the observed range for every observed country."""
-    first = daily.select(F.min("date")).scalar()
-    last = daily.select(F.max("date")).scalar()
-    return (
-        daily.select("country_iso3")
-        .distinct()
-        .select(F.explode(F.sequence(first, last)).alias("date"), "country_iso3")
+    """Every day of the observed range for every observed country.
+
+    The range is taken over one row per country, so ``daily`` is computed once.
+    """
+    seen = daily.groupBy("country_iso3").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    countries = Window.partitionBy()
+    days = F.sequence(F.min("first").over(countries), F.max("last").over(countries))
+    return seen.select("country_iso3", days.alias("days")).select(
+        F.explode("days").alias("date"), "country_iso3"
     )
 
 

@@ -65,32 +65,50 @@ def _entries(df: DataFrame, signals: list[Signal], *carry: str) -> DataFrame:
     )
 
 
+def entry_counts(df: DataFrame, signals: list[Signal] | None = None) -> DataFrame:
+    """Mentions per raw entry, with its key and name. Needs ``country_iso3`` and ``era``.
+
+    Raw entries are counted first (with map-side partial sums, so a hot entry does not burden one
+    task) and only the distinct ones are cleaned, so the label regexes run once per distinct entry
+    instead of once per mention. Spellings of one key are still apart. A dropped entry has NULLs
+    as key, name and count: a filter here would be moved below the count, and the regexes with it.
+    """
+    signals = [s for s in signals or default_signals() if s.column in df.columns]
+    if not signals:
+        return _no_mentions(df)
+    keys = ["signal", "country_iso3", "era"]
+    return (
+        _entries(df, signals, "country_iso3", "era")
+        .groupBy(*keys, "raw")
+        .agg(F.count("*").alias("n"))
+        .withColumn("name", _per_signal(signals, lambda s: s.label(F.col("raw"))))
+        .select(
+            *keys,
+            F.lower("name").alias("key"),
+            "name",
+            F.when(F.col("name").isNotNull(), F.col("n")).alias("count"),
+        )
+    )
+
+
 def mention_counts(
     df: DataFrame, signals: list[Signal] | None = None, distinct_articles: bool = False
 ) -> DataFrame:
     """Mentions per (signal, country, era, key). Needs ``country_iso3`` and ``era``.
 
-    A signal whose column is missing is skipped. Raw entries are counted first (with map-side
-    partial sums, so a hot entry does not burden one task) and only the distinct ones are
-    cleaned, so the label regexes run once per distinct entry instead of once per mention. The
-    display name is the smallest spelling. ``distinct_articles`` counts articles instead.
+    A signal whose column is missing is skipped. The display name is the smallest spelling.
+    ``distinct_articles`` counts articles instead of mentions.
     """
     signals = [s for s in signals or default_signals() if s.column in df.columns]
-    if not signals:
-        return _no_mentions(df)
-    keys = ["signal", "country_iso3", "era"]
-    if distinct_articles:
+    if distinct_articles and signals:
         entries = _entries(df, signals, "country_iso3", "era", "DocumentIdentifier")
-        raw, count = entries, F.count_distinct("DocumentIdentifier")
+        counted = entries.withColumn("name", _per_signal(signals, lambda s: s.label(F.col("raw"))))
+        key, count = F.lower("name"), F.count_distinct("DocumentIdentifier")
     else:
-        entries = _entries(df, signals, "country_iso3", "era")
-        raw, count = entries.groupBy(*keys, "raw").agg(F.count("*").alias("n")), F.sum("n")
-    # Dropped entries have no name and meet in one NULL group. Testing the aggregated name, and
-    # not the label itself, keeps the optimizer from moving the regexes below the first count.
+        counted, key, count = entry_counts(df, signals), F.col("key"), F.sum("count")
     return (
-        raw.withColumn("_name", _per_signal(signals, lambda s: s.label(F.col("raw"))))
-        .groupBy(*keys, F.lower("_name").alias("key"))
-        .agg(F.min("_name").alias("name"), count.alias("count"))
+        counted.groupBy("signal", "country_iso3", "era", key.alias("key"))
+        .agg(F.min("name").alias("name"), count.alias("count"))
         .filter(F.col("name").isNotNull())
     )
 
@@ -137,6 +155,7 @@ def topic_rollup(mentions: DataFrame, with_totals: bool = False) -> DataFrame:
     ]
     if with_totals:
         grains.append(["signal", "country_iso3"])
+    # Entry counts hold their dropped entries in NULL groups, which end here without a count.
     scope = (
         F.when(F.grouping("key") == 1, "total")
         .when(F.grouping("country_iso3") == 1, "global")
@@ -152,7 +171,10 @@ def topic_rollup(mentions: DataFrame, with_totals: bool = False) -> DataFrame:
             scope.alias("scope"),
             F.when(F.grouping("era") == 1, "all").otherwise(F.col("era").cast("string")).alias("bucket"),
         )
-        .filter((F.col("scope") == "global") | fields.valid_country(F.col("country_iso3")))
+        .filter(
+            F.col("count").isNotNull()
+            & ((F.col("scope") == "global") | fields.valid_country(F.col("country_iso3")))
+        )
         .select("scope", "country_iso3", "bucket", "signal", "key", "name", "count")
     )
 
@@ -172,7 +194,7 @@ def ranked_topics(
     threshold: int = MIN_COUNTRY_MENTIONS,
     signal: str = "orgs",
 ) -> DataFrame:
-    """Rollup, top n and country threshold in one pass over the mentions."""
+    """Rollup, top n and country threshold in one pass over mention or entry counts."""
     top = top_n_per_group(topic_rollup(mentions, with_totals=True), n)
     is_total = (F.col("scope") == "total") & (F.col("signal") == signal)
     country_total = F.max(F.when(is_total, F.col("count"))).over(Window.partitionBy("country_iso3"))

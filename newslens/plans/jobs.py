@@ -47,8 +47,12 @@ def build_topics(
     signals = [
         s for s in topics.default_signals(keywords, org_stops) if s.column in raw.columns
     ]
-    mentions = topics.mention_counts(
-        topic_articles(raw, boundaries, outlets), signals, distinct_articles
+    articles = topic_articles(raw, boundaries, outlets)
+    # The rollup adds spellings up anyway, so plain mentions go to it without a merge of their own.
+    mentions = (
+        topics.mention_counts(articles, signals, distinct_articles=True)
+        if distinct_articles
+        else topics.entry_counts(articles, signals)
     )
     reference = signals[0].name if signals else "orgs"
     return topics.ranked_topics(mentions, n, threshold, reference)
