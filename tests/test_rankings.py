@@ -1,0 +1,69 @@
+import datetime as dt
+
+from newslens import schemas
+from newslens.operators import rankings
+
+
+def cube(spark, rows):
+    return spark.createDataFrame([(dt.date.fromisoformat(d), c, t, n) for d, c, t, n in rows], schemas.COVERAGE)
+
+
+def test_opinion_changers(spark):
+    rows = []
+    for i in range(12):
+        rows += [("2018-01-01", f"C{i:02}", 0.0, 100), ("2022-01-01", f"C{i:02}", float(-i), 100)]
+    rows += [("2018-01-01", "LOW", 0.0, 99), ("2022-01-01", "LOW", -50.0, 100)]
+    got = rankings.opinion_changers(cube(spark, rows)).collect()
+    worsened = sorted((r for r in got if r.direction == "worsened"), key=lambda r: r["rank"])
+    improved = sorted((r for r in got if r.direction == "improved"), key=lambda r: r["rank"])
+    assert len(worsened) == len(improved) == 10
+    assert [r.country_iso3 for r in worsened] == [f"C{i:02}" for i in range(11, 1, -1)]
+    # Only a rank label: nine of the ten improved ones fell.
+    assert [r.country_iso3 for r in improved] == [f"C{i:02}" for i in range(10)]
+    assert all(r.delta == r.late - r.early for r in got)
+    assert [r.delta for r in worsened] == sorted(r.delta for r in worsened)
+    assert [r.delta for r in improved] == sorted((r.delta for r in improved), reverse=True)
+
+
+def test_pos_neg_and_scale(spark):
+    rows = [("2020-01-01", f"C{i:02}", float(i - 3), 100) for i in range(6)] + [("2020-01-01", "LOW", 90.0, 99)]
+    both = rankings.pos_neg_countries(cube(spark, rows), k=2)
+    found = {(r.side, r["rank"]): r.country_iso3 for r in both.collect()}
+    assert found == {
+        ("most_negative", 1): "C00", ("most_negative", 2): "C01",
+        ("most_positive", 1): "C05", ("most_positive", 2): "C04",
+    }
+    assert rankings.union_scale(both).first().scale == 3.0
+    assert rankings.union_scale(both.limit(0)).first().scale == 0.5
+
+
+def test_share(spark):
+    rows = [("2020-01-01", "FRA", 1.0, 60), ("2020-01-02", "FRA", None, 30), ("2020-01-01", "DEU", 2.0, 10), ("2020-01-01", "ITA", 5.0, 0)]
+    got = {r.country_iso3: r for r in rankings.country_share(cube(spark, rows), 1).collect()}
+    assert got["FRA"].pct == 100.0 and got["FRA"].pct_of_all == 90.0
+    assert got["FRA"].mean_tone == 60 / 90 and len(got) == 1
+
+
+def test_headline(spark):
+    rows = [("2020-01-01", "FRA", 1.0, 3), ("2020-01-05", "DEU", 2.0, 1), ("2020-01-09", "ITA", None, 0)]
+    assert rankings.headline(cube(spark, rows)).first() == (4, 2, 1.25, "2020-01-01 to 2020-01-05")
+
+
+def test_era_rankings(spark, rows):
+    data = [("2016-01-01", "FRA", 1.0, 500), ("2016-01-01", "DEU", 1.0, 900), ("2016-01-01", "ITA", -3.0, 5),
+            ("2016-02-01", "ITA", -1.0, 195), ("2021-01-01", "FRA", 2.0, 100)]
+    stats = rankings.era_countries(cube(spark, data))
+    assert rows(stats) == [(0, "DEU", 1.0, 900), (0, "FRA", 1.0, 500), (0, "ITA", -1.05, 200), (2, "FRA", 2.0, 100)]
+    published = {r.era: r for r in rankings.era_extremes_published(stats, 300).collect()}
+    assert published[0].most_negative == "DEU" and 2 not in published
+    loud = {r.era: r for r in rankings.era_extremes_topvol(stats, 2).collect()}
+    # Equal tones: the country with more articles wins at both ends.
+    assert (loud[0].most_negative, loud[0].most_positive) == ("DEU", "DEU")
+    top = rankings.top8_by_tone(stats, 2).filter("era = 0").collect()
+    assert [r.country_iso3 for r in top] == ["DEU", "FRA"]
+
+
+def test_first_match_and_top_k(spark):
+    data = cube(spark, [("2020-01-01", "FRA", 1.0, 2), ("2020-01-01", "FRA", 0.0, 9), ("2020-01-02", "FRA", 5.0, 1)])
+    assert {r.avg_tone for r in rankings.first_match(data, ["date"], ["avg_tone"]).collect()} == {0.0, 5.0}
+    assert [r.article_count for r in rankings.top_k(data, 2, "article_count").collect()] == [1, 2]
