@@ -1,4 +1,4 @@
-"""Readable names of topic codes. Each function gives NULL for an entry to drop."""
+"""Keys and readable names of topic entries. NULL marks an entry to drop."""
 
 import re
 
@@ -22,27 +22,31 @@ def theme_family_kept(
     return keep
 
 
-def theme_label(
+def theme_key(
     code: Column,
     drop_prefixes=dims.THEME_DROP_PREFIXES,
     strip_prefixes=dims.THEME_STRIP_PREFIXES,
     stop_labels=dims.THEME_STOP_LABELS,
 ) -> Column:
-    """Theme code to label: ``ECON_STOCKMARKET`` becomes ``Stockmarket``."""
+    """Theme code to lower-case label: ``ECON_STOCKMARKET`` becomes ``stockmarket``."""
     stripped = F.regexp_replace(code, "^(" + "|".join(map(re.escape, strip_prefixes)) + ")", "")
-    label = title_case(trimmed(F.translate(stripped, "_", " ")))
+    key = F.lower(trimmed(F.translate(stripped, "_", " ")))
     return F.when(
         theme_family_kept(code, drop_prefixes)
         & ~code.rlike(r"\d")
-        & (F.char_length(label) >= MIN_THEME_LENGTH)
-        & (F.size(F.split(label, " ")) <= MAX_THEME_WORDS)
-        & ~F.lower(label).isin(*stop_labels),
-        label,
+        & (F.char_length(key) >= MIN_THEME_LENGTH)
+        & (F.size(F.split(key, " ")) <= MAX_THEME_WORDS)
+        & ~key.isin(*stop_labels),
+        key,
     )
 
 
-def org_name(raw: Column, stops=dims.ORG_STOPS) -> Column:
-    """Organisation name, unless it is too short or on the stop list."""
-    name = trimmed(raw)
-    key = F.lower(name)
-    return F.when((F.char_length(key) >= MIN_ORG_LENGTH) & ~key.isin(*stops), name)
+def theme_label(code: Column, **rules) -> Column:
+    """Readable theme: ``ECON_STOCKMARKET`` becomes ``Stockmarket``."""
+    return title_case(theme_key(code, **rules))
+
+
+def org_key(raw: Column, stops=dims.ORG_STOPS) -> Column:
+    """Lower-case organisation, unless it is too short or on the stop list."""
+    key = F.lower(trimmed(raw))
+    return F.when((F.char_length(key) >= MIN_ORG_LENGTH) & ~key.isin(*stops), key)

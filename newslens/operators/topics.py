@@ -19,23 +19,29 @@ BASE_SIZE, SIZE_RANGE = 10, 22
 
 @dataclass(frozen=True)
 class Signal:
-    """A ``name,offset;name,offset`` column and the function that turns a raw entry into a label.
+    """A ``name,offset;name,offset`` column and how its entries are cleaned.
 
-    ``label`` gives NULL for entries to drop. ``keep`` is a cheap test on the raw entry that runs
-    before the first aggregation.
+    ``key`` turns a trimmed raw entry into its grouping key, or NULL to drop it. ``display`` makes
+    the shown name from the key; without it the smallest raw spelling is shown. ``keep`` is a
+    cheap test on the untrimmed entry that runs before anything is counted; it may let entries
+    pass that ``key`` drops.
     """
 
     name: str
     column: str
-    label: Callable[[Column], Column]
-    keep: Callable[[Column], Column] = lambda raw: F.lit(True)
+    key: Callable[[Column], Column]
+    display: Callable[[Column], Column] | None = None
+    keep: Callable[[Column], Column] = lambda entry: F.lit(True)
+
+    def shown(self, key: Column, spelling: Column) -> Column:
+        return self.display(key) if self.display else F.when(key.isNotNull(), spelling)
 
 
 def default_signals(keywords=(), org_stops=None) -> list[Signal]:
     stops = dims.org_stops(keywords) if org_stops is None else list(org_stops)
     return [
-        Signal("orgs", "V2Organizations", lambda raw: labels.org_name(raw, stops)),
-        Signal("themes", "V2Themes", labels.theme_label, labels.theme_family_kept),
+        Signal("orgs", "V2Organizations", lambda raw: labels.org_key(raw, stops)),
+        Signal("themes", "V2Themes", labels.theme_key, fields.title_case, labels.theme_family_kept),
     ]
 
 
@@ -51,25 +57,25 @@ def _entries(df: DataFrame, signals: list[Signal], *carry: str) -> DataFrame:
     packed = F.inline(F.array(*[
         F.struct(F.lit(s.name).alias("signal"), F.col(s.column).alias("packed")) for s in signals
     ]))
-    # Cut the offsets off inside the array: the exploded ``raw`` is then a plain column, and the
-    # tests below do not repeat its parsing.
-    raw = F.transform(
-        F.split("packed", ";"), lambda entry: fields.trimmed(F.substring_index(entry, ",", 1))
-    )
     return (
         df.select(*carry, packed)
         .filter(F.col("packed").isNotNull())
-        .select(*carry, "signal", F.explode(raw).alias("raw"))
-        .filter(F.col("raw") != "")
-        .filter(_per_signal(signals, lambda s: s.keep(F.col("raw"))))
+        .select(*carry, "signal", F.explode(F.split("packed", ";")).alias("entry"))
+        .filter(_per_signal(signals, lambda s: s.keep(F.col("entry"))))
+        .select(*carry, "signal", fields.trimmed(F.substring_index("entry", ",", 1)).alias("raw"))
     )
 
 
+def _with_key(entries: DataFrame, signals: list[Signal]) -> DataFrame:
+    key = _per_signal(signals, lambda s: s.key(F.col("raw")))
+    return entries.withColumn("key", F.when(F.col("raw") != "", key))
+
+
 def entry_counts(df: DataFrame, signals: list[Signal] | None = None) -> DataFrame:
     """Mentions per raw entry, with its key and name. Needs ``country_iso3`` and ``era``.
 
     Raw entries are counted first (with map-side partial sums, so a hot entry does not burden one
-    task) and only the distinct ones are cleaned, so the label regexes run once per distinct entry
+    task) and only the distinct ones are cleaned, so the regexes run once per distinct entry
     instead of once per mention. Spellings of one key are still apart. A dropped entry has NULLs
     as key, name and count: a filter here would be moved below the count, and the regexes with it.
     """
@@ -77,17 +83,14 @@ def entry_counts(df: DataFrame, signals: list[Signal] | None = None) -> DataFram
     if not signals:
         return _no_mentions(df)
     keys = ["signal", "country_iso3", "era"]
-    return (
-        _entries(df, signals, "country_iso3", "era")
-        .groupBy(*keys, "raw")
-        .agg(F.count("*").alias("n"))
-        .withColumn("name", _per_signal(signals, lambda s: s.label(F.col("raw"))))
-        .select(
-            *keys,
-            F.lower("name").alias("key"),
-            "name",
-            F.when(F.col("name").isNotNull(), F.col("n")).alias("count"),
-        )
+    counted = (
+        _entries(df, signals, "country_iso3", "era").groupBy(*keys, "raw").agg(F.count("*").alias("n"))
+    )
+    return _with_key(counted, signals).select(
+        *keys,
+        "key",
+        _per_signal(signals, lambda s: s.shown(F.col("key"), F.col("raw"))).alias("name"),
+        F.when(F.col("key").isNotNull(), F.col("n")).alias("count"),
     )
 
 
@@ -99,17 +102,26 @@ def mention_counts(
     A signal whose column is missing is skipped. The display name is the smallest spelling.
     ``distinct_articles`` counts articles instead of mentions.
     """
+    keys = ["signal", "country_iso3", "era", "key"]
     signals = [s for s in signals or default_signals() if s.column in df.columns]
-    if distinct_articles and signals:
-        entries = _entries(df, signals, "country_iso3", "era", "DocumentIdentifier")
-        counted = entries.withColumn("name", _per_signal(signals, lambda s: s.label(F.col("raw"))))
-        key, count = F.lower("name"), F.count_distinct("DocumentIdentifier")
-    else:
-        counted, key, count = entry_counts(df, signals), F.col("key"), F.sum("count")
+    if not (distinct_articles and signals):
+        counted = entry_counts(df, signals).groupBy(*keys)
+        merged = counted.agg(F.min("name").alias("name"), F.sum("count").alias("count"))
+        return merged.filter(F.col("count").isNotNull())
+    entries = _entries(df, signals, "country_iso3", "era", "DocumentIdentifier")
     return (
-        counted.groupBy("signal", "country_iso3", "era", key.alias("key"))
-        .agg(F.min("name").alias("name"), count.alias("count"))
-        .filter(F.col("name").isNotNull())
+        _with_key(entries, signals)
+        .groupBy(*keys)
+        .agg(
+            F.min(F.when(F.col("key").isNotNull(), F.col("raw"))).alias("_raw"),
+            F.count_distinct("DocumentIdentifier").alias("count"),
+        )
+        .filter(F.col("_raw").isNotNull())
+        .select(
+            *keys,
+            _per_signal(signals, lambda s: s.shown(F.col("key"), F.col("_raw"))).alias("name"),
+            "count",
+        )
     )
 
 

@@ -97,10 +97,10 @@ def test_theme_label(spark):
     assert values(spark, list(THEMES), labels.theme_label) == list(THEMES.values())
 
 
-def test_org_name(spark):
+def test_org_key(spark):
     stops = dims.org_stops(["Space X"])
-    got = values(spark, [" Tesla ", "REUTERS", "space", "x", "space x", "SEC"], lambda c: labels.org_name(c, stops))
-    assert got == ["Tesla", None, None, None, None, "SEC"]
+    got = values(spark, [" Tesla ", "REUTERS", "space", "x", "space x", "SEC"], lambda c: labels.org_key(c, stops))
+    assert got == ["tesla", None, None, None, None, "sec"]
 
 
 def test_era_of(spark):

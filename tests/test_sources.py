@@ -21,12 +21,12 @@ def article(date, doc, themes="PROTEST", persons="Ann Lee", source="a.fr"):
 def table(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("articles"))
     rows = [
-        article("2024-01-31", "https://x.fr/elon-musk-speaks", "TAX_CEO"),
-        article("2024-02-01", "https://x.fr/a", "ELON MUSK;B"),
-        article("2024-02-29", "https://x.fr/b", None, "Elon Musk,12"),
-        article("2024-02-29", "https://x.fr/elon_musk", "MELON MUSKY", "Elon Muskrat"),
-        article("2024-02-15", None, "ELON MUSK"),
-        article("2024-03-01", "https://x.fr/elon%20musk", "TAX_ELON MUSK"),
+        article("2024-01-31", "https://x.fr/solar-flare-speaks", "TAX_CEO"),
+        article("2024-02-01", "https://x.fr/a", "SOLAR FLARE;B"),
+        article("2024-02-29", "https://x.fr/b", None, "Solar Flare,12"),
+        article("2024-02-29", "https://x.fr/solar_flare", "MSOLAR FLAREY", "Solar Flarerat"),
+        article("2024-02-15", None, "SOLAR FLARE"),
+        article("2024-03-01", "https://x.fr/solar%20flare", "TAX_SOLAR FLARE"),
     ]
     articles.write_articles_table(spark.createDataFrame(rows, schemas.ARTICLES), path)
     return articles.read_articles(spark, path)
@@ -37,18 +37,18 @@ def docs(df):
 
 
 def test_topic_scan(table):
-    january = articles.topic_scan(table, ["elon musk"], "2024-01", "2024-01")
-    assert docs(january) == ["https://x.fr/elon-musk-speaks"]
-    february = articles.topic_scan(table, ["Elon Musk "], "2024-02", "2024-02")
+    january = articles.topic_scan(table, ["solar flare"], "2024-01", "2024-01")
+    assert docs(january) == ["https://x.fr/solar-flare-speaks"]
+    february = articles.topic_scan(table, ["Solar Flare "], "2024-02", "2024-02")
     assert docs(february) == ["None", "https://x.fr/a", "https://x.fr/b"]
     assert february.columns == schemas.SCAN_COLUMNS
-    both = articles.topic_scan(table, ["elon musk", "b"], "2024-01", "2024-03")
+    both = articles.topic_scan(table, ["solar flare", "b"], "2024-01", "2024-03")
     assert docs(both) == ["https://x.fr/a", "https://x.fr/b"]
 
 
 def test_keywords_are_literal_unless_asked(table):
-    assert docs(articles.topic_scan(table, ["el.n"], "2024-01", "2024-03")) == []
-    assert len(docs(articles.topic_scan(table, ["el.n"], "2024-01", "2024-03", regex=True))) > 0
+    assert docs(articles.topic_scan(table, ["so.ar"], "2024-01", "2024-03")) == []
+    assert len(docs(articles.topic_scan(table, ["so.ar"], "2024-01", "2024-03", regex=True))) > 0
     with pytest.raises(ValueError):
         articles.topic_scan(table, [" "], "2024-01", "2024-01")
 
@@ -66,12 +66,12 @@ def test_scan_prunes_partitions_and_columns(table, plan):
 
 def test_materialize(spark, table, tmp_path):
     folder = str(tmp_path)
-    request = ("Elon Musk!", ["musk", "elon"], "2024-02", "2024-02")
+    request = ("Solar Flare!", ["flare", "solar"], "2024-02", "2024-02")
     first = articles.materialize_scan(table, folder, *request)
     path = articles.scan_path(folder, *request)
-    assert path == articles.scan_path(folder, "elon musk", ["ELON", "musk "], "2024-02", "2024-02")
+    assert path == articles.scan_path(folder, "solar flare", ["SOLAR", "flare "], "2024-02", "2024-02")
     found = docs(first)
-    assert storage.is_complete(spark, path) and found == ["None", "https://x.fr/a", "https://x.fr/b", "https://x.fr/elon_musk"]
+    assert storage.is_complete(spark, path) and found == ["None", "https://x.fr/a", "https://x.fr/b", "https://x.fr/solar_flare"]
     # The second call reads the stored result: an empty source makes no difference.
     assert docs(articles.materialize_scan(table.limit(0), folder, *request)) == found
     # A half-written result is replaced.
@@ -111,7 +111,7 @@ def test_coverage_file(spark, tmp_path, plan):
 
 def test_topics_document(spark, table, tmp_path, rows):
     ranked = jobs.build_topics(table, threshold=1)
-    path = datasets.write_topics(ranked, str(tmp_path), "Elon Musk")
+    path = datasets.write_topics(ranked, str(tmp_path), "Solar Flare")
     files = [f for f in os.listdir(path) if f.startswith("part-")]
     lines = [line for f in files for line in open(f"{path}/{f}", encoding="utf-8")]
     assert len(lines) == 1
@@ -126,8 +126,9 @@ def test_topics_document(spark, table, tmp_path, rows):
 def test_feed_file(spark, tmp_path):
     frame = spark.createDataFrame([("T", "a.fr", None, "2024-01-01", None)], schemas.FEED)
     path = datasets.write_articles(frame, str(tmp_path), "x")
-    part = next(f for f in os.listdir(path) if f.startswith("part-"))
-    assert json.loads(open(f"{path}/{part}").read()) == {"title": "T", "source": "a.fr", "iso": None, "date": "2024-01-01", "tone": None}
+    parts = [f"{path}/{f}" for f in os.listdir(path) if f.startswith("part-")]
+    lines = [line for part in parts for line in open(part, encoding="utf-8")]
+    assert [json.loads(line) for line in lines] == [{"title": "T", "source": "a.fr", "iso": None, "date": "2024-01-01", "tone": None}]
 
 
 def test_json_array(spark, tmp_path):
