@@ -168,3 +168,53 @@ def first_match(df: DataFrame, by, order) -> DataFrame:
     """The first row of each group; each task keeps one row per group before the shuffle."""
     first = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("_first", first).filter(F.col("_first") == 1).drop("_first")
+
+
+def summary_document(
+    cube: DataFrame,
+    boundaries=ERA_BOUNDARIES,
+    early_until: str = "2021-01-01",
+    late_from: str = "2021-01-01",
+    k: int = 10,
+    min_volume: int = MIN_VOLUME,
+) -> DataFrame:
+    """Headline, opinion changers, extreme countries overall and per era as one nested row.
+
+    Tones are rounded to two decimals. Pass a stored cube: each part reads it once.
+    """
+
+    def listed(df, item, *order):
+        ranked = F.array_sort(F.collect_list(F.struct(*order, item.alias("item"))))
+        return df.agg(F.transform(ranked, lambda x: x["item"])).scalar()
+
+    def rounded(column):
+        return F.round(column, 2)
+
+    moved = opinion_changers(cube, early_until, late_from, k, min_volume)
+    change = F.struct(
+        F.col("country_iso3").alias("iso"), rounded("early").alias("early"),
+        rounded("late").alias("late"), rounded("delta").alias("delta"), "direction",
+    )
+    # Worsened first, as published.
+    worsened_first = F.when(F.col("direction") == "worsened", 0).otherwise(1).alias("end")
+    ends = pos_neg_countries(cube, k, min_volume)
+    place = F.struct(
+        F.col("country_iso3").alias("iso"), rounded("avg_tone").alias("tone"),
+        F.col("article_count").alias("articles"),
+    )
+    sides = [
+        listed(ends.filter(F.col("side") == side), place, "rank").alias(side)
+        for side in ("most_positive", "most_negative")
+    ]
+    extremes = era_extremes_published(era_countries(cube, boundaries), min_volume)
+    pair = F.struct(*[
+        F.struct(F.col(side).alias("iso"), rounded(value).alias("tone")).alias(side)
+        for side, value in (("most_negative", "negative_tone"), ("most_positive", "positive_tone"))
+    ])
+    total = headline(cube).withColumn("avg_tone", rounded("avg_tone"))
+    return cube.sparkSession.range(1).select(
+        listed(moved, change, worsened_first, "rank").alias("opinion_changers"),
+        F.struct(*sides).alias("pos_neg"),
+        listed(extremes, pair, "era").alias("era_countries"),
+        total.select(F.struct(*total.columns)).scalar().alias("headline"),
+    )

@@ -110,6 +110,12 @@ def _stored_cube(spark, folder):
     return datasets.read_coverage(spark, store, "dense-month-2024-01-2024-01")
 
 
+def _stored_sparse_cube(spark, folder):
+    store = storage.scratch_folder(spark, "cube")
+    path = datasets.write_coverage(_cube(spark, folder), store, "Parts", "1995-01", "2001-12")
+    return spark.read.schema(schemas.COVERAGE).parquet(path)
+
+
 def read_coverage(spark, folder):
     return _tidy(coverage.cube_profile(_stored_cube(spark, folder)))
 
@@ -130,9 +136,39 @@ def write_articles(spark, folder):
     return spark.read.schema(schemas.FEED).json(path)
 
 
+def write_summary(spark, folder):
+    """The summary document, read back and laid out as one row per listed country."""
+    store = storage.scratch_folder(spark, "summary")
+    path = datasets.write_summary(
+        _stored_sparse_cube(spark, folder), store, "Parts", boundaries=w.BOUNDARIES,
+        early_until=w.EARLY_UNTIL, late_from=w.LATE_FROM,
+    )
+    document = datasets.read_json_artifact(spark, path, schemas.SUMMARY_DOCUMENT, lines=True)
+    changers = document.select(F.inline("opinion_changers")).select(
+        F.col("direction").alias("part"), "iso", F.col("delta").alias("tone")
+    )
+    sides = [
+        document.select(F.inline(f"pos_neg.{side}")).select(F.lit(side).alias("part"), "iso", "tone")
+        for side in ("most_positive", "most_negative")
+    ]
+    eras = document.select(F.posexplode("era_countries").alias("era", "pair"))
+    ends = [
+        eras.select(F.concat(F.lit(f"{side} "), "era").alias("part"), f"pair.{side}.iso", f"pair.{side}.tone")
+        for side in ("most_negative", "most_positive")
+    ]
+    total = document.select(
+        F.lit("headline").alias("part"), F.col("headline.date_range").alias("iso"),
+        F.col("headline.avg_tone").alias("tone"),
+    )
+    rows = changers
+    for part in [*sides, *ends, total]:
+        rows = rows.unionByName(part)
+    return rows
+
+
 def read_json_artifact(spark, folder):
-    path = storage.scratch_folder(spark, "timeline")
-    _tidy(_timeline(spark, folder)).write.json(path)
+    store = storage.scratch_folder(spark, "timeline")
+    path = datasets.write_timeline(_tidy(_timeline(spark, folder)), store, "Parts")
     schema = "date DATE, avg_tone DOUBLE, article_count BIGINT"
     return datasets.read_json_artifact(spark, path, schema, lines=True)
 

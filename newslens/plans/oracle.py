@@ -510,6 +510,16 @@ WHERE scope = 'country' AND country_iso3 = 'USA' AND bucket = '1' AND position <
 axis AS (SELECT least(min(avg_tone), 0) AS low, greatest(max(avg_tone), 0) AS high FROM chart)""",
         trend + ", round(high / CASE WHEN high = low THEN 1 ELSE high - low END, 8) AS zero_offset FROM indexed, fit, axis")
 
+    changers = sql["opinion_changers"].replace("round(delta, 8) AS delta", "round(delta, 2) AS tone")
+    places = sql["pos_neg_countries"].replace("round(avg_tone, 8) AS avg_tone", "round(avg_tone, 2) AS tone")
+    extremes = sql["era_extremes_published"].replace(", 8)", ", 2)")
+    total = sql["headline"].replace(", 8)", ", 2)")
+    sql["write_summary"] = f"""SELECT direction AS part, country_iso3 AS iso, tone FROM ({changers})
+UNION ALL SELECT side, country_iso3, tone FROM ({places})
+UNION ALL SELECT 'most_negative ' || (row_number() OVER (ORDER BY era) - 1), most_negative, negative_tone FROM ({extremes})
+UNION ALL SELECT 'most_positive ' || (row_number() OVER (ORDER BY era) - 1), most_positive, positive_tone FROM ({extremes})
+UNION ALL SELECT 'headline', date_range, avg_tone FROM ({total})"""
+
     # Streaming: the days that the watermark has closed
     sql["incremental_daily_sentiment"] = _with(EVENT_ART, """SELECT date, iso AS country_iso3, round(avg(tone), 8) AS avg_tone, count(*) AS article_count
 FROM event_art WHERE iso IS NOT NULL AND date + INTERVAL 2 DAY <= (SELECT max(date_trunc('second', ts)) FROM event_art) GROUP BY ALL""")

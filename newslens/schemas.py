@@ -65,3 +65,26 @@ TOPICS_DOCUMENT = _schema(
     ("global", _BUCKETS),
     ("byCountry", T.MapType(T.StringType(), _BUCKETS)),
 )
+
+_PLACE = _schema(("iso", T.StringType()), ("tone", T.DoubleType()))
+_VOLUME_PLACES = T.ArrayType(_schema(
+    ("iso", T.StringType()), ("tone", T.DoubleType()), ("articles", T.LongType()),
+))
+
+SUMMARY_DOCUMENT = _schema(
+    ("opinion_changers", T.ArrayType(_schema(
+        ("iso", T.StringType()),
+        ("early", T.DoubleType()),
+        ("late", T.DoubleType()),
+        ("delta", T.DoubleType()),
+        ("direction", T.StringType()),
+    ))),
+    ("pos_neg", _schema(("most_positive", _VOLUME_PLACES), ("most_negative", _VOLUME_PLACES))),
+    ("era_countries", T.ArrayType(_schema(("most_negative", _PLACE), ("most_positive", _PLACE)))),
+    ("headline", _schema(
+        ("total_articles", T.LongType()),
+        ("countries", T.LongType()),
+        ("avg_tone", T.DoubleType()),
+        ("date_range", T.StringType()),
+    )),
+)

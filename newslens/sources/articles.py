@@ -65,14 +65,19 @@ def materialize_scan(
     return spark.read.schema(scan.schema).parquet(path)
 
 
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def read_csv_extract(spark: SparkSession, path: str) -> DataFrame:
-    """Six-field CSV extract of the article table."""
-    return spark.read.schema(schemas.CSV_EXTRACT).option("header", True).option(
-        "escape", '"'
-    ).option("enforceSchema", False).csv(path)
+    """Six-field CSV extract of the article table; the header decides the column order."""
+    return spark.read.schema(schemas.CSV_EXTRACT).options(**_CSV, enforceSchema=False).csv(path)
 
 
 def write_csv_extract(df: DataFrame, path: str) -> None:
-    df.select(*schemas.CSV_EXTRACT.fieldNames()).write.mode("overwrite").option(
-        "header", True
-    ).option("escape", '"').csv(path)
+    columns = schemas.CSV_EXTRACT.fieldNames()
+    df.select(*columns).write.mode("overwrite").options(**_CSV).csv(path)

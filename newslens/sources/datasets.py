@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newslens import dims, schemas
+from newslens.operators.rankings import summary_document
 from newslens.operators.topics import topics_document
 from newslens.sources import storage
 
@@ -36,19 +37,38 @@ def write_coverage(cube: DataFrame, folder: str, topic: str, start: str, end: st
     return path
 
 
+def _write_document(document: DataFrame, path: str) -> str:
+    """A one-row frame as one JSON document."""
+    document.select(F.to_json(F.struct(*document.columns))).write.mode("overwrite").text(path)
+    return path
+
+
+def _write_rows(rows: DataFrame, path: str) -> str:
+    """JSON Lines; NULLs stay visible."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return path
+
+
 def write_topics(topics: DataFrame, folder: str, topic: str, era_labels=dims.ERA_LABELS) -> str:
     """Store the ranked lists as one nested JSON document."""
     path = storage.dataset_path(folder, f"{storage.slug(topic)}-topics", ".json")
-    document = topics_document(topics, era_labels)
-    document.select(F.to_json(F.struct(*document.columns))).write.mode("overwrite").text(path)
-    return path
+    return _write_document(topics_document(topics, era_labels), path)
+
+
+def write_summary(cube: DataFrame, folder: str, topic: str, **periods) -> str:
+    """Store the country summary of a stored cube as one nested JSON document."""
+    path = storage.dataset_path(folder, f"{storage.slug(topic)}-summary", ".json")
+    return _write_document(summary_document(cube, **periods), path)
 
 
 def write_articles(feed: DataFrame, folder: str, topic: str) -> str:
-    """Store the article feed as JSON Lines; NULLs stay visible."""
-    path = storage.dataset_path(folder, f"{storage.slug(topic)}-articles", ".json")
-    feed.write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    return path
+    """Store the article feed."""
+    return _write_rows(feed, storage.dataset_path(folder, f"{storage.slug(topic)}-articles", ".json"))
+
+
+def write_timeline(timeline: DataFrame, folder: str, topic: str) -> str:
+    """Store a daily series."""
+    return _write_rows(timeline, storage.dataset_path(folder, f"{storage.slug(topic)}-timeline", ".json"))
 
 
 def read_json_artifact(

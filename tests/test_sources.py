@@ -7,7 +7,7 @@ import pytest
 
 from newslens import dims, schemas
 from newslens.operators import coverage
-from newslens.plans import jobs
+from newslens.plans import batch, jobs
 from newslens.sources import articles, datasets, storage
 
 
@@ -165,3 +165,17 @@ def test_scratch_folder_follows_the_session(spark):
 def test_json_profile_of_stored_cube(spark, table):
     cube = jobs.build_coverage(table)
     assert coverage.cube_profile(cube).first().total_rows == 31
+
+
+def test_run_topic(spark, table, tmp_path):
+    paths = batch.run_topic(table, "Solar Flare", ["flare"], "2024-01", "2024-03", str(tmp_path / "out"), str(tmp_path / "scans"))
+    assert sorted(os.path.basename(p) for p in paths.values()) == [
+        "solar-flare-2024-01-2024-03.parquet", "solar-flare-articles.json", "solar-flare-summary.json",
+        "solar-flare-timeline.json", "solar-flare-topics.json",
+    ]
+    summary = datasets.read_json_artifact(spark, paths["summary"], schemas.SUMMARY_DOCUMENT, lines=True).first()
+    assert summary.headline.total_articles == 6 and summary.headline.date_range == "2024-01-31 to 2024-03-01"
+    assert summary.opinion_changers == [] and summary.pos_neg.most_positive == []
+    assert datasets.read_topics(spark, paths["topics"]).count() > 0
+    timeline = datasets.read_json_artifact(spark, paths["timeline"], "date date, avg_tone double, article_count long", lines=True)
+    assert timeline.count() == 5
