@@ -72,7 +72,12 @@ def valid_country(iso3: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Upper-case the first letter of every run of letters, lower-case the rest."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(0))
-    capital = F.transform(
-        runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substr(run, F.lit(2)))
-    )
-    return F.array_join(capital, "")
+
+    def capitalized(run):
+        # The capital of one letter may be two letters long (ß), of which only one stays large.
+        capital = F.upper(F.substring(run, 1, 1))
+        return F.concat(
+            F.substring(capital, 1, 1), F.lower(F.substr(capital, F.lit(2))), F.substr(run, F.lit(2))
+        )
+
+    return F.array_join(F.transform(runs, capitalized), "")

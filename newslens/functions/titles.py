@@ -39,10 +39,13 @@ def url_title(url: Column) -> Column:
             ~number & ~t.rlike(HEX_ID) & t.rlike(LETTER)
         )
 
-    words = F.filter(tokens, is_word)
-    n_alpha = F.size(F.filter(words, lambda t: t.rlike(LETTER)))
-    title = F.trim(F.array_join(words, " "))
-    lo, hi = TITLE_LENGTH
-    return F.when(
-        (n_alpha >= MIN_ALPHA_WORDS) & F.char_length(title).between(lo, hi), title_case(title)
-    )
+    def headline(words):
+        n_alpha = F.size(F.filter(words, lambda t: t.rlike(LETTER)))
+        title = F.trim(F.array_join(words, " "))
+        lo, hi = TITLE_LENGTH
+        return F.when(
+            (n_alpha >= MIN_ALPHA_WORDS) & F.char_length(title).between(lo, hi), title_case(title)
+        )
+
+    # A one-element transform binds the words, so that they are derived once and not per use.
+    return F.element_at(F.transform(F.array(F.filter(tokens, is_word)), headline), 1)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newslens import schemas
-from newslens.functions import fields
+from newslens.functions import fields, titles
 from newslens.operators import coverage, feed, filters, frames, geo, rankings, timeline, topics
 from newslens.plans import jobs, views, warehouse as w
 from newslens.sources import articles as article_store, datasets, storage
@@ -440,6 +440,16 @@ def first_match(spark, folder):
     ))
 
 
+def url_title(spark, folder):
+    """Headlines from the sentences of all documents, with the number of documents each is in."""
+    titled = w.sentence_urls(spark, folder).select(
+        "doc_id", titles.url_title(F.col("url")).alias("title")
+    )
+    return titled.filter(F.col("title").isNotNull()).groupBy("title").agg(
+        F.count("*").alias("records"), F.count_distinct("doc_id").alias("documents")
+    )
+
+
 # --- Sorts, limits, sets, samples ----------------------------------------------------
 
 def sorted_outputs(spark, folder):

@@ -468,6 +468,22 @@ scaled AS (
 FROM art WHERE iso IS NOT NULL AND doc IS NOT NULL AND tone IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY date, iso ORDER BY doc, source NULLS FIRST, tone) = 1""")
 
+    sql["url_title"] = r"""WITH sentences AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) AS sentence FROM documents),
+words AS (
+  SELECT doc_id, [w FOR w IN regexp_extract_all(sentence, '[\p{L}\p{N}]+') IF
+    CASE WHEN regexp_full_match(w, '[0-9]+') THEN length(w) <= 4
+      ELSE NOT regexp_full_match(w, '[0-9a-fA-F]{8,}') AND regexp_matches(w, '[A-Za-zÀ-ÿ]') END] AS words
+  FROM sentences),
+readable AS (
+  SELECT doc_id, array_to_string(words, ' ') AS line FROM words
+  WHERE len([w FOR w IN words IF regexp_matches(w, '[A-Za-zÀ-ÿ]')]) >= 4),
+titled AS (
+  SELECT doc_id, array_to_string([CASE WHEN r[1] = 'ß' THEN 'Ss' ELSE upper(r[1]) END || r[2:]
+    FOR r IN regexp_extract_all(lower(line), '\p{L}+|[^\p{L}]+')], '') AS title
+  FROM readable WHERE length(line) BETWEEN 14 AND 90)
+SELECT title, count(*) AS records, count(DISTINCT doc_id) AS documents FROM titled GROUP BY title"""
+
     # Sorts, limits, sets, samples
     sql["sorted_outputs"] = _with(DAILY, f"SELECT {CUBE_COLUMNS} FROM daily ORDER BY date, country_iso3")
     sql["top_k"] = _with(CUBE, f"SELECT {CUBE_COLUMNS} FROM cube ORDER BY article_count DESC, date, country_iso3 LIMIT 60")

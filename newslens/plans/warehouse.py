@@ -133,6 +133,17 @@ def event_articles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sentence_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """A URL for every sentence of every document: its words, joined by hyphens."""
+    sentences = F.explode(F.split("text", r"[.!?\n]+"))
+    slug = F.regexp_replace("sentence", r"[^\p{L}\p{N}]+", "-")
+    return (
+        table(spark, folder, "documents")
+        .select("doc_id", sentences.alias("sentence"))
+        .select("doc_id", F.concat(F.lit("https://wire.example/text/"), slug, F.lit(".html")).alias("url"))
+    )
+
+
 def country_geojson(spark: SparkSession, folder: str) -> DataFrame:
     """One GeoJSON document of the nations with their outlet's country code.
 

@@ -51,7 +51,7 @@ def test_rounding(spark):
 
 
 def test_title_case(spark):
-    assert values(spark, ["don't 44th élan", "HARD-wired"], fields.title_case) == ["Don'T 44Th Élan", "Hard-Wired"]
+    assert values(spark, ["don't 44th élan", "HARD-wired ßa"], fields.title_case) == ["Don'T 44Th Élan", "Hard-Wired Ssa"]
 
 
 URLS = {
