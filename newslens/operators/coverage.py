@@ -55,8 +55,10 @@ def fill_gaps(daily: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
 
     Each observation is expanded into the days up to the country's next one, so ``daily`` is
     computed once and shuffled once, by country. ``bounds`` is a one-row frame of the first and
-    last day (default: taken from ``daily``, at the price of computing it again).
+    last day (default: taken from ``daily``, at the price of computing it again). Observations
+    without a date are on no day of the spine.
     """
+    daily = daily.filter(F.col("date").isNotNull())
     if bounds is None:
         bounds = daily.select(F.min("date").alias("first"), F.max("date").alias("last"))
     bounds = bounds.select(F.struct("first", "last")).scalar()

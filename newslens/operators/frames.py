@@ -10,25 +10,29 @@ FAST_WINDOW_DAYS = 300  # fast playback
 
 
 def rolling_country_frame(
-    cube: DataFrame, days: int = WINDOW_DAYS, start_date: str | None = None
+    cube: DataFrame, size: int = WINDOW_DAYS, start_date: str | None = None, step: int = 1
 ) -> DataFrame:
-    """All map frames at once: per country and date the weighted tone of the trailing days.
+    """All map frames at once: per country and date the weighted tone of the trailing frame days.
 
-    The count is the rounded mean per frame day; a frame starts at ``start_date`` (default: the
-    cube's first day), as after a jump, and grows until it holds ``days``. Countries without
-    coverage in a frame are absent from it. The cube must be gap-filled: one row per day.
+    A playback starts at ``start_date`` (default: the cube's first day), as after a jump, and shows
+    every ``step``-th day. A frame averages the last ``size`` shown days, fewer at the start; its
+    count is the rounded mean per shown day. Countries without coverage in a frame are absent from
+    it. The cube must be gap-filled: one row per country and day.
     """
-    if start_date is not None:
-        cube = cube.filter(F.col("date") >= F.lit(start_date).cast("date"))
     country = Window.partitionBy("country_iso3")
-    frame = country.orderBy(F.unix_date("date")).rangeBetween(-(days - 1), 0)
-    begin = F.min("date").over(country) if start_date is None else F.lit(start_date).cast("date")
-    framed = cube.select(
+    if start_date is None:
+        begin = F.min("date").over(country)
+    else:
+        begin = F.lit(start_date).cast("date")
+        cube = cube.filter(F.col("date") >= begin)
+    shown = cube.withColumn("_day", F.datediff("date", begin)).filter(F.col("_day") % step == 0)
+    frame = country.orderBy("_day").rangeBetween(-(size - 1) * step, 0)
+    framed = shown.select(
         "date",
         "country_iso3",
         F.sum(F.when(tone.covered(), F.col("avg_tone") * F.col("article_count"))).over(frame).alias("mass"),
         F.sum(F.when(tone.covered(), F.col("article_count"))).over(frame).alias("total"),
-        F.least(F.lit(days), F.datediff("date", begin) + 1).alias("frame_days"),
+        F.least(F.lit(size), F.floor(F.col("_day") / step) + 1).alias("frame_days"),
     )
     return framed.filter(F.col("total") > 0).select(
         "date",

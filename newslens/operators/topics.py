@@ -345,9 +345,17 @@ def topics_document(topics: DataFrame, era_labels=dims.ERA_LABELS) -> DataFrame:
     buckets = topics.groupBy("scope", "country_iso3", "bucket").agg(
         F.struct(listed("orgs").alias("orgs"), listed("themes").alias("themes")).alias("lists")
     )
-    places = buckets.groupBy("scope", "country_iso3").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "lists")))).alias("buckets")
+    found = buckets.groupBy("scope", "country_iso3").agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "lists"))).alias("found")
     )
+    # Every place has every bucket, if need be with empty lists.
+    names = ["all", *map(str, range(len(era_labels)))]
+    nothing = F.array().cast("array<struct<name:string,count:bigint>>")
+    empty = F.struct(nothing.alias("orgs"), nothing.alias("themes"))
+    places = found.withColumn("buckets", F.map_from_entries(F.array(*[
+        F.struct(F.lit(b).alias("bucket"), F.coalesce(F.try_element_at("found", F.lit(b)), empty).alias("lists"))
+        for b in names
+    ])))
     country = F.when(F.col("scope") == "country", F.struct("country_iso3", "buckets"))
     return places.agg(
         F.array(*[F.lit(label) for label in era_labels]).alias("eras"),

@@ -224,12 +224,13 @@ def _smooth(rows, window, keys="", part=""):
     )
 
 
-def _frames(rows: str, days: int, start: str) -> str:
+def _frames(rows: str, size: int, start: str, step: int = 1) -> str:
     return f"""SELECT date, country_iso3, round(mass / total, 8) AS avg_tone,
-  floor(total / least({days}, date_diff('day', {start}, date) + 1) + 0.5)::BIGINT AS article_count
-FROM (SELECT date, country_iso3, sum(avg_tone * article_count) OVER w AS mass, sum(article_count) FILTER (avg_tone IS NOT NULL) OVER w AS total
-  FROM {rows} WINDOW w AS (PARTITION BY country_iso3 ORDER BY date
-    RANGE BETWEEN INTERVAL {days - 1} DAY PRECEDING AND CURRENT ROW))
+  floor(total / least({size}, date_diff('day', {start}, date) // {step} + 1) + 0.5)::BIGINT AS article_count
+FROM (SELECT date, country_iso3, sum(avg_tone * article_count) OVER w AS mass,
+    sum(article_count) FILTER (avg_tone IS NOT NULL) OVER w AS total
+  FROM {rows} WHERE date >= {start} AND date_diff('day', {start}, date) % {step} = 0
+  WINDOW w AS (PARTITION BY country_iso3 ORDER BY date ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW))
 WHERE total > 0 AND mass IS NOT NULL"""
 
 
@@ -437,7 +438,7 @@ FROM (SELECT date, count(*) AS new_countries FROM (
     sql["forward_fill"] = _with(CUBE, f"SELECT {CUBE_COLUMNS} FROM cube")
     sql["rolling_country_frame"] = _with(CUBE, _frames("cube", 45, "(SELECT min(date) FROM cube)"))
     sql["rolling_country_frame_fast"] = _with(
-        CUBE, _frames("(SELECT * FROM cube WHERE date >= DATE '1998-05-01')", 300, "DATE '1998-05-01'"))
+        CUBE, _frames("cube", 300, "DATE '1998-05-01'", 3))
     sql["smooth_timeline"] = _with(TIMELINE, _smooth("timeline", 90))
     sql["smooth_country_timelines"] = _with(
         DENSE, _smooth("(SELECT * FROM dense WHERE avg_tone IS NOT NULL)", 7, "country_iso3, ", "PARTITION BY country_iso3 "))

@@ -119,6 +119,8 @@ def test_topics_document(spark, table, tmp_path, rows):
     assert document["eras"] == list(dims.ERA_LABELS)
     assert document["global"]["all"]["orgs"] == [{"name": "Tesla", "count": 6}]
     assert document["byCountry"]["FRA"]["4"]["themes"] == [{"name": "Protest", "count": 6}]
+    # Buckets without mentions are there, with empty lists.
+    assert document["byCountry"]["FRA"]["0"] == document["global"]["3"] == {"orgs": [], "themes": []}
     columns = ["scope", "country_iso3", "bucket", "signal", "key", "name", "count", "rank"]
     assert rows(datasets.read_topics(spark, path).select(*columns)) == rows(ranked.select(*columns))
 

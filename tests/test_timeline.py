@@ -101,25 +101,24 @@ days = st.lists(
 )
 
 
-@settings(max_examples=10, deadline=None)
-@given(days, st.integers(1, 6), st.integers(0, 5))
-def test_frames_equal_a_rolling_buffer(spark, data, window, jump):
+@settings(max_examples=15, deadline=None)
+@given(days, st.integers(1, 6), st.one_of(st.none(), st.integers(0, 5)), st.integers(1, 3))
+def test_frames_equal_a_rolling_buffer(spark, data, size, jump, step):
     filled = cube(spark, [(i, "FRA", None if t is None else float(t), n) for i, (t, n) in enumerate(data)])
-    got = {
-        r.date: r for r in frames.rolling_country_frame(filled, window, day(jump).isoformat()).collect()
-    }
+    start = None if jump is None else day(jump).isoformat()
+    got = {r.date: r for r in frames.rolling_country_frame(filled, size, start, step).collect()}
     buffer = []
-    for i, (t, n) in enumerate(data):
-        if i < jump:
-            continue
-        buffer = (buffer + [(t, n)])[-window:]
+    for i in range(jump or 0, len(data), step):
+        buffer = (buffer + [data[i]])[-size:]
         total = sum(n for t, n in buffer if t is not None and n)
+        row = got.pop(day(i), None)
         if not total:
-            assert day(i) not in got
+            assert row is None
             continue
         mass = sum(t * n for t, n in buffer if t is not None and n)
-        assert math.isclose(got[day(i)].avg_tone, mass / total, abs_tol=1e-12)
-        assert got[day(i)].article_count == math.floor(total / len(buffer) + 0.5)
+        assert math.isclose(row.avg_tone, mass / total, abs_tol=1e-12)
+        assert row.article_count == math.floor(total / len(buffer) + 0.5)
+    assert not got
 
 
 def test_frame_average(spark):
