@@ -57,9 +57,13 @@ def pool_sample(
     key: str = "DocumentIdentifier",
     seed: int = SEED,
     order=("date", "SourceCommonName"),
+    derive: dict[str, Column] | None = None,
 ) -> DataFrame:
     """A fixed-size random sample of distinct articles.
 
+    ``derive`` adds columns to the sample. They are computed on the few rows near the cutoff while
+    these are still spread over tasks; the last cut gathers the sample in one.
+
     The sample key depends on the article alone, so rows beyond the cutoff are dropped before
     the de-duplication: only about n articles are ever shuffled whole. Distinct keys are counted
     by a 64-bit hash; a collision could only move the cutoff up.
@@ -68,7 +72,7 @@ def pool_sample(
     near = _below_cutoff(hashed, n, F.count_distinct(F.xxhash64(key))).drop("_key")
     return (
         dedupe_articles(near, key, order)
-        .withColumn("_key", sample_key(key, seed=seed))
+        .withColumns({**(derive or {}), "_key": sample_key(key, seed=seed)})
         .orderBy("_key", key)
         .limit(n)
         .drop("_key")

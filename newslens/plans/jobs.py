@@ -69,12 +69,9 @@ def build_feed(
         fields.first_tone(F.col("V2Tone"), strict=False).alias("tone"),
     )
     usable = filters.drop_null_keys(parsed, "DocumentIdentifier", "date")
-    pooled = feed.pool_sample(usable, pool)
-    titled = (
-        geo.outlet_country(pooled, outlets=outlets)
-        .withColumn("title", titles.url_title(F.col("DocumentIdentifier")))
-        .filter(F.col("title").isNotNull())
-    )
+    title = titles.url_title(F.col("DocumentIdentifier"))
+    pooled = feed.pool_sample(usable, pool, derive={"title": title})
+    titled = geo.outlet_country(pooled.filter(F.col("title").isNotNull()), outlets=outlets)
     # The pool bounds this frame, so numbering its rows in one task is safe.
     picked = feed.even_pick_join(titled, final, ("date", "DocumentIdentifier"))
     return picked.select(
