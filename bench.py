@@ -16,7 +16,7 @@ from newslens.session import local_session
 from newslens.sources import storage
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 STOPS = ["brand#7"]
 
 
