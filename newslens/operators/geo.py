@@ -29,11 +29,15 @@ def outlet_country(
         outlets = outlets.dropDuplicates(["domain"])
     tlds = tlds.select(F.col("tld").alias("_tld"), F.col("iso3").alias("_tld_iso3"))
     outlets = outlets.select(F.col("domain").alias("_domain"), F.col("iso3").alias("_domain_iso3"))
+    # The keys are columns of their own, so that cleaning a name is not repeated in each join.
+    keyed = df.withColumns({
+        "_name": fields.domain_name(F.col(source)), "_label": fields.domain_tld(F.col(source))
+    })
     return (
-        df.join(tlds, fields.domain_tld(df[source]) == tlds["_tld"], "left")
-        .join(outlets, fields.domain_name(df[source]) == outlets["_domain"], "left")
+        keyed.join(tlds, keyed["_label"] == tlds["_tld"], "left")
+        .join(outlets, keyed["_name"] == outlets["_domain"], "left")
         .withColumn("country_iso3", F.coalesce("_tld_iso3", "_domain_iso3"))
-        .drop("_tld", "_tld_iso3", "_domain", "_domain_iso3")
+        .drop("_name", "_label", "_tld", "_tld_iso3", "_domain", "_domain_iso3")
     )
 
 

@@ -16,15 +16,27 @@ def located_articles(raw: DataFrame, outlets=None) -> DataFrame:
     return filters.valid_country(geo.outlet_country(parsed, outlets=outlets))
 
 
+def observed_days(raw: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
+    """First and last day with an article of a known country, as one row.
+
+    Days are taken per outlet first, so only distinct outlets are looked up.
+    """
+    date = fields.packed_date(F.col("DATE"))
+    per_outlet = raw.groupBy("SourceCommonName").agg(
+        F.min(date).alias("first"), F.max(date).alias("last")
+    )
+    known = filters.valid_country(geo.outlet_country(per_outlet, outlets=outlets))
+    return known.select(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def build_coverage(raw: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
     """Raw articles to the gap-filled country x day cube.
 
-    The range of days comes from a second, narrow scan (two columns, no shuffle), so the
-    aggregate itself is computed only once.
+    The range of days comes from a second, narrow scan of two columns, so the aggregate itself is
+    computed only once.
     """
-    located = located_articles(raw, outlets)
-    bounds = located.select(F.min("date").alias("first"), F.max("date").alias("last"))
-    return coverage.fill_gaps(coverage.daily_country_sentiment(located), bounds)
+    daily = coverage.daily_country_sentiment(located_articles(raw, outlets))
+    return coverage.fill_gaps(daily, observed_days(raw, outlets))
 
 
 def topic_articles(raw: DataFrame, boundaries=ERA_BOUNDARIES, outlets=None) -> DataFrame:
