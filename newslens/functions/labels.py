@@ -1,7 +1,5 @@
 """Keys and readable names of topic entries. NULL marks an entry to drop."""
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 from newslens import dims
@@ -29,11 +27,14 @@ def theme_key(
     stop_labels=dims.THEME_STOP_LABELS,
 ) -> Column:
     """Theme code to lower-case label: ``ECON_STOCKMARKET`` becomes ``stockmarket``."""
-    stripped = F.regexp_replace(code, "^(" + "|".join(map(re.escape, strip_prefixes)) + ")", "")
+    stripped = code
+    for prefix in reversed(strip_prefixes):
+        rest = F.substr(code, F.lit(len(prefix) + 1))
+        stripped = F.when(F.startswith(code, F.lit(prefix)), rest).otherwise(stripped)
     key = F.lower(trimmed(F.translate(stripped, "_", " ")))
     return F.when(
         theme_family_kept(code, drop_prefixes)
-        & ~code.rlike(r"\d")
+        & (F.translate(code, "0123456789", "") == code)
         & (F.char_length(key) >= MIN_THEME_LENGTH)
         & (F.size(F.split(key, " ")) <= MAX_THEME_WORDS)
         & ~key.isin(*stop_labels),

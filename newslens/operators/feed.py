@@ -124,7 +124,8 @@ def even_sample(
 
     Row numbers are found without sorting the table: count the rows of each date and slice, add
     the counts up, locate the picked positions, and number only the rows of the slices that hold
-    one. A date with a large part of all rows is spread over its slices. Rows need a distinct key.
+    one. A date with a large part of all rows is spread over its slices. Rows need a date and a
+    distinct key.
     """
     slice_no = F.conv(F.substring("_key", 1, 4), 16, 10).cast("int")
     keyed = df.withColumn("_key", sample_key(key)).withColumn(

@@ -141,7 +141,7 @@ def stop_anti_join(df: DataFrame, stops, key: str = "key") -> DataFrame:
 def kept_countries(
     mentions: DataFrame, threshold: int = MIN_COUNTRY_MENTIONS, signal: str = "orgs"
 ) -> DataFrame:
-    """Countries with enough mentions in the reference signal."""
+    """Countries with enough mentions in one signal."""
     return (
         mentions.filter((F.col("signal") == signal) & fields.valid_country(F.col("country_iso3")))
         .groupBy("country_iso3")

@@ -55,7 +55,11 @@ def build_topics(
     distinct_articles: bool = False,
     outlets: DataFrame | None = None,
 ) -> DataFrame:
-    """Ranked organisations and themes per bucket, globally and for countries with enough mentions."""
+    """Ranked organisations and themes per bucket, globally and for countries with enough mentions.
+
+    ``distinct_articles`` counts articles per country and era; larger buckets add these counts up,
+    so an identifier that occurs in several countries or eras counts in each.
+    """
     signals = [
         s for s in topics.default_signals(keywords, org_stops) if s.column in raw.columns
     ]
@@ -66,8 +70,8 @@ def build_topics(
         if distinct_articles
         else topics.entry_counts(articles, signals)
     )
-    reference = signals[0].name if signals else "orgs"
-    return topics.ranked_topics(mentions, n, threshold, reference)
+    measured = signals[0].name if signals else "orgs"
+    return topics.ranked_topics(mentions, n, threshold, measured)
 
 
 def build_feed(

@@ -109,7 +109,7 @@ def test_era_of(spark):
     assert values(spark, dates, lambda c: eras.in_era(c, 4), "date") == [False, False, False, False, None]
 
 
-def reference_intensity(t):
+def expected_intensity(t):
     mag = min(10.0, abs(t))
     return 0.75 * min(1.0, mag) ** 0.7 + 0.25 * min(1.0, max(0.0, (mag - 1) / 4))
 
@@ -118,7 +118,7 @@ def reference_intensity(t):
 @given(st.lists(st.floats(-20, 20), min_size=1, max_size=30))
 def test_tone_intensity(spark, tones):
     got = values(spark, tones, lambda c: tone.tone_intensity(c, F.lit(3)), "double")
-    assert all(math.isclose(a, reference_intensity(t), abs_tol=1e-12) for a, t in zip(got, tones))
+    assert all(math.isclose(a, expected_intensity(t), abs_tol=1e-12) for a, t in zip(got, tones))
 
 
 def test_no_coverage_has_no_intensity(spark):
