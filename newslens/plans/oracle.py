@@ -275,7 +275,7 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY date, DocumentIdentifier) - 1
 """ + _PICKS.format(final=final, rows="titled") + """,
 feed AS (
   SELECT title, lower(coalesce(SourceCommonName, '')) AS source, iso,
-    strftime(date, '%Y-%m-%d') AS date, round_even(tone, 2) AS tone
+    strftime(date, '%Y-%m-%d') AS date, CASE WHEN round_even(tone, 2) = 0 THEN 0 ELSE round_even(tone, 2) END AS tone
   FROM numbered WHERE pos IN (SELECT pick FROM picks))"""
     )
 
@@ -531,11 +531,13 @@ axis AS (SELECT least(min(avg_tone), 0) AS low, greatest(max(avg_tone), 0) AS hi
     places = sql["pos_neg_countries"].replace("round(avg_tone, 8) AS avg_tone", "round(avg_tone, 2) AS tone")
     extremes = sql["era_extremes_published"].replace(", 8)", ", 2)")
     total = sql["headline"].replace(", 8)", ", 2)")
-    sql["write_summary"] = f"""SELECT direction AS part, country_iso3 AS iso, tone FROM ({changers})
+    # Rounding gives negative zero here and plain zero in Spark.
+    sql["write_summary"] = f"""SELECT part, iso, CASE WHEN tone = 0 THEN 0 ELSE tone END AS tone FROM (
+SELECT direction AS part, country_iso3 AS iso, tone FROM ({changers})
 UNION ALL SELECT side, country_iso3, tone FROM ({places})
 UNION ALL SELECT 'most_negative ' || (row_number() OVER (ORDER BY era) - 1), most_negative, negative_tone FROM ({extremes})
 UNION ALL SELECT 'most_positive ' || (row_number() OVER (ORDER BY era) - 1), most_positive, positive_tone FROM ({extremes})
-UNION ALL SELECT 'headline', date_range, avg_tone FROM ({total})"""
+UNION ALL SELECT 'headline', date_range, avg_tone FROM ({total}))"""
 
     # Streaming: the days that the watermark has closed
     sql["incremental_daily_sentiment"] = _with(EVENT_ART, """SELECT date, iso AS country_iso3, round(avg(tone), 8) AS avg_tone, count(*) AS article_count
