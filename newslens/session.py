@@ -1,6 +1,7 @@
 """Session settings for local runs; a cluster brings its own."""
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,7 @@ def local_session(name: str = "newslens", cpus: int | None = None) -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="newslens-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,7 +1,6 @@
 """Paths in shared storage."""
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -9,16 +8,20 @@ from pyspark.sql import SparkSession
 _DATASET = re.compile(r"^[A-Za-z0-9-]+$")
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``, which all executors share.
-
-    Only a local session without that setting gets a temporary folder of this machine.
-    """
+def scratch_base(spark: SparkSession) -> str | None:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get() if own.isDefined() else None
+
+
+def scratch_folder(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A new folder below ``base``, or below the session's checkpoint folder; without either an error."""
+    base = base or scratch_base(spark)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="newslens-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/newslens/{name}-{uuid.uuid4().hex}"
 
 
