@@ -23,10 +23,9 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_chat_formatting(spark, folder):
     """Prefix-target examples of all conversations, and what reading them back gives per conversation."""
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.range(1).select(
-        F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("turn")
-    ).select(
-        "conv_id", "turn", F.when(F.col("turn") == 0, "user").otherwise("assistant").alias("role"),
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     return chat.digests(chat.expand(turns.unionByName(probe)))
@@ -111,22 +110,22 @@ def statements() -> dict[str, str]:
                 union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
             sized as (
                 select *, length('<s>' || {_ESCAPED.format('role')} || '<|>' || {_ESCAPED.format('text')} || '</s>') as n,
-                    row_number() over (partition by conv_id order by turn nulls first, role, text) as at,
+                    row_number() over (partition by conv_id order by turn nulls first, role, text) as nr,
                     count(*) over (partition by conv_id) as last
                 from turns),
             prefixed as (
-                select *, sum(n) over (partition by conv_id order by at) as prefix from sized)
+                select *, sum(n) over (partition by conv_id order by nr) as prefix from sized)
             select conv_id, count(*) as n_turns,
-                sha256(string_agg(role || chr(10) || text || chr(10), '' order by at)) as turns_sha256,
+                sha256(string_agg(role || chr(10) || text || chr(10), '' order by nr)) as turns_sha256,
                 cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-                sha256(coalesce(string_agg(text, '' order by at) filter (role = 'assistant'), '')) as loss_sha256,
-                cast(sum(prefix) filter (role = 'assistant' or at = last) as bigint) as formatted_chars,
+                sha256(coalesce(string_agg(text, '' order by nr) filter (role = 'assistant'), '')) as loss_sha256,
+                cast(sum(prefix) filter (role = 'assistant' or nr = last) as bigint) as formatted_chars,
                 count(*) filter (role = 'assistant') as n_examples
             from prefixed group by conv_id""",
         "op5_substrings": f"""
             with split as (
                 select row_number() over () as r, doc_id,
-                    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+                    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
                 from documents),
             windows as (
                 select r, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') as win
@@ -137,7 +136,7 @@ def statements() -> dict[str, str]:
                 select distinct r, i + j as i from twice, unnest(range(0, {WINDOW})) as t(j)),
             gone as (select r, list(i) as gone, count(*) as n from covered group by r)
             select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed,
-                sha256(array_to_string(list_filter(w, (x, i) -> not list_contains(coalesce(gone, []), i)), ' ')) as kept_sha256
+                sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ')) as kept_sha256
             from split left join gone using (r)""",
         "op6_exact_dedup": f"""
             with normal as (select doc_id, {_LOWER} as t from documents)
@@ -158,8 +157,8 @@ def statements() -> dict[str, str]:
             with recursive vectors as (
                 select vec_id, label, cast(embedding as double[]) as e from embeddings
                 where label is not null and embedding is not null
-                    and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))
-                    and list_bool_or(list_transform(embedding, x -> x <> 0))),
+                    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+                    and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
             links as (
                 select a.vec_id as a, b.vec_id as b from vectors a join vectors b
                 on a.label = b.label and a.vec_id <> b.vec_id
