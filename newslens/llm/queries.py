@@ -54,8 +54,8 @@ def op4_simhash(spark, folder):
 
 def op5_substrings(spark, folder):
     """Documents without the words of windows that occur again."""
-    left = substrings.remove_repeats(_table(spark, folder, "documents"), WINDOW)
-    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    left = substrings.remove_repeats(_table(spark, folder, "documents"), WINDOW, F.sha2("kept", 256))
+    return left.withColumnRenamed("kept", "kept_sha256")
 
 
 def op6_exact_dedup(spark, folder):

@@ -8,7 +8,7 @@ them reach, and those alone again are dropped. The rest is extended to the wante
 stretch of long windows that share an anchor is compared at once, and only stretches that are alone
 there are taken apart into single windows. Nothing longer is asked for, so no candidate survives that.
 
-Hashes are polynomials modulo 2**64 of 64-bit word hashes, and always compared together with the
+Equal texts are one text with a weight, so a group of copies is looked at once. Hashes are polynomials modulo 2**64 of 64-bit word hashes, and always compared together with the
 anchor's own hash, so equality rests on 128 bits.
 """
 
@@ -29,11 +29,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between the white space of ASCII."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 class Hashes:
     """Window hashes of the words of several texts, at most ``RUN`` + a window of them."""
 
@@ -93,11 +88,11 @@ def anchors(words: list[bytes], sizes: list[int], length: int) -> tuple[np.ndarr
     return text, first - bounds[text], count, short_hash[anchor], hashes.at(first, last + length), right, left
 
 
-def _runs(batch: pa.RecordBatch, at: int, length: int) -> Iterator[tuple[list[int], list[int], list[bytes], list[int]]]:
-    """Rows, offsets, words and sizes in runs; a text longer than a run comes in pieces that overlap."""
+def _runs(texts: Iterator[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes], list[int]]]:
+    """Texts, offsets, words and sizes in runs; a text longer than a run comes in pieces that overlap."""
     rows, offsets, words, sizes = [], [], [], []
-    for i, value in enumerate(batch.column(at)):
-        own = words_of(value.as_py())
+    for i, text in enumerate(texts):
+        own = text.split()  # at the white space of ASCII
         for a in range(0, max(1, len(own) - length + 1), RUN):
             piece = own[a:a + RUN + length - 1]
             rows.append(i)
@@ -111,17 +106,39 @@ def _runs(batch: pa.RecordBatch, at: int, length: int) -> Iterator[tuple[list[in
         yield rows, offsets, words, sizes
 
 
+def _digested(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.sha2(text, 256).alias("digest"), text.alias("text"))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``tid, digest, weight, small``: every text once, compressed, with weight 2 if it has copies."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            small = [press.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["digest", "small"])
+
+    packed = _digested(docs).select("digest", "text").mapInArrow(run, "digest string, small binary")
+    texts = packed.groupBy("digest").agg(F.first("small").alias("small"), F.count("*").alias("copies"))
+    return stored(texts.select(
+        F.monotonically_increasing_id().alias("tid"), "digest", F.least("copies", F.lit(2)).cast("int").alias("weight"), "small"
+    ), "texts")
+
+
 def find_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """``doc_id, own, spot, h, s`` per anchor; ``spot`` packs first window, their number and doubled hashes.
+    """``tid, weight, spot, h, s`` per anchor; ``spot`` packs first window, their number and doubled hashes.
 
     Thirteen bits of each doubled hash suffice to leave candidates out; what they let through is compared
     at the wanted length.
     """
 
     def run(batches):
+        plain = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, own = batch.column(0), batch.column(1)
-            for rows, offsets, words, sizes in _runs(batch, 2, length):
+            tid, weight = batch.column(0), batch.column(1)
+            for rows, offsets, words, sizes in _runs((plain.decompress(t.as_py()) for t in batch.column(2)), length):
                 text, first, count, h, s, right, left = anchors(words, sizes, length)
                 if not len(text):
                     continue
@@ -130,25 +147,11 @@ def find_anchors(texts: DataFrame, length: int) -> DataFrame:
                 spot |= count.astype(np.uint64) << np.uint64(26)
                 spot |= (right >> np.uint64(51)) << np.uint64(13) | left >> np.uint64(51)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(row), own.take(row), *(pa.array(x.view(np.int64)) for x in (spot, h, s))],
-                    names=["doc_id", "own", "spot", "h", "s"],
+                    [tid.take(row), weight.take(row), *(pa.array(x.view(np.int64)) for x in (spot, h, s))],
+                    names=["tid", "weight", "spot", "h", "s"],
                 )
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, own bigint, spot bigint, h bigint, s bigint")
-
-
-def packed(texts: DataFrame) -> DataFrame:
-    """Texts compressed, for shuffles that need them whole."""
-
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            small = [press.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["doc_id", "own", "small"])
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, own bigint, small binary")
+    return texts.select("tid", "weight", "small").mapInArrow(run, "tid bigint, weight int, spot bigint, h bigint, s bigint")
 
 
 def _first(spot: Column) -> Column:
@@ -159,26 +162,20 @@ def _count(spot: Column) -> Column:
     return F.shiftright(spot, 26).bitwiseAND(F.lit(63))
 
 
-def _by_text(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on text and id, with null ids equal; the right side's keys are named ``of_id`` and ``of_own``."""
-    same = left["doc_id"].eqNullSafe(right["of_id"]) & (left["own"] == right["of_own"])
-    return left.join(right, same, how).drop("of_id", "of_own")
-
-
 def _few(found: DataFrame, counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Settled and open stretches among anchors that occur from twice to ``limit`` times."""
-    again = counts.filter((F.col("n") >= 2) & (F.col("n") <= limit)).select(F.col("h").alias("again"))
+    again = counts.filter((F.col("n") >= 2) & (F.col("places") <= limit)).select(F.col("h").alias("again"))
     rows = found.join(again, found["h"] == again["again"]).drop("again")
     right, left = F.shiftright("spot", 13).bitwiseAND(F.lit(8191)), F.col("spot").bitwiseAND(F.lit(8191))
     both = rows.withColumn("right", right).withColumn("left", left)
     doubled = both.withColumn(
-        "twice", F.greatest(*[F.count("*").over(Window.partitionBy("h", side)) for side in ("right", "left")])
+        "twice", F.greatest(*[F.sum("weight").over(Window.partitionBy("h", side)) for side in ("right", "left")])
     ).filter("twice >= 2")
     whole = Window.partitionBy("h", "s")
-    judged = doubled.withColumn("same", F.count("*").over(whole)).withColumn(
-        "nth", F.row_number().over(whole.orderBy("doc_id", "own", "spot"))
+    judged = doubled.withColumn("same", F.sum("weight").over(whole)).withColumn(
+        "nth", F.row_number().over(whole.orderBy("tid", "spot"))
     ).withColumn("alone", F.min("same").over(Window.partitionBy("h")) == 1)
-    judged = judged.filter("same >= 2 or alone").select("doc_id", "own", "spot", "h", "same", "nth", "alone")
+    judged = judged.filter("same >= 2 or alone").select("tid", "spot", "h", "same", "nth", "alone")
     judged = stored(judged, "stretches")
     return judged.filter("same >= 2"), judged.filter("alone and nth = 1")
 
@@ -187,19 +184,17 @@ def _many(found: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for anchors that occur more often, counted on the map side."""
     rows = found.join(F.broadcast(hot), "h", "left_semi")
     kinds = stored(rows.groupBy("h", "s").agg(
-        F.count("*").alias("same"), F.min(F.struct("doc_id", "own", "spot")).alias("one")
+        F.sum("weight").alias("same"), F.min(F.struct("tid", "spot")).alias("one")
     ), "kinds")
     repeated = kinds.filter("same >= 2").select(F.col("h").alias("of_h"), F.col("s").alias("of_s"))
     settled = rows.join(repeated, (rows["h"] == repeated["of_h"]) & (rows["s"] == repeated["of_s"]), "left_semi")
-    return settled, kinds.select("one.doc_id", "one.own", "one.spot", "h")
+    return settled, kinds.select("one.tid", "one.spot", "h")
 
 
 def windows(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """``doc_id, own, at, h, w``: the single long windows of open stretches."""
-    wanted = open_.groupBy(F.col("doc_id").alias("of_id"), F.col("own").alias("of_own")).agg(
-        F.collect_set(F.struct("spot", "h")).alias("spots")
-    )
-    rows = _by_text(packed(texts), wanted, "inner").select("doc_id", "own", "small", "spots.spot", "spots.h")
+    """``tid, weight, at, h, w``: the single long windows of open stretches."""
+    wanted = open_.groupBy(F.col("tid").alias("of")).agg(F.collect_set(F.struct("spot", "h")).alias("spots"))
+    rows = texts.join(wanted, texts["tid"] == wanted["of"]).select("tid", "weight", "small", "spots.spot", "spots.h")
 
     def run(batches):
         plain = zstandard.ZstdDecompressor()
@@ -208,8 +203,6 @@ def windows(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
                 words = plain.decompress(batch.column(2)[i].as_py()).split()
                 spots, h = (np.array(batch.column(c)[i].as_py(), np.int64) for c in (3, 4))
                 first, count = spots >> 32, spots >> 26 & 63
-                order = np.argsort(first, kind="stable")
-                first, count, h = first[order], count[order], h[order]
                 for a in range(0, max(1, len(words) - length + 1), RUN):
                     piece = words[a:a + RUN + length - 1]
                     starts = np.repeat(first - a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -221,60 +214,52 @@ def windows(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
                         row = pa.array(np.full(len(starts), i))
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).take(row), batch.column(1).take(row), pa.array(starts + a), pa.array(anchor), pa.array(w.view(np.int64))],
-                            names=["doc_id", "own", "at", "h", "w"],
+                            names=["tid", "weight", "at", "h", "w"],
                         )
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, own bigint, at bigint, h bigint, w bigint")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("own"), text.alias("text"))
+    return rows.mapInArrow(run, "tid bigint, weight int, at bigint, h bigint, w bigint")
 
 
-def repeated_windows(docs: DataFrame, length: int = 35, often: int = 10_000) -> DataFrame:
-    """``doc_id, own, first, count``: runs of windows of ``length`` words that start more than once in all texts.
+def repeated_windows(texts: DataFrame, length: int = 35, often: int = 10_000) -> DataFrame:
+    """``tid, first, count``: runs of windows of ``length`` words that start more than once in ``distinct_texts``.
 
-    ``own`` is the hash of the text, so that rows of one id stay apart. Anchors with more than ``often``
-    occurrences, and more than a ten-thousandth of all, go a way of their own that splits them over tasks;
-    there are at most 10,000 such anchors, which is what is broadcast. Null texts have no words.
+    Anchors with more than ``often`` occurrences, and more than a ten-thousandth of all, go a way of their
+    own that splits them over tasks; there are at most 10,000 such anchors, which is what is broadcast.
     """
     if not 4 <= length <= 80:
         raise ValueError("windows have 4 to 80 words")  # counts of windows at an anchor are packed into six bits
-    texts = keyed(docs)
     found = stored(find_anchors(texts, length), "anchors")
-    counts = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n >= 2"), "anchor-counts")
-    limit = max(often, (counts.agg(F.sum("n")).first()[0] or 0) // 10_000)
-    hot = counts.filter(F.col("n") > limit).select("h")
+    counts = stored(found.groupBy("h").agg(F.sum("weight").alias("n"), F.count("*").alias("places")).filter("n >= 2"), "anchor-counts")
+    limit = max(often, (counts.agg(F.sum("places")).first()[0] or 0) // 10_000)
+    hot = counts.filter(F.col("places") > limit).select("h")
     settled, open_ = _few(found, counts, limit)
     if hot.take(1):
         more_settled, more_open = _many(found, hot)
-        settled, open_ = (a.select(*names).unionByName(b.select(*names)) for a, b, names in (
-            (settled, more_settled, ["doc_id", "own", "spot"]), (open_, more_open, ["doc_id", "own", "spot", "h"]),
-        ))
+        settled = settled.select("tid", "spot").unionByName(more_settled.select("tid", "spot"))
+        open_ = open_.select("tid", "spot", "h").unionByName(more_open)
     single = stored(windows(texts, open_, length), "windows")
-    twice = single.groupBy(F.col("h").alias("of_h"), F.col("w").alias("of_w")).agg(F.count("*").alias("n")).filter("n >= 2")
+    twice = single.groupBy(F.col("h").alias("of_h"), F.col("w").alias("of_w")).agg(F.sum("weight").alias("n")).filter("n >= 2")
     again = single.join(twice, (single["h"] == twice["of_h"]) & (single["w"] == twice["of_w"]), "left_semi")
-    return settled.select("doc_id", "own", _first(F.col("spot")).alias("first"), _count(F.col("spot")).alias("count")).unionByName(
-        again.select("doc_id", "own", F.col("at").alias("first"), F.lit(1).cast("long").alias("count"))
+    return settled.select("tid", _first(F.col("spot")).alias("first"), _count(F.col("spot")).alias("count")).unionByName(
+        again.select("tid", F.col("at").alias("first"), F.lit(1).cast("long").alias("count"))
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, result: Column | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: every text without the words of windows that occur again.
 
-    Words are what lies between ASCII white space, unchanged; ``kept`` joins what stays by one space. All
+    Words are what lies between ASCII white space, unchanged; ``kept`` joins what stays by one space, or is
+    ``result``, an expression of that ``kept``, taken before it is handed to all rows of its text. All
     windows are judged on the input. Texts shorter than a window keep all words; null texts have none.
-    Rows equal in id and text repeat each other. Null ids are values like others, further columns are not
-    read, empty input gives no rows.
+    Rows equal in text repeat each other. Null ids are values like others, further columns are not read,
+    empty input gives no rows.
     """
-    found = repeated_windows(docs, length).select(
-        F.col("doc_id").alias("of_id"), F.col("own").alias("of_own"),
-        F.shiftleft("first", 8).bitwiseOR(F.col("count")).alias("run"),
+    texts = distinct_texts(docs)
+    found = repeated_windows(texts, length).select(
+        F.col("tid").alias("of"), F.shiftleft("first", 8).bitwiseOR(F.col("count")).alias("run")
     )
-    runs = found.groupBy("of_id", "of_own").agg(F.collect_set("run").alias("runs"))
-    rows = _by_text(packed(keyed(docs)), runs, "left").select("doc_id", "small", "runs")
+    runs = found.groupBy("of").agg(F.collect_set("run").alias("runs"))
+    rows = texts.join(runs, texts["tid"] == runs["of"], "left").select("digest", "small", "runs")
 
     def run(batches):
         plain = zstandard.ZstdDecompressor()
@@ -293,8 +278,10 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                names=["of", "n_words", "n_removed", "kept"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    judged = rows.mapInArrow(run, "of string, n_words bigint, n_removed bigint, kept string")
+    judged = judged.select("of", "n_words", "n_removed", (F.col("kept") if result is None else result).alias("kept"))
+    ids = _digested(docs).select("doc_id", "digest")
+    return ids.join(judged, ids["digest"] == judged["of"]).select("doc_id", "n_words", "n_removed", "kept")
