@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newslens.llm.stored import stored
 
@@ -115,7 +115,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     """``tid, digest, weight, small``: every text once, compressed, with weight 2 if it has copies."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             small = [press.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["digest", "small"])
@@ -162,33 +162,36 @@ def _count(spot: Column) -> Column:
     return F.shiftright(spot, 26).bitwiseAND(F.lit(63))
 
 
-def _few(found: DataFrame, counts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Settled and open stretches among anchors that occur from twice to ``limit`` times."""
-    again = counts.filter((F.col("n") >= 2) & (F.col("places") <= limit)).select(F.col("h").alias("again"))
-    rows = found.join(again, found["h"] == again["again"]).drop("again")
-    right, left = F.shiftright("spot", 13).bitwiseAND(F.lit(8191)), F.col("spot").bitwiseAND(F.lit(8191))
-    both = rows.withColumn("right", right).withColumn("left", left)
-    doubled = both.withColumn(
-        "twice", F.greatest(*[F.sum("weight").over(Window.partitionBy("h", side)) for side in ("right", "left")])
-    ).filter("twice >= 2")
-    whole = Window.partitionBy("h", "s")
-    judged = doubled.withColumn("same", F.sum("weight").over(whole)).withColumn(
-        "nth", F.row_number().over(whole.orderBy("tid", "spot"))
-    ).withColumn("alone", F.min("same").over(Window.partitionBy("h")) == 1)
-    judged = judged.filter("same >= 2 or alone").select("tid", "spot", "h", "same", "nth", "alone")
-    judged = stored(judged, "stretches")
-    return judged.filter("same >= 2"), judged.filter("alone and nth = 1")
-
-
-def _many(found: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same for anchors that occur more often, counted on the map side."""
-    rows = found.join(F.broadcast(hot), "h", "left_semi")
+def _sides(kinds: DataFrame) -> list[DataFrame]:
+    """Kinds whose doubled window is not alone: to the right, and to the left."""
+    found = []
+    for side in (F.shiftright("spot", 13).bitwiseAND(F.lit(8191)), F.col("spot").bitwiseAND(F.lit(8191))):
+        own = kinds.withColumn("side", side)
+        again = own.groupBy(F.col("h").alias("of_h"), F.col("side").alias("of_side")).agg(F.sum("same").alias("n")).filter("n >= 2")
+        found.append(own.join(again, (own["h"] == again["of_h"]) & (own["side"] == again["of_side"]), "left_semi"))
+    return found
+
+
+def stretches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors whose whole stretch repeats, and of each other kind of stretch that may repeat in part, one.
+
+    Among the latter is one of every repeated kind that shares its anchor with a kind that is alone, as
+    windows of the two may be equal. Counts are added up on the map side, and joins have a side with one
+    row for each key, so an anchor of very many places can be split over tasks.
+    """
+    again = found.groupBy(F.col("h").alias("again")).agg(F.sum("weight").alias("n")).filter("n >= 2")
+    rows = stored(found.join(again, found["h"] == again["again"], "left_semi"), "repeated-anchors")
     kinds = stored(rows.groupBy("h", "s").agg(
-        F.sum("weight").alias("same"), F.min(F.struct("tid", "spot")).alias("one")
+        F.sum("weight").alias("same"), F.first("tid").alias("tid"), F.first("spot").alias("spot")
     ), "kinds")
-    repeated = kinds.filter("same >= 2").select(F.col("h").alias("of_h"), F.col("s").alias("of_s"))
-    settled = rows.join(repeated, (rows["h"] == repeated["of_h"]) & (rows["s"] == repeated["of_s"]), "left_semi")
-    return settled, kinds.select("one.tid", "one.spot", "h")
+    whole = kinds.filter("same >= 2").select(F.col("h").alias("of_h"), F.col("s").alias("of_s"))
+    settled = rows.join(whole, (rows["h"] == whole["of_h"]) & (rows["s"] == whole["of_s"]), "left_semi")
+    partly = kinds.groupBy(F.col("h").alias("of")).agg(
+        F.min("same").alias("least"), F.count("*").alias("n")
+    ).filter("least = 1 and n >= 2")
+    loose = stored(kinds.join(partly, kinds["h"] == partly["of"], "left_semi"), "loose")
+    right, left = _sides(loose)
+    return settled.select("tid", "spot"), right.unionByName(left).select("tid", "spot", "h")
 
 
 def windows(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
@@ -220,23 +223,11 @@ def windows(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "tid bigint, weight int, at bigint, h bigint, w bigint")
 
 
-def repeated_windows(texts: DataFrame, length: int = 35, often: int = 10_000) -> DataFrame:
-    """``tid, first, count``: runs of windows of ``length`` words that start more than once in ``distinct_texts``.
-
-    Anchors with more than ``often`` occurrences, and more than a ten-thousandth of all, go a way of their
-    own that splits them over tasks; there are at most 10,000 such anchors, which is what is broadcast.
-    """
+def repeated_windows(texts: DataFrame, length: int = 35) -> DataFrame:
+    """``tid, first, count``: runs of windows of ``length`` words that start more than once in ``distinct_texts``."""
     if not 4 <= length <= 80:
         raise ValueError("windows have 4 to 80 words")  # counts of windows at an anchor are packed into six bits
-    found = stored(find_anchors(texts, length), "anchors")
-    counts = stored(found.groupBy("h").agg(F.sum("weight").alias("n"), F.count("*").alias("places")).filter("n >= 2"), "anchor-counts")
-    limit = max(often, (counts.agg(F.sum("places")).first()[0] or 0) // 10_000)
-    hot = counts.filter(F.col("places") > limit).select("h")
-    settled, open_ = _few(found, counts, limit)
-    if hot.take(1):
-        more_settled, more_open = _many(found, hot)
-        settled = settled.select("tid", "spot").unionByName(more_settled.select("tid", "spot"))
-        open_ = open_.select("tid", "spot", "h").unionByName(more_open)
+    settled, open_ = stretches(stored(find_anchors(texts, length), "anchors"))
     single = stored(windows(texts, open_, length), "windows")
     twice = single.groupBy(F.col("h").alias("of_h"), F.col("w").alias("of_w")).agg(F.sum("weight").alias("n")).filter("n >= 2")
     again = single.join(twice, (single["h"] == twice["of_h"]) & (single["w"] == twice["of_w"]), "left_semi")
