@@ -167,7 +167,8 @@ def _sides(kinds: DataFrame) -> list[DataFrame]:
     found = []
     for side in (F.shiftright("spot", 13).bitwiseAND(F.lit(8191)), F.col("spot").bitwiseAND(F.lit(8191))):
         own = kinds.withColumn("side", side)
-        again = own.groupBy(F.col("h").alias("of_h"), F.col("side").alias("of_side")).agg(F.sum("same").alias("n")).filter("n >= 2")
+        again = own.groupBy(F.col("h").alias("of_h"), F.col("side").alias("of_side")).agg(F.sum("same").alias("n"))
+        again = stored(again.filter("n >= 2").select("of_h", "of_side"), "doubled")
         found.append(own.join(again, (own["h"] == again["of_h"]) & (own["side"] == again["of_side"]), "left_semi"))
     return found
 
@@ -176,10 +177,11 @@ def stretches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Anchors whose whole stretch repeats, and of each other kind of stretch that may repeat in part, one.
 
     Among the latter is one of every repeated kind that shares its anchor with a kind that is alone, as
-    windows of the two may be equal. Counts are added up on the map side, and joins have a side with one
-    row for each key, so an anchor of very many places can be split over tasks.
+    windows of the two may be equal. Counts are added up on the map side and stored, so that the joins
+    with them have two plain shuffles and adaptive execution can split an anchor of very many places.
     """
     again = found.groupBy(F.col("h").alias("again")).agg(F.sum("weight").alias("n")).filter("n >= 2")
+    again = stored(again.select("again"), "anchor-hashes")
     rows = stored(found.join(again, found["h"] == again["again"], "left_semi"), "repeated-anchors")
     kinds = stored(rows.groupBy("h", "s").agg(
         F.sum("weight").alias("same"), F.first("tid").alias("tid"), F.first("spot").alias("spot")
@@ -189,6 +191,7 @@ def stretches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     partly = kinds.groupBy(F.col("h").alias("of")).agg(
         F.min("same").alias("least"), F.count("*").alias("n")
     ).filter("least = 1 and n >= 2")
+    partly = stored(partly.select("of"), "partly")
     loose = stored(kinds.join(partly, kinds["h"] == partly["of"], "left_semi"), "loose")
     right, left = _sides(loose)
     return settled.select("tid", "spot"), right.unionByName(left).select("tid", "spot", "h")
@@ -230,6 +233,7 @@ def repeated_windows(texts: DataFrame, length: int = 35) -> DataFrame:
     settled, open_ = stretches(stored(find_anchors(texts, length), "anchors"))
     single = stored(windows(texts, open_, length), "windows")
     twice = single.groupBy(F.col("h").alias("of_h"), F.col("w").alias("of_w")).agg(F.sum("weight").alias("n")).filter("n >= 2")
+    twice = stored(twice.select("of_h", "of_w"), "repeated-windows")
     again = single.join(twice, (single["h"] == twice["of_h"]) & (single["w"] == twice["of_w"]), "left_semi")
     return settled.select("tid", _first(F.col("spot")).alias("first"), _count(F.col("spot")).alias("count")).unionByName(
         again.select("tid", F.col("at").alias("first"), F.lit(1).cast("long").alias("count"))
