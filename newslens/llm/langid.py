@@ -276,8 +276,11 @@ def fit(
         counts[lang] = keys[by], own["n"].to_numpy(np.int64)[by]
     model = kneser_ney(counts)
     chosen = labelled.filter(calibration & F.col("lang").isin(model.langs)) if model.langs else labelled.limit(0)
-    sample = chosen.withColumn("_h", F.xxhash64("text")).orderBy("_h", "lang").limit(calibration_rows).drop("_h")
-    scored = identify(sample.select("lang", "text"), model, keep=["lang"])
+    # Hashes alone decide, so that no task gathers the texts; copies of a text count once.
+    hashed = chosen.select("lang", "text", F.xxhash64("text").alias("h"))
+    edge = hashed.select("h").distinct().orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
+    sample = hashed.filter(F.col("h") <= F.lit(edge)).dropDuplicates(["h"])
+    scored = identify(sample, model, keep=["lang"])
     model.limits = calibrated([
         (r["lang"], r["cross_entropy"], r["letters"]) for r in scored.collect() if r["lang_pred"] == r["lang"]
     ])
