@@ -2,13 +2,14 @@
 
 The leaves of the tree hold the ranks of adjacent pairs; its root yields the leftmost pair of the lowest
 rank. A merge changes three leaves, each in logarithmic time, until no mergeable pair remains. Words
-of a task are remembered, so each is merged once; the memory is emptied when it is full.
+are remembered by the worker, so each is merged once; the memory is emptied when it is full.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -17,62 +18,71 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-NONE = 1 << 62
+NEVER = 1 << 50  # the rank of a pair that is not merged
 
-
-class PairTree:
-    """Minimum over (rank, position) of the pairs of a word's symbols."""
-
-    def __init__(self, ranks: list[int]):
-        self.size = 1
-        while self.size < len(ranks):
-            self.size *= 2
-        self.low = [NONE] * (2 * self.size)
-        for i, rank in enumerate(ranks):
-            self.low[self.size + i] = NONE if rank is None else rank * self.size + i
-        for i in range(self.size - 1, 0, -1):
-            self.low[i] = min(self.low[2 * i], self.low[2 * i + 1])
-
-    def first(self) -> int:
-        """Position of the leftmost pair of the lowest rank, or -1."""
-        return -1 if self.low[1] == NONE else self.low[1] % self.size
-
-    def put(self, at: int, rank: int | None) -> None:
-        i = self.size + at
-        self.low[i] = NONE if rank is None else rank * self.size + at
-        while i > 1:
-            i //= 2
-            low = min(self.low[2 * i], self.low[2 * i + 1])
-            if self.low[i] == low:
-                break
-            self.low[i] = low
+# White space, ASCII and the letters of Latin-1 and Latin Extended, whose classes are plain ranges.
+_LATIN = "\\t\\n\\r -~À-ÖØ-öø-ÿĀ-ɏ"
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿĀ-ɏ"
 
 
 def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """``symbols`` after all merges, lowest rank first and leftmost first."""
+    """``symbols`` after all merges, lowest rank first and leftmost first.
+
+    Leaf i of the tree is ``rank * size + i`` of the pair that begins at symbol i, so the smallest
+    leaf is the leftmost pair of the lowest rank; inner nodes hold the smaller of their two.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
     symbols = list(symbols)
-    tree = PairTree([ranks.get((symbols[i], symbols[i + 1])) for i in range(n - 1)])
+    size, rank = 1 << (n - 2).bit_length(), ranks.get
+    none = NEVER * size
+    low = [none] * size + [rank(p, NEVER) * size + i for i, p in enumerate(zip(symbols, symbols[1:], strict=False))]
+    low += [none] * (2 * size - len(low))
+    for i in range(size - 1, 0, -1):
+        a, b = low[2 * i], low[2 * i + 1]
+        low[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (i := tree.first()) >= 0:
+    while low[1] < none:
+        i = low[1] & (size - 1)
         j = after[i]
         symbols[i] += symbols[j]
         symbols[j] = ""
         after[i] = k = after[j]
-        if j < n - 1:
-            tree.put(j, None)
+        leaves = [(i, rank((symbols[i], symbols[k]), NEVER) * size + i if k < n else none)]
         if k < n:
             before[k] = i
-            tree.put(i, ranks.get((symbols[i], symbols[k])))
-        else:
-            tree.put(i, None)
+            leaves.append((j, none))
         if (h := before[i]) >= 0:
-            tree.put(h, ranks.get((symbols[h], symbols[i])))
+            leaves.append((h, rank((symbols[h], symbols[i]), NEVER) * size + h))
+        for at, leaf in leaves:
+            at += size
+            low[at] = leaf
+            while at > 1:
+                a, b = low[at], low[at ^ 1]
+                at >>= 1
+                if a > b:
+                    a = b
+                if low[at] == a:
+                    break
+                low[at] = a
     return [s for s in symbols if s]
 
 
+class Remembered(dict):
+    """Values made when they are first looked up; emptied when it holds ``most``."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
 def byte_letters() -> list[str]:
     """The letter of each byte: printable Latin-1 as it is, the others from U+0100 on, in order."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -89,7 +99,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A tokenizer file of the kind: NFC, white space, lower case; words; bytes; BPE with word ends."""
 
-    def __init__(self, content: str, memory: int = 500_000):
+    def __init__(self, content: str, memory: int = 600_000):
         spec = json.loads(content)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -101,36 +111,38 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        # The same pattern for texts whose letters are ranges that the standard library knows.
+        self.latin = re.compile(f"[{_LATIN}]*")
+        known = pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", "0-9")
+        self.latin_words = re.compile(known) if r"\p" not in known else None
         self.letters = byte_letters()
-        self.memory, self.known = memory, {}
-
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids of a word as little-endian 32-bit integers, and its tokens joined by spaces."""
-        found = self.known.get(word)
-        if found is None:
-            symbols = [self.letters[b] for b in word.encode()]
-            symbols[-1] += self.end
-            tokens = merge(symbols, self.ranks)
-            ids = np.array([self.vocab[t] for t in tokens], "<u4").tobytes()
-            found = ids, " ".join(tokens).encode()
-            if len(self.known) >= self.memory:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def pieces(self, text: str) -> Iterator[tuple[bytes, bytes]]:
+        self.ids = Remembered(self._ids, memory)
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word as little-endian 32-bit integers."""
+        symbols = [self.letters[b] for b in word.encode()]
+        symbols[-1] += self.end
+        return np.array([self.vocab[t] for t in merge(symbols, self.ranks)], "<u4").tobytes()
+
+    def pieces(self, text: str) -> Iterator[tuple[list[str], str | None]]:
+        """Words of each stretch between special tokens, or such a token."""
         for part in self.marks.split(text):
             if part in self.special:
-                yield np.array([self.special[part]], "<u4").tobytes(), part.encode()
+                yield [], part
             elif part:
-                yield from map(self.word, self.words.findall(normalise(part)))
+                plain = normalise(part)
+                words = self.latin_words if self.latin_words and self.latin.fullmatch(plain) else self.words
+                yield words.findall(plain), None
 
     def encode(self, text: str) -> bytes:
-        return b"".join(ids for ids, _ in self.pieces(text))
+        ids = []
+        for words, token in self.pieces(text):
+            ids.append(np.array([self.special[token]], "<u4").tobytes() if token else b"".join(map(self.ids.__getitem__, words)))
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces, as this kind of file names no decoder."""
-        return " ".join(self.names[i] for i in np.frombuffer(ids, "<u4").tolist())
+        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def normalise(text: str) -> str:
@@ -151,22 +163,21 @@ def encode(docs: DataFrame, tokenizer: str, ids: bool = True, text: str = "text"
     is shuffled. The digests are taken of the ids and of the text decoded from them.
     """
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tokenizer)  # a vocabulary file, a few MB whatever the input
+    # A vocabulary file, a few MB whatever the input; a worker keeps the coder made of it, with its words.
+    shared = spark.sparkContext.broadcast({"file": tokenizer})
     names = [key, "n_tokens", *(["token_ids"] if ids else []), "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordBpe(shared.value)
+        held = shared.value
+        coder = held["coder"] = held.get("coder") or WordBpe(held["file"])
         for batch in batches:
             counts, encoded, digests, decoded = [], [], [], []
             for value in batch.column(1):
-                value = value.as_py() or ""
-                parts = list(coder.pieces(value))
-                joined = b"".join([p[0] for p in parts])
+                joined = coder.encode(value.as_py() or "")
                 counts.append(len(joined) // 4)
                 encoded.append(joined if ids else b"")
                 digests.append(hashlib.sha256(joined).hexdigest())
-                # Each part was decoded from its own ids; parts are joined as tokens are.
-                decoded.append(hashlib.sha256(b" ".join([p[1] for p in parts])).hexdigest())
+                decoded.append(hashlib.sha256(coder.decode(joined).encode()).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(encoded, pa.binary())] if ids else []), pa.array(digests), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
