@@ -1,6 +1,6 @@
 """Outlet geography and country labels."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from newslens import dims
 from newslens.functions import fields, tone
@@ -22,11 +22,11 @@ def outlet_country(
     if tlds is None:
         tlds = F.broadcast(dims.pairs_frame(spark, dims.country_tlds(), "tld", "iso3"))
     else:
-        tlds = tlds.filter(~F.col("tld").isin(*dims.GENERIC_TLDS)).dropDuplicates(["tld"])
+        tlds = tlds.filter(~F.col("tld").isin(*dims.GENERIC_TLDS)).groupBy("tld").agg(F.min("iso3").alias("iso3"))
     if outlets is None:
         outlets = F.broadcast(dims.pairs_frame(spark, dims.curated_outlets(), "domain", "iso3"))
     else:
-        outlets = outlets.dropDuplicates(["domain"])
+        outlets = outlets.groupBy("domain").agg(F.min("iso3").alias("iso3"))
     tlds = tlds.select(F.col("tld").alias("_tld"), F.col("iso3").alias("_tld_iso3"))
     outlets = outlets.select(F.col("domain").alias("_domain"), F.col("iso3").alias("_domain_iso3"))
     # The keys are columns of their own, so that cleaning a name is not repeated in each join.
@@ -74,18 +74,17 @@ def country_label_join(df: DataFrame, names: DataFrame, iso: str = "country_iso3
 
 def map_frame_join(names: DataFrame, frame: DataFrame) -> DataFrame:
     """Every country of the map with the frame's coverage, or the no-coverage default."""
-    joined = names.join(frame, names["iso3"] == frame["country_iso3"], "left").select(
+    # The frame's largest count, at least 1, over its one row per country.
+    scaled = frame.withColumn("_largest", F.max("article_count").over(Window.partitionBy()))
+    joined = names.join(scaled, names["iso3"] == scaled["country_iso3"], "left").select(
         "iso3",
         "name",
         "avg_tone",
         F.coalesce("article_count", F.lit(0)).cast("bigint").alias("article_count"),
+        F.greatest(F.lit(1), F.coalesce("_largest", F.lit(1))).alias("_largest"),
     )
-    # The frame's largest count, at least 1; the frame is small and its own countries set the scale.
-    largest = frame.select(
-        F.greatest(F.lit(1), F.coalesce(F.max("article_count"), F.lit(1)))
-    ).scalar()
     return joined.select(
-        "*",
+        "iso3", "name", "avg_tone", "article_count",
         tone.tone_intensity(F.col("avg_tone"), F.col("article_count")).alias("tone_intensity"),
-        tone.volume_ratio(F.col("article_count"), largest).alias("volume_ratio"),
+        tone.volume_ratio(F.col("article_count"), F.col("_largest")).alias("volume_ratio"),
     )

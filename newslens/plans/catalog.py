@@ -280,8 +280,8 @@ def narrative_affinity(spark, folder):
 
 
 def even_pick_join(spark, folder):
-    pool = feed.pool_sample(_parsed(spark, folder), 1500)
-    return _tidy(feed.even_pick_join(pool, 100, ("date", "DocumentIdentifier")))
+    single = feed.dedupe_articles(_parsed(spark, folder))
+    return _tidy(feed.even_pick_join(single, 100, ("date", "DocumentIdentifier")))
 
 
 # --- Aggregations ------------------------------------------------------------------

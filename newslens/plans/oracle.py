@@ -366,9 +366,9 @@ FROM dominant a JOIN dominant b ON a.key = b.key AND a.country_iso3 < b.country_
     picked = """SELECT DocumentIdentifier, SourceCommonName, date, round(tone, 8) AS tone FROM numbered
 WHERE pos IN (SELECT pick FROM picks)"""
     sql["even_pick_join"] = _with(
-        PARSED + ",\n" + _POOL.format(n=1500) + """,
-numbered AS (SELECT *, row_number() OVER (ORDER BY date, DocumentIdentifier) - 1 AS pos FROM pool),
-""" + _PICKS.format(final=100, rows="pool"), picked)
+        PARSED + """,
+numbered AS (SELECT *, row_number() OVER (ORDER BY date, DocumentIdentifier) - 1 AS pos FROM unique_docs),
+""" + _PICKS.format(final=100, rows="unique_docs"), picked)
 
     # Aggregations
     sql["daily_country_sentiment"] = _with(DAILY + ",\n" + DENSE_DAILY,
