@@ -8,6 +8,7 @@ ranges one after another are the capture history of all URLs in order.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -109,12 +110,12 @@ def write_archives(found: DataFrame, folder: str, records: int = 500) -> None:
     """Captures as archives of at most ``records`` records each, sorted by URL key, time and id.
 
     A record ends in two line ends, which are the line separator of Spark's text files; so the files are
-    plain WARC and committed like any other output.
+    WARC in gzip and committed like any other output.
     """
     ordered = found.sortWithinPartitions("url_key", "captured", "page_id")
     ordered.select(record(F.col("record_type")).alias("value")).write.option("lineSep", END).option(
         "maxRecordsPerFile", records
-    ).text(folder)
+    ).option("compression", "gzip").text(folder)
 
 
 _HEAD = re.compile(rb"^([A-Za-z-]+): (.*)$", re.M)
@@ -133,7 +134,7 @@ def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One index entry per record, without the URL keys' order across files; payload digests are taken anew.
+    """One index entry per record, file by file; offsets are within the decompressed file, digests are taken anew.
 
     A response whose payload does not have the digest of its header raises an error.
     """
@@ -147,7 +148,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
-                for offset, length, head, block in parse(content.as_py()):
+                for offset, length, head, block in parse(gzip.decompress(content.as_py())):
                     digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["WARC-Payload-Length"])
                     if head["WARC-Type"] == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4:]
