@@ -10,11 +10,7 @@ _DATASET = re.compile(r"^[A-Za-z0-9-]+$")
 
 def scratch_base(spark: SparkSession) -> str | None:
     """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get() if own.isDefined() else None
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def scratch_folder(spark: SparkSession, name: str, base: str | None = None) -> str:

@@ -151,17 +151,18 @@ def test_country_names(spark, tmp_path, rows):
     assert rows(datasets.country_names(spark, str(file))) == [("FRA", "France")]
 
 
-def session_stub(master, **conf):
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+def session_stub(context_folder=None, **conf):
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: context_folder))
 
 
 def test_scratch_folder_follows_the_session(spark):
     key = "spark.checkpoint.dir"
-    cluster = session_stub("yarn", **{key: "/shared/folder/"})
-    assert storage.scratch_folder(cluster, "x").startswith("/shared/folder/newslens/x-")
-    with pytest.raises(ValueError):
-        storage.scratch_folder(session_stub("yarn"), "x")
-    assert "newslens" in storage.scratch_folder(session_stub("local[2]"), "x")
+    configured = session_stub(**{key: "/shared/folder/"})
+    assert storage.scratch_folder(configured, "x").startswith("/shared/folder/newslens/x-")
+    assert storage.scratch_folder(session_stub("/context"), "x").startswith("/context/newslens/x-")
+    assert storage.scratch_folder(session_stub(), "x", "/given").startswith("/given/newslens/x-")
+    with pytest.raises(ValueError):  # whatever the master, no folder is made up
+        storage.scratch_folder(session_stub(), "x")
 
 
 def test_json_profile_of_stored_cube(spark, table):
