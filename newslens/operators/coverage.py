@@ -55,12 +55,16 @@ def fill_gaps(daily: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
 
     Each observation is expanded into the days up to the country's next one, so ``daily`` is
     computed once and shuffled once, by country. ``bounds`` is a one-row frame of the first and
-    last day (default: taken from ``daily``, at the price of computing it again). Observations
+    last day; by default it is taken from ``daily``, whose shuffle then serves both. Observations
     without a date are on no day of the spine.
     """
     daily = daily.filter(F.col("date").isNotNull())
     if bounds is None:
-        bounds = daily.select(F.min("date").alias("first"), F.max("date").alias("last"))
+        # Whole rows, date first: with fewer columns it would be another plan, and no shuffle be shared.
+        row = F.struct("date", *[c for c in daily.columns if c != "date"])
+        bounds = daily.agg(F.min(row).alias("low"), F.max(row).alias("high")).select(
+            F.col("low.date").alias("first"), F.col("high.date").alias("last")
+        )
     bounds = bounds.select(F.struct("first", "last")).scalar()
     first, last = bounds["first"], bounds["last"]
     by_date = Window.partitionBy("country_iso3").orderBy("date")

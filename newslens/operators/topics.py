@@ -10,6 +10,7 @@ from newslens.functions import fields, labels
 
 TOP_N = 30
 MIN_COUNTRY_MENTIONS = 50
+BROADCAST_STOPS = 10_000
 
 # Word list: how many entries of each list, their weight, and the text size range.
 BLEND_THEMES, BLEND_ORGS, BLEND_TOTAL = 18, 8, 26
@@ -94,6 +95,20 @@ def entry_counts(df: DataFrame, signals: list[Signal] | None = None) -> DataFram
     )
 
 
+def entry_articles(df: DataFrame, signals: list[Signal]) -> DataFrame:
+    """Distinct (raw entry, article) pairs with their key and name. Needs ``country_iso3`` and ``era``.
+
+    Pairs collapse before the cleaning, so the regexes run once per pair. A dropped entry has NULLs
+    as key, name and article.
+    """
+    pairs = _entries(df, signals, "country_iso3", "era", "DocumentIdentifier").distinct()
+    return _with_key(pairs, signals).select(
+        "signal", "country_iso3", "era", "key",
+        _per_signal(signals, lambda s: s.shown(F.col("key"), F.col("raw"))).alias("name"),
+        F.when(F.col("key").isNotNull(), F.col("DocumentIdentifier")).alias("article"),
+    )
+
+
 def mention_counts(
     df: DataFrame, signals: list[Signal] | None = None, distinct_articles: bool = False
 ) -> DataFrame:
@@ -133,9 +148,13 @@ def _no_mentions(df: DataFrame) -> DataFrame:
 
 
 def stop_anti_join(df: DataFrame, stops, key: str = "key") -> DataFrame:
-    """Remove rows whose key is on the stop list (a literal list, so its size is fixed)."""
-    listed = df.sparkSession.createDataFrame([(s,) for s in stops], f"{key} string")
-    return df.join(F.broadcast(listed), key, "left_anti")
+    """Remove rows whose key is on the stop list.
+
+    A list of up to ``BROADCAST_STOPS`` words is broadcast; beyond that Spark chooses the join.
+    """
+    words = sorted(set(stops))
+    listed = df.sparkSession.createDataFrame([(s,) for s in words], f"{key} string")
+    return df.join(F.broadcast(listed) if len(words) <= BROADCAST_STOPS else listed, key, "left_anti")
 
 
 def kept_countries(
@@ -154,12 +173,15 @@ def kept_country_semi_join(mentions: DataFrame, kept: DataFrame) -> DataFrame:
     return mentions.join(kept, "country_iso3", "left_semi")
 
 
-def topic_rollup(mentions: DataFrame, with_totals: bool = False) -> DataFrame:
+def topic_rollup(
+    mentions: DataFrame, with_totals: bool = False, count: Column | None = None
+) -> DataFrame:
     """Counts at four grains: overall, per era, per country, per country and era.
 
     ``scope`` is ``global`` or ``country`` and ``bucket`` is ``all`` or the era. Mentions without
     a country count in the global scope only. ``with_totals`` adds one row per country and signal
-    with scope ``total``, which serves the country threshold without a second pass.
+    with scope ``total``, which serves the country threshold without a second pass. ``count`` is
+    the aggregate to take at each grain (default: the sum of ``count``); rows without one are dropped.
     """
     grains = [
         ["signal", "key"], ["signal", "era", "key"],
@@ -178,13 +200,13 @@ def topic_rollup(mentions: DataFrame, with_totals: bool = False) -> DataFrame:
             [[F.col(c) for c in g] for g in grains], "signal", "country_iso3", "era", "key"
         )
         .agg(
-            F.sum("count").alias("count"),
+            (F.sum("count") if count is None else count).alias("count"),
             F.min("name").alias("name"),
             scope.alias("scope"),
             F.when(F.grouping("era") == 1, "all").otherwise(F.col("era").cast("string")).alias("bucket"),
         )
         .filter(
-            F.col("count").isNotNull()
+            (F.col("count") > 0)
             & ((F.col("scope") == "global") | fields.valid_country(F.col("country_iso3")))
         )
         .select("scope", "country_iso3", "bucket", "signal", "key", "name", "count")
@@ -205,9 +227,10 @@ def ranked_topics(
     n: int = TOP_N,
     threshold: int = MIN_COUNTRY_MENTIONS,
     signal: str = "orgs",
+    count: Column | None = None,
 ) -> DataFrame:
-    """Rollup, top n and country threshold in one pass over mention or entry counts."""
-    top = top_n_per_group(topic_rollup(mentions, with_totals=True), n)
+    """Rollup, top n and country threshold in one pass over mentions, entry counts or articles."""
+    top = top_n_per_group(topic_rollup(mentions, with_totals=True, count=count), n)
     is_total = (F.col("scope") == "total") & (F.col("signal") == signal)
     country_total = F.max(F.when(is_total, F.col("count"))).over(Window.partitionBy("country_iso3"))
     return (

@@ -8,14 +8,16 @@ from newslens.sources import articles as article_store, datasets
 
 
 def run_topic(
-    articles: DataFrame, topic: str, keywords, start: str, end: str, folder: str, scans: str
+    articles: DataFrame, topic: str, keywords, start: str, end: str, folder: str, scans: str,
+    snapshot: str = "",
 ) -> dict[str, str]:
     """Store cube, timeline, summary, topics and feed of a topic; the paths by name.
 
-    ``scans`` is the folder of stored scans: a repeated run reads the scan instead of the articles.
+    ``scans`` is the folder of stored scans: a repeated run on the same ``snapshot`` of the article
+    table reads the scan instead of the articles.
     The timeline and the summary are computed from the stored cube.
     """
-    raw = article_store.materialize_scan(articles, scans, topic, keywords, start, end)
+    raw = article_store.materialize_scan(articles, scans, topic, keywords, start, end, snapshot)
     paths = {"coverage": datasets.write_coverage(jobs.build_coverage(raw), folder, topic, start, end)}
     cube = articles.sparkSession.read.parquet(paths["coverage"])
     paths["timeline"] = datasets.write_timeline(timeline.global_timeline(cube), folder, topic)

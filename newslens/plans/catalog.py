@@ -15,6 +15,8 @@ KEYWORDS = ["promo", "hot"]
 STOPS = ["brand#7"]
 MONTHS = ("1996-02", "1999-11")
 DIGITS = 8
+# Thresholds that some countries miss at sf0.01.
+MIN_MENTIONS, MIN_ARTICLES, MIN_VOLUME, MIN_SHARED = 4800, 500, 618, 15
 
 
 def _tidy(df: DataFrame) -> DataFrame:
@@ -47,8 +49,15 @@ def _dense_cube(spark, folder):
     return jobs.build_coverage(w.event_articles(spark, folder))
 
 
+def _served(spark, folder):
+    """The cube as stored and read back, which the served queries answer from."""
+    store = storage.scratch_folder(spark, "cube")
+    datasets.write_coverage(_cube(spark, folder), store, "Parts", "1995-01", "2001-12")
+    return datasets.read_coverage(spark, store, "parts-1995-01-2001-12")
+
+
 def _timeline(spark, folder):
-    return timeline.global_timeline(_cube(spark, folder))
+    return timeline.global_timeline(_served(spark, folder))
 
 
 def _mentions(spark, folder):
@@ -61,7 +70,7 @@ def _ranked(spark, folder):
 
 
 def _era_stats(spark, folder):
-    return rankings.era_countries(_cube(spark, folder), w.BOUNDARIES)
+    return rankings.era_countries(_served(spark, folder), w.BOUNDARIES)
 
 
 def _parsed(spark, folder):
@@ -104,24 +113,12 @@ def materialize_scan(spark, folder):
     return article_store.materialize_scan(raw, *request).select("DATE", "V2Tone", "V2Themes")
 
 
-def _stored_cube(spark, folder):
-    store = storage.scratch_folder(spark, "cube")
-    datasets.write_coverage(_dense_cube(spark, folder), store, "Dense Month", "2024-01", "2024-01")
-    return datasets.read_coverage(spark, store, "dense-month-2024-01-2024-01")
-
-
-def _stored_sparse_cube(spark, folder):
-    store = storage.scratch_folder(spark, "cube")
-    path = datasets.write_coverage(_cube(spark, folder), store, "Parts", "1995-01", "2001-12")
-    return spark.read.schema(schemas.COVERAGE).parquet(path)
-
-
 def read_coverage(spark, folder):
-    return _tidy(coverage.cube_profile(_stored_cube(spark, folder)))
+    return _tidy(coverage.cube_profile(_served(spark, folder)))
 
 
 def write_coverage(spark, folder):
-    return _tidy(_stored_cube(spark, folder))
+    return _tidy(_served(spark, folder))
 
 
 def write_topics(spark, folder):
@@ -140,7 +137,7 @@ def write_summary(spark, folder):
     """The summary document, read back and laid out as one row per listed country."""
     store = storage.scratch_folder(spark, "summary")
     path = datasets.write_summary(
-        _stored_sparse_cube(spark, folder), store, "Parts", boundaries=w.BOUNDARIES,
+        _served(spark, folder), store, "Parts", boundaries=w.BOUNDARIES,
         early_until=w.EARLY_UNTIL, late_from=w.LATE_FROM,
     )
     document = datasets.read_json_artifact(spark, path, schemas.SUMMARY_DOCUMENT, lines=True)
@@ -214,7 +211,7 @@ def era_of(spark, folder):
 
 
 def covered_only(spark, folder):
-    return _tidy(filters.covered_only(_cube(spark, folder)))
+    return _tidy(filters.covered_only(_served(spark, folder)))
 
 
 def drop_null_keys(spark, folder):
@@ -250,7 +247,7 @@ def date_country_spine(spark, folder):
 
 
 def gap_join(spark, folder):
-    daily = _dense_daily(spark, folder)
+    daily = _daily(spark, folder)
     return _tidy(coverage.gap_join(coverage.date_country_spine(daily), daily))
 
 
@@ -261,22 +258,23 @@ def stop_anti_join(spark, folder):
 
 def kept_country_semi_join(spark, folder):
     mentions = _mentions(spark, folder)
-    kept = topics.kept_countries(mentions, 4800)
+    kept = topics.kept_countries(mentions, MIN_MENTIONS)
     return topics.kept_country_semi_join(mentions, kept).drop("name")
 
 
 def country_label_join(spark, folder):
-    by_volume = rankings.country_tone(_cube(spark, folder)).select("country_iso3", "article_count")
+    by_volume = rankings.country_tone(_served(spark, folder)).select("country_iso3", "article_count")
     return geo.country_label_join(by_volume, _names(spark, folder))
 
 
 def map_frame_join(spark, folder):
-    frame = views.sentiment_by_date(_dense_cube(spark, folder), "2024-01-09")
+    """A day on which some countries of the map are silent."""
+    frame = filters.covered_only(views.sentiment_by_date(_served(spark, folder), "1998-03-14"))
     return _tidy(geo.map_frame_join(_names(spark, folder), frame))
 
 
 def narrative_affinity(spark, folder):
-    return _tidy(topics.narrative_affinity(_ranked(spark, folder), top=20))
+    return _tidy(topics.narrative_affinity(_ranked(spark, folder), top=20, min_shared=MIN_SHARED))
 
 
 def even_pick_join(spark, folder):
@@ -307,7 +305,7 @@ def topic_rollup(spark, folder):
 
 
 def kept_countries(spark, folder):
-    return topics.kept_countries(_mentions(spark, folder), 4800)
+    return topics.kept_countries(_mentions(spark, folder), MIN_MENTIONS)
 
 
 def era_countries_grouped(spark, folder):
@@ -319,23 +317,23 @@ def frame_average(spark, folder):
 
 
 def country_share(spark, folder):
-    return _tidy(rankings.country_share(_cube(spark, folder), 12))
+    return _tidy(rankings.country_share(_served(spark, folder), 12))
 
 
 def cube_profile(spark, folder):
-    return coverage.cube_profile(_cube(spark, folder))
+    return coverage.cube_profile(_served(spark, folder))
 
 
 def headline(spark, folder):
-    return _tidy(rankings.headline(_cube(spark, folder)))
+    return _tidy(rankings.headline(_served(spark, folder)))
 
 
 def opinion_changers(spark, folder):
-    return _tidy(rankings.opinion_changers(_cube(spark, folder), w.EARLY_UNTIL, w.LATE_FROM))
+    return _tidy(rankings.opinion_changers(_served(spark, folder), w.EARLY_UNTIL, w.LATE_FROM))
 
 
 def pos_neg_countries(spark, folder):
-    return _tidy(rankings.pos_neg_countries(_cube(spark, folder)))
+    return _tidy(rankings.pos_neg_countries(_served(spark, folder), min_volume=MIN_VOLUME))
 
 
 def era_extremes_published(spark, folder):
@@ -379,7 +377,7 @@ def theme_keyword_counts(spark, folder):
 
 
 def coverage_spread(spark, folder):
-    return coverage.coverage_spread(_cube(spark, folder))
+    return coverage.coverage_spread(_served(spark, folder))
 
 
 def location_counts(spark, folder):
@@ -395,12 +393,12 @@ def forward_fill(spark, folder):
 
 
 def rolling_country_frame(spark, folder):
-    return _tidy(frames.rolling_country_frame(_cube(spark, folder)))
+    return _tidy(frames.rolling_country_frame(_served(spark, folder)))
 
 
 def rolling_country_frame_fast(spark, folder):
     """After a jump, at triple speed."""
-    cube = _cube(spark, folder)
+    cube = _served(spark, folder)
     return _tidy(frames.rolling_country_frame(cube, frames.FAST_WINDOW_DAYS, "1998-05-01", step=3))
 
 
@@ -422,11 +420,12 @@ def downsample(spark, folder):
 
 
 def rolling_30d(spark, folder):
-    return _tidy(timeline.rolling_mean(_timeline(spark, folder), 30))
+    """Over the observed days of each country, many of which are missing."""
+    return _tidy(timeline.rolling_mean(_daily(spark, folder), 30, ("country_iso3",)))
 
 
 def era_spans(spark, folder):
-    return _tidy(timeline.era_spans(_cube(spark, folder), w.BOUNDARIES))
+    return _tidy(timeline.era_spans(_served(spark, folder), w.BOUNDARIES))
 
 
 def sparkline_points(spark, folder):
@@ -460,7 +459,7 @@ def sorted_outputs(spark, folder):
 
 def top_k(spark, folder):
     return _tidy(rankings.top_k(
-        _cube(spark, folder), 60, F.desc("article_count"), "date", "country_iso3"
+        _served(spark, folder), 60, F.desc("article_count"), "date", "country_iso3"
     ))
 
 
@@ -477,7 +476,7 @@ def dedupe_articles(spark, folder):
 
 
 def union_scale(spark, folder):
-    return _tidy(rankings.union_scale(rankings.pos_neg_countries(_cube(spark, folder))))
+    return _tidy(rankings.union_scale(rankings.pos_neg_countries(_served(spark, folder))))
 
 
 def pool_sample(spark, folder):
@@ -501,27 +500,30 @@ def ranked_words(spark, folder):
 # --- Served queries --------------------------------------------------------------------
 
 def available_dates(spark, folder):
-    return views.available_dates(_cube(spark, folder))
+    return views.available_dates(_served(spark, folder))
 
 
 def sentiment_by_date(spark, folder):
-    return _tidy(views.sentiment_by_date(_cube(spark, folder), "1998-03-14"))
+    return _tidy(views.sentiment_by_date(_served(spark, folder), "1998-03-14"))
 
 
 def era_countries(spark, folder):
-    return _tidy(views.era_countries(_cube(spark, folder), w.BOUNDARIES))
+    return _tidy(views.era_countries(_served(spark, folder), w.BOUNDARIES))
 
 
 def country_timeline(spark, folder):
-    return _tidy(views.country_timeline(_cube(spark, folder), "gbr"))
+    return _tidy(views.country_timeline(_served(spark, folder), "gbr"))
 
 
 def global_timeline(spark, folder):
-    return _tidy(views.global_timeline(_cube(spark, folder)))
+    return _tidy(views.global_timeline(_served(spark, folder)))
 
 
 def topic_words(spark, folder):
-    return views.topic_words(_ranked(spark, folder), "usa", 1, total=11)
+    """From the stored topics document."""
+    store = storage.scratch_folder(spark, "topics")
+    path = datasets.write_topics(_ranked(spark, folder), store, "Parts", w.ERA_LABELS)
+    return views.topic_words(datasets.read_topics(spark, path), "usa", 1, total=11)
 
 
 # --- Composite jobs ----------------------------------------------------------------------
@@ -531,28 +533,37 @@ def build_coverage(spark, folder):
 
 
 def build_topics(spark, folder):
-    return _ranked(spark, folder)
+    """With a threshold that some countries miss."""
+    return jobs.build_topics(w.articles(spark, folder), STOPS, w.BOUNDARIES, threshold=MIN_MENTIONS)
+
+
+def build_topics_distinct(spark, folder):
+    """Distinct articles at all grains, with a threshold that some countries miss."""
+    return jobs.build_topics(
+        w.articles(spark, folder), STOPS, w.BOUNDARIES, threshold=MIN_ARTICLES, distinct_articles=True
+    )
 
 
 def build_feed(spark, folder):
-    return jobs.build_feed(w.articles(spark, folder))
+    """With a pool smaller than the articles."""
+    return jobs.build_feed(w.articles(spark, folder), pool=700)
 
 
 def overview_series(spark, folder):
-    return _tidy(jobs.overview_series(_cube(spark, folder)))
+    return _tidy(jobs.overview_series(_served(spark, folder)))
 
 
 # --- Streaming -----------------------------------------------------------------------------
 
 def incremental_daily_sentiment(spark, folder):
+    """The closed days of the stream and the days still open, against the batch over all days."""
     work = storage.scratch_folder(spark, "stream")
-    events = w.event_articles(spark, folder).withColumn(
-        "DocumentIdentifier", F.concat_ws("/", "DocumentIdentifier", "DATE")
+    w.event_articles(spark, folder).write.parquet(f"{work}/in")
+    arrived = spark.read.parquet(f"{work}/in")
+    closed = daily_stream.run_available(
+        spark, f"{work}/in", arrived.schema, f"{work}/out", f"{work}/checkpoint"
     )
-    events.write.parquet(f"{work}/in")
-    return _tidy(daily_stream.run_available(
-        spark, f"{work}/in", events.schema, f"{work}/out", f"{work}/checkpoint"
-    ))
+    return _tidy(daily_stream.with_open_days(closed, arrived))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,27 +16,12 @@ def located_articles(raw: DataFrame, outlets=None) -> DataFrame:
     return filters.valid_country(geo.outlet_country(parsed, outlets=outlets))
 
 
-def observed_days(raw: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
-    """First and last day with an article of a known country, as one row.
-
-    Days are taken per outlet first, so only distinct outlets are looked up.
-    """
-    date = fields.packed_date(F.col("DATE"))
-    per_outlet = raw.groupBy("SourceCommonName").agg(
-        F.min(date).alias("first"), F.max(date).alias("last")
-    )
-    known = filters.valid_country(geo.outlet_country(per_outlet, outlets=outlets))
-    return known.select(F.min("first").alias("first"), F.max("last").alias("last"))
-
-
 def build_coverage(raw: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
     """Raw articles to the gap-filled country x day cube.
 
-    The range of days comes from a second, narrow scan of two columns, so the aggregate itself is
-    computed only once.
+    The articles are read once: the range of days comes from the daily aggregate's own shuffle.
     """
-    daily = coverage.daily_country_sentiment(located_articles(raw, outlets))
-    return coverage.fill_gaps(daily, observed_days(raw, outlets))
+    return coverage.fill_gaps(coverage.daily_country_sentiment(located_articles(raw, outlets)))
 
 
 def topic_articles(raw: DataFrame, boundaries=ERA_BOUNDARIES, outlets=None) -> DataFrame:
@@ -57,21 +42,21 @@ def build_topics(
 ) -> DataFrame:
     """Ranked organisations and themes per bucket, globally and for countries with enough mentions.
 
-    ``distinct_articles`` counts articles per country and era; larger buckets add these counts up,
-    so an identifier that occurs in several countries or eras counts in each.
+    ``distinct_articles`` counts each article once per bucket, however many eras or countries it
+    is in; the threshold then is on a country's distinct articles. Articles without an identifier
+    cannot be told apart and count for none.
     """
     signals = [
         s for s in topics.default_signals(keywords, org_stops) if s.column in raw.columns
     ]
     articles = topic_articles(raw, boundaries, outlets)
-    # The rollup adds spellings up anyway, so plain mentions go to it without a merge of their own.
-    mentions = (
-        topics.mention_counts(articles, signals, distinct_articles=True)
-        if distinct_articles
-        else topics.entry_counts(articles, signals)
-    )
     measured = signals[0].name if signals else "orgs"
-    return topics.ranked_topics(mentions, n, threshold, measured)
+    if distinct_articles and signals:
+        listed, count = topics.entry_articles(articles, signals), F.count_distinct("article")
+    else:
+        # The rollup adds spellings up anyway, so plain mentions go to it without a merge of their own.
+        listed, count = topics.entry_counts(articles, signals), F.sum("count")
+    return topics.ranked_topics(listed, n, threshold, measured, count)
 
 
 def build_feed(

@@ -167,11 +167,37 @@ def _kept(threshold: int) -> str:
   HAVING sum(count) >= {threshold})"""
 
 
-RANKED = ROLLUP + ",\n" + _kept(50) + """,
+def _ranked(threshold: int) -> str:
+    return ROLLUP + ",\n" + _kept(threshold) + """,
 ranked AS MATERIALIZED (
   SELECT * FROM top_rows
   WHERE scope = 'global' OR country_iso3 IN (SELECT country_iso3 FROM kept))"""
 
+
+RANKED = _ranked(50)
+TOPIC_COLUMNS = "SELECT scope, country_iso3, bucket, signal, key, name, count, rank FROM ranked"
+
+
+def _distinct_ranked(threshold: int) -> str:
+    """Distinct articles, counted anew from the mentions at every grain."""
+    grains = [
+        ("'global'", "NULL::VARCHAR", "'all'"), ("'global'", "NULL", "era::VARCHAR"),
+        ("'country'", "country_iso3", "'all'"), ("'country'", "country_iso3", "era::VARCHAR"),
+    ]
+    union = " UNION ALL ".join(
+        f"""SELECT scope, country, bucket, signal, key, count(DISTINCT doc) AS count, min(name) AS name
+FROM (SELECT {scope} AS scope, {country} AS country, {bucket} AS bucket, signal, key, doc, name FROM mention_rows
+  WHERE {scope} = 'global' OR country_iso3 IS NOT NULL) GROUP BY ALL"""
+        for scope, country, bucket in grains
+    )
+    return MENTION_ROWS + f""",
+kept AS (SELECT country_iso3 FROM mention_rows WHERE signal = 'orgs' AND country_iso3 IS NOT NULL
+  GROUP BY country_iso3 HAVING count(DISTINCT doc) >= {threshold}),
+counted AS (SELECT scope, country AS country_iso3, bucket, signal, key, count, name FROM ({union}) WHERE count > 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY scope, country_iso3, bucket, signal ORDER BY count DESC, key)::INT AS rank
+  FROM counted WHERE scope = 'global' OR country_iso3 IN (SELECT country_iso3 FROM kept) QUALIFY rank <= 30)"""
+
 # Text size: halves round up.
 _SIZE = "floor(10 + sqrt(count / max(count) OVER ({part})) * 22 * {weight} + 0.5)::BIGINT"
 
@@ -243,8 +269,12 @@ SELECT {columns}, '{high}', row_number() OVER (ORDER BY {value} DESC, country_is
 QUALIFY rank <= 10"""
 
 
-POS_NEG = COUNTRY + """,
-toned AS (SELECT * FROM country WHERE article_count >= 100)"""
+def _pos_neg(volume: int) -> str:
+    return COUNTRY + f""",
+toned AS (SELECT * FROM country WHERE article_count >= {volume})"""
+
+
+POS_NEG = _pos_neg(100)
 
 CUBE_COLUMNS = "date, country_iso3, round(avg_tone, 8) AS avg_tone, article_count"
 TREND = """indexed AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i FROM {rows}),
@@ -290,7 +320,7 @@ CSV_FIELDS = """packed AS "DATE", tone_text || ',1.5,2.5,4.0,20.1,0.5,310' AS V2
 _NAMES = """names AS (
   SELECT (['FRA','DEU','GBR','USA',NULL,NULL,'TUV','ITA','ESP','JPN','CHN','IND','BRA','CAN','AUS',
     NULL,'TUR','KOR','UKR','RUS','POL','SWE','IRL','ZAF','MEX'])[n_nationkey + 1] AS iso3, n_name AS name
-  FROM nation)"""
+  FROM nation WHERE n_nationkey <> 7)"""
 
 _ERA_START = [
     "DATE '1995-01-01'", "DATE '1996-07-01'", "DATE '1998-01-01'", "DATE '1999-01-01'", "DATE '2000-01-01'",
@@ -309,9 +339,9 @@ FROM art WHERE {MONTHS_WHERE} AND {SCAN_WHERE} AND {HOT_WHERE}""")
     profile = """SELECT min(date) AS first_date, max(date) AS last_date,
   count(DISTINCT country_iso3) AS countries, count(*) AS total_rows,
   sum(article_count)::BIGINT AS total_articles FROM {rows}"""
-    sql["read_coverage"] = _with(DENSE, profile.format(rows="dense"))
-    sql["write_coverage"] = _with(DENSE, f"SELECT {CUBE_COLUMNS} FROM dense")
-    sql["write_topics"] = _with(RANKED, "SELECT scope, country_iso3, bucket, signal, key, name, count, rank FROM ranked")
+    sql["read_coverage"] = _with(CUBE, profile.format(rows="cube"))
+    sql["write_coverage"] = _with(CUBE, f"SELECT {CUBE_COLUMNS} FROM cube")
+    sql["write_topics"] = _with(RANKED, TOPIC_COLUMNS)
     sql["write_articles"] = _with(_feed_rows(80000, 320), "SELECT * FROM feed")
     sql["read_json_artifact"] = _with(TIMELINE, "SELECT date, round(avg_tone, 8) AS avg_tone, article_count FROM timeline")
     sql["country_names"] = _with(_NAMES, "SELECT iso3, max(name) AS name FROM names WHERE iso3 IS NOT NULL GROUP BY iso3")
@@ -339,15 +369,15 @@ UNION ALL SELECT 'articles', count(*) FROM lineitem UNION ALL SELECT 'orgs', 0""
     sql["outlet_country"] = _with(ART, """SELECT source AS SourceCommonName, iso AS country_iso3, count(*) AS records
 FROM art GROUP BY source, iso""")
     sql["date_country_spine"] = _with(CUBE, "SELECT date, country_iso3 FROM cube_spine")
-    sql["gap_join"] = _with(DENSE, f"SELECT {CUBE_COLUMNS} FROM dense_spine LEFT JOIN dense_daily USING (date, country_iso3)")
+    sql["gap_join"] = _with(CUBE, f"SELECT {CUBE_COLUMNS} FROM cube_spine LEFT JOIN daily USING (date, country_iso3)")
     frequencies = "SELECT key, min(name) AS name, sum(count)::BIGINT AS count FROM mentions WHERE signal = 'themes' GROUP BY key"
     sql["stop_anti_join"] = _with(MENTIONS, f"SELECT * FROM ({frequencies}) WHERE key NOT IN ('hot', 'old rod', 'economy')")
     sql["kept_country_semi_join"] = _with(MENTIONS + ",\n" + _kept(4800), """SELECT country_iso3, signal, era, key, count
 FROM mentions WHERE country_iso3 IN (SELECT country_iso3 FROM kept)""")
     sql["country_label_join"] = _with(COUNTRY + ",\n" + _NAMES, """SELECT country_iso3, article_count, coalesce(name, country_iso3) AS country_name
 FROM country LEFT JOIN names ON country_iso3 = iso3""")
-    sql["map_frame_join"] = _with(DENSE + ",\n" + _NAMES + """,
-frame AS (SELECT * FROM dense WHERE date = DATE '2024-01-09'),
+    sql["map_frame_join"] = _with(CUBE + ",\n" + _NAMES + f""",
+frame AS (SELECT * FROM cube WHERE date = DATE '1998-03-14' AND {COVERED}),
 joined AS (
   SELECT iso3, name, avg_tone, coalesce(article_count, 0) AS article_count,
     least(10, abs(avg_tone)) AS mag, (SELECT greatest(1, max(article_count)) FROM frame) AS largest
@@ -362,7 +392,7 @@ dominant AS (
   WHERE scope = 'country' AND bucket = 'all' AND signal = 'themes' AND rank <= 20)""",
         """SELECT a.country_iso3 AS country_a, b.country_iso3 AS country_b, count(*) AS shared,
   round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 8) AS affinity
-FROM dominant a JOIN dominant b ON a.key = b.key AND a.country_iso3 < b.country_iso3 GROUP BY ALL""")
+FROM dominant a JOIN dominant b ON a.key = b.key AND a.country_iso3 < b.country_iso3 GROUP BY ALL HAVING count(*) >= 15""")
     picked = """SELECT DocumentIdentifier, SourceCommonName, date, round(tone, 8) AS tone FROM numbered
 WHERE pos IN (SELECT pick FROM picks)"""
     sql["even_pick_join"] = _with(
@@ -404,8 +434,9 @@ moved AS (SELECT *, late - early AS delta FROM (SELECT country_iso3, {moved} FRO
   WHERE n_early >= 100 AND n_late >= 100)""",
         _two_ends("moved", "delta", "worsened", "improved", "direction",
                   "country_iso3, round(early, 8) AS early, round(late, 8) AS late, round(delta, 8) AS delta"))
-    sql["pos_neg_countries"] = _with(POS_NEG, _two_ends("toned", "avg_tone", "most_negative", "most_positive", "side",
-                  "country_iso3, round(avg_tone, 8) AS avg_tone, article_count").replace("ORDER BY avg_tone", "ORDER BY toned.avg_tone"))
+    ends = _two_ends("toned", "avg_tone", "most_negative", "most_positive", "side",
+                     "country_iso3, round(avg_tone, 8) AS avg_tone, article_count").replace("ORDER BY avg_tone", "ORDER BY toned.avg_tone")
+    sql["pos_neg_countries"] = _with(_pos_neg(618), ends)
     sql["era_extremes_published"] = _with(ERA_STATS + """,
 loud AS (SELECT * FROM era_stats WHERE article_count >= 100)""", _extremes("loud", "country_iso3"))
     sql["era_extremes_topvol"] = _with(ERA_STATS + """,
@@ -444,9 +475,10 @@ FROM (SELECT date, count(*) AS new_countries FROM (
         DENSE, _smooth("(SELECT * FROM dense WHERE avg_tone IS NOT NULL)", 7, "country_iso3, ", "PARTITION BY country_iso3 "))
     sql["top_n_per_group"] = _with(ROLLUP, "SELECT * FROM top_rows")
     sql["downsample"] = _with(TIMELINE, f"SELECT date, round(avg_tone, 8) AS avg_tone, article_count FROM ({DOWNSAMPLE.format(rows='timeline')})")
-    sql["rolling_30d"] = _with(TIMELINE, """SELECT date, round(avg_tone, 8) AS avg_tone, article_count,
-  round(avg(avg_tone) OVER (ORDER BY date RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW), 8) AS rolling_tone
-FROM timeline""")
+    sql["rolling_30d"] = _with(DAILY, """SELECT date, country_iso3, round(avg_tone, 8) AS avg_tone, article_count,
+  round(avg(avg_tone) OVER (PARTITION BY country_iso3 ORDER BY date
+    RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW), 8) AS rolling_tone
+FROM daily""")
     starts = " UNION ALL ".join(f"SELECT {e} AS era, {d} AS boundary" for e, d in enumerate(_ERA_START))
     sql["era_spans"] = _with(CUBE + f""",
 dates AS (SELECT DISTINCT date FROM cube),
@@ -519,8 +551,9 @@ WHERE scope = 'country' AND country_iso3 = 'USA' AND bucket = '1' AND position <
 
     # Composite jobs
     sql["build_coverage"] = sql["forward_fill"]
-    sql["build_topics"] = sql["write_topics"]
-    sql["build_feed"] = sql["write_articles"]
+    sql["build_topics"] = _with(_ranked(4800), TOPIC_COLUMNS)
+    sql["build_topics_distinct"] = _with(_distinct_ranked(500), TOPIC_COLUMNS)
+    sql["build_feed"] = _with(_feed_rows(700, 320), "SELECT * FROM feed")
     smoothed = _smooth("timeline", 90).replace("round(coalesce(", "(coalesce(").replace(", 0), 0), 8)", ", 0), 0))")
     sql["overview_series"] = _with(
         TIMELINE + f",\nsmoothed AS ({smoothed}),\nchart AS ({DOWNSAMPLE.format(rows='smoothed')}),\n" + TREND.format(rows="chart") + """,
@@ -528,7 +561,7 @@ axis AS (SELECT least(min(avg_tone), 0) AS low, greatest(max(avg_tone), 0) AS hi
         trend + ", round(high / CASE WHEN high = low THEN 1 ELSE high - low END, 8) AS zero_offset FROM indexed, fit, axis")
 
     changers = sql["opinion_changers"].replace("round(delta, 8) AS delta", "round(delta, 2) AS tone")
-    places = sql["pos_neg_countries"].replace("round(avg_tone, 8) AS avg_tone", "round(avg_tone, 2) AS tone")
+    places = _with(POS_NEG, ends).replace("round(avg_tone, 8) AS avg_tone", "round(avg_tone, 2) AS tone")
     extremes = sql["era_extremes_published"].replace(", 8)", ", 2)")
     total = sql["headline"].replace(", 8)", ", 2)")
     # Rounding gives negative zero here and plain zero in Spark.
@@ -539,7 +572,6 @@ UNION ALL SELECT 'most_negative ' || (row_number() OVER (ORDER BY era) - 1), mos
 UNION ALL SELECT 'most_positive ' || (row_number() OVER (ORDER BY era) - 1), most_positive, positive_tone FROM ({extremes})
 UNION ALL SELECT 'headline', date_range, avg_tone FROM ({total}))"""
 
-    # Streaming: the days that the watermark has closed
-    sql["incremental_daily_sentiment"] = _with(EVENT_ART, """SELECT date, iso AS country_iso3, round(avg(tone), 8) AS avg_tone, count(*) AS article_count
-FROM event_art WHERE iso IS NOT NULL AND date + INTERVAL 2 DAY <= (SELECT max(date_trunc('second', ts)) FROM event_art) GROUP BY ALL""")
+    # Streaming: the batch over all days
+    sql["incremental_daily_sentiment"] = _with(DENSE_DAILY, f"SELECT {CUBE_COLUMNS} FROM dense_daily")
     return sql

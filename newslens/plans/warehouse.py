@@ -147,12 +147,13 @@ def sentence_urls(spark: SparkSession, folder: str) -> DataFrame:
 def country_geojson(spark: SparkSession, folder: str) -> DataFrame:
     """One GeoJSON document of the nations with their outlet's country code.
 
-    The nation table is a 25-row dimension, so one document holds it.
+    The nation table is a 25-row dimension, so one document holds it. One nation has no name.
     """
+    name = F.when(F.col("n_nationkey") != 7, F.col("n_name"))
     iso3 = _pick(NATION_ISO3, F.col("n_nationkey"))
     feature = F.struct(
         F.lit("Feature").alias("type"),
-        F.struct(iso3.alias("ADM0_A3"), F.col("n_name").alias("NAME")).alias("properties"),
+        F.struct(iso3.alias("ADM0_A3"), name.alias("NAME")).alias("properties"),
     )
     return table(spark, folder, "nation").agg(
         F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features")

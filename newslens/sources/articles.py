@@ -35,23 +35,27 @@ def topic_scan(
     return keyword_match(in_range, keywords, regex).select(*schemas.SCAN_COLUMNS)
 
 
-def scan_path(folder: str, topic: str, keywords, start: str, end: str) -> str:
-    """Where a scan is stored: readable slug plus a digest of all parameters."""
+def scan_path(folder: str, topic: str, keywords, start: str, end: str, snapshot: str = "") -> str:
+    """Where a scan is stored: readable slug plus a digest of all parameters.
+
+    ``snapshot`` names the state of the article table, such as its path and version.
+    """
     words = sorted(k.lower().strip() for k in keywords)
-    digest = hashlib.sha256(json.dumps([words, start, end, SCAN_VERSION]).encode()).hexdigest()
+    digest = hashlib.sha256(json.dumps([words, start, end, SCAN_VERSION, *filter(None, [snapshot])]).encode()).hexdigest()
     return f"{folder.rstrip('/')}/{storage.slug(topic)}-{start}-{end}-{digest[:32]}.parquet"
 
 
 def materialize_scan(
-    articles: DataFrame, folder: str, topic: str, keywords, start: str, end: str
+    articles: DataFrame, folder: str, topic: str, keywords, start: str, end: str, snapshot: str = ""
 ) -> DataFrame:
     """Read the stored result of this scan, or run the scan, store and read it.
 
     A half-written result is not reused, and an empty one is not kept. Rows are counted while
-    they are written.
+    they are written. Give another ``snapshot`` when the article table has changed: a stored scan
+    is found by its parameters alone.
     """
     spark = articles.sparkSession
-    path = scan_path(folder, topic, keywords, start, end)
+    path = scan_path(folder, topic, keywords, start, end, snapshot)
     scan = topic_scan(articles, keywords, start, end)
     if not storage.is_complete(spark, path):
         written = Observation()
