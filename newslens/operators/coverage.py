@@ -60,7 +60,9 @@ def fill_gaps(daily: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """
     daily = daily.filter(F.col("date").isNotNull())
     if bounds is None:
-        # Whole rows, date first: with fewer columns it would be another plan, and no shuffle be shared.
+        # Both read the same shuffle by country: the range asks for whole rows, date first, since
+        # with fewer columns it would be another plan, and nothing be shared.
+        daily = daily.repartition("country_iso3")
         row = F.struct("date", *[c for c in daily.columns if c != "date"])
         bounds = daily.agg(F.min(row).alias("low"), F.max(row).alias("high")).select(
             F.col("low.date").alias("first"), F.col("high.date").alias("last")

@@ -43,6 +43,26 @@ def test_distinct_articles(spark, small):
     assert len(found) == 7
 
 
+def test_distinct_articles_count_once_at_every_grain(spark):
+    frame = spark.createDataFrame([
+        (20150301000000, "a.fr", "u", "Tesla,1;TESLA,9"), (20250301000000, "a.de", "u", "Tesla,1"),
+        (20250301000000, "a.de", "v", "Tesla,1;x,2"), (20250301000000, "a.de", None, "Tesla,1;Acme,3"),
+    ], "DATE long, SourceCommonName string, DocumentIdentifier string, V2Organizations string")
+    made = jobs.build_topics(frame, threshold=2, distinct_articles=True).filter("key = 'tesla'").collect()
+    found = {(r.scope, r.country_iso3, r.bucket): r["count"] for r in made}
+    assert found["global", None, "all"] == 2 and found["country", "DEU", "all"] == 2
+    assert sorted(v for (scope, _, bucket), v in found.items() if scope == "global" and bucket != "all") == [1, 2]
+    assert ("country", "FRA", "all") not in found
+    # An article without an identifier counts for none.
+    assert jobs.build_topics(frame, threshold=2, distinct_articles=True).filter("key = 'acme'").count() == 0
+
+
+def test_long_stop_list_is_not_broadcast_by_hint(spark, monkeypatch, rows):
+    frame = spark.createDataFrame([("a",), ("b",)], "key string")
+    monkeypatch.setattr(topics, "BROADCAST_STOPS", 1)
+    assert rows(topics.stop_anti_join(frame, ["b", "c", "b"])) == [("a",)]
+
+
 def test_missing_columns(spark, small):
     only_themes = jobs.topic_articles(small.drop("V2Organizations"))
     assert {r.signal for r in topics.mention_counts(only_themes).collect()} == {"themes"}
