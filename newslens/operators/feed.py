@@ -13,6 +13,9 @@ EXTRACT_ROWS = 10_000
 
 _PREFIX = 4      # hex digits of the sample key that name a bucket: 65,536 buckets
 _SLICE_BITS = 12  # a date is cut into 4,096 slices in the even sample
+_PLACE_DIGITS = 12   # hex digits of the sample key that place an article
+_MARGIN, _SPARE = 1.25, 100  # a first guess keeps this factor and these many articles more
+_ESTIMATE_ERROR = 0.02
 
 
 def sample_key(*keys, seed: int = SEED) -> Column:
@@ -39,6 +42,27 @@ def _below_cutoff(hashed: DataFrame, n: int, size: Column) -> DataFrame:
     return hashed.filter(bucket <= cutoff)
 
 
+def _near_the_first(hashed: DataFrame, n: int, key: str) -> DataFrame:
+    """Drop the rows that cannot be among the first n distinct keys in sample order.
+
+    A sketch of the number of distinct keys, merged from one small state per task, gives a place up to
+    which about ``n * _MARGIN + _SPARE`` keys lie; those alone are then counted exactly, and if they
+    are fewer than n, or the place is the end, every row is kept.
+    """
+    space = 16**_PLACE_DIGITS
+    place = F.conv(F.substring("_key", 1, _PLACE_DIGITS), 16, 10).cast("bigint")
+    keys = F.greatest(F.lit(1), F.approx_count_distinct(key, _ESTIMATE_ERROR))
+    guess = hashed.agg(
+        F.ceil(F.least(F.lit(float(space)), F.lit(space * (n * _MARGIN + _SPARE)) / keys)).alias("guess")
+    ).scalar()
+    enough = (
+        hashed.filter((place < guess) & (guess < F.lit(space)))
+        .agg((F.count_distinct(F.xxhash64(key)) >= n).alias("enough"))
+        .scalar()
+    )
+    return hashed.filter(place < F.when(enough, guess).otherwise(F.lit(space)))
+
+
 def dedupe_articles(
     df: DataFrame, key: str = "DocumentIdentifier", order=("date", "SourceCommonName")
 ) -> DataFrame:
@@ -65,11 +89,11 @@ def pool_sample(
     these are still spread over tasks; the last cut gathers the sample in one.
 
     The sample key depends on the article alone, so rows beyond the cutoff are dropped before
-    the de-duplication: only about n articles are ever shuffled whole. Distinct keys are counted
-    by a 64-bit hash; a collision could only move the cutoff up.
+    the de-duplication: only about n articles are ever shuffled, whole or as a hash. Distinct keys
+    are counted by a 64-bit hash; a collision could only move the cutoff up.
     """
     hashed = df.withColumn("_key", sample_key(key, seed=seed))
-    near = _below_cutoff(hashed, n, F.count_distinct(F.xxhash64(key))).drop("_key")
+    near = _near_the_first(hashed, n, key).drop("_key")
     return (
         dedupe_articles(near, key, order)
         .withColumns({**(derive or {}), "_key": sample_key(key, seed=seed)})

@@ -47,6 +47,16 @@ def test_pool_sample(spark, n):
     assert {tuple(r) for r in feed.pool_sample(frame, n).collect()} == expected
 
 
+@pytest.mark.parametrize("margin, spare", [(0.3, 0), (1.0, 0), (1.25, 10)])
+def test_pool_sample_is_exact_whatever_the_first_guess(spark, monkeypatch, margin, spare):
+    monkeypatch.setattr(feed, "_MARGIN", margin)
+    monkeypatch.setattr(feed, "_SPARE", spare)
+    frame = hot_articles(spark)
+    best = deduped(frame.collect())
+    expected = {best[d] for d in sorted(best, key=md5)[:60]}
+    assert {tuple(r) for r in feed.pool_sample(frame, 60).collect()} == expected
+
+
 @pytest.mark.parametrize("n", [1, 700, 2500, 9000])
 def test_random_extract_keeps_copies(spark, n):
     frame = hot_articles(spark).select("DocumentIdentifier", "date")
