@@ -171,7 +171,8 @@ def divide(hot: DataFrame, parts: list[list[int]], distance: int) -> DataFrame:
     """Members of too large buckets dealt to smaller ones, exactly.
 
     Members of a bucket that are linked differ in at most ``distance`` of the bits outside the parts used so
-    far, so of ``distance + 1`` groups of those bits one is equal in both.
+    far, so of ``distance + 1`` groups of those bits one is equal in both. The buckets of
+    ``hot`` have more than ``distance`` bits left.
     """
     order = [b for p in parts for b in p]
 
@@ -184,11 +185,8 @@ def divide(hot: DataFrame, parts: list[list[int]], distance: int) -> DataFrame:
             for value in np.unique(taken):
                 own = taken == value
                 free = [b for b in order if not int(value) >> (BITS - 1 - b) & 1]
-                if not free:  # every bit is equal or near: nothing is left to divide by
-                    continue
-                size = -(-len(free) // (distance + 1))
-                for k in range(0, len(free), size):
-                    mask = np.uint64(sum(1 << (BITS - 1 - b) for b in free[k:k + size]))
+                for k, group in enumerate(np.array_split(free, distance + 1)):
+                    mask = np.uint64(sum(1 << (BITS - 1 - b) for b in group.tolist()))
                     inner = _mix(_mix(bucket[own].view(np.uint64), 91 + k) ^ _mix(fp[own].view(np.uint64) & mask, 17), k)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(inner.view(np.int64)), pa.array(fp[own]), pa.array(part[own]), pa.array((used[own].view(np.uint64) | mask).view(np.int64))],
@@ -247,15 +245,19 @@ def near_links(distinct: DataFrame, distance: int = 3, sample_rows: int = 8192,
     """``a, b`` over the distinct fingerprints ``fp``: edges that connect what is linked, and nothing else.
 
     The plan is estimated from ``sample_rows`` fingerprints, the smallest by a hash; it decides costs only.
-    Buckets of more than ``bucket_rows`` members are divided until none is left or all bits are used.
+    Buckets of more than ``bucket_rows`` members are divided while more than ``distance`` of their bits are
+    unused; what is left then differs in few bits and is compared whatever its size.
     """
     rows = distinct.count()
     chosen = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
     parts, thresholds = plan(np.array([r["fp"] for r in chosen], np.int64).view(np.uint64), rows, distance)
     members = stored(probes(distinct, parts, thresholds), "probes")
     edges = None
+    sizes = F.array(*[F.lit(len(p)) for p in parts])
+    unused = F.lit(BITS) - F.get(sizes, F.col("part")) - F.bit_count("used")
     for _ in range(BITS):
-        hot = members.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
+        counted = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(unused).alias("unused"))
+        hot = counted.filter((F.col("n") > bucket_rows) & (F.col("unused") > distance))
         hot = stored(hot.select(F.col("bucket").alias("hot")), "hot")
         large = hot.take(1)
         usual = members.join(hot, members["bucket"] == hot["hot"], "left_anti") if large else members
@@ -287,8 +289,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, key: str
 
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3, key: str = "doc_id") -> DataFrame:
-    """The document with the smallest key of each component, with all its columns."""
-    found = near_duplicates(docs, words, distance, key)
-    gone = found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone"))
-    gone = gone.distinct()
-    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
+    """The document with the smallest key of each component, with all its columns.
+
+    A null key comes after all others. Texts that share a key are told apart by their hash, the smaller one
+    first; rows equal in key and text stay or go together. Empty input gives no rows.
+    """
+    mark = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64("text").alias("own"))
+    found = near_duplicates(docs.select(mark.alias("mark"), "text"), words, distance, "mark")
+    gone = found.filter(F.col("mark") != F.col("component_id")).select(F.col("mark").alias("gone")).distinct()
+    # Packed, so that columns of any name pass through.
+    rows = docs.select(F.struct("*").alias("row"), mark.alias("mark"))
+    return rows.join(gone, rows["mark"] == gone["gone"], "left_anti").select("row.*")
