@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,12 @@ class Quantiser:
         ends = np.cumsum([b.shape[1] for b in self.books])
         return list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
+    @cached_property
+    def between(self) -> np.ndarray:
+        """Distances of all coarse centroids from each other."""
+        squares = (self.coarse**2).sum(axis=1)
+        return np.sqrt(np.maximum(squares[:, None] + squares - 2 * self.coarse @ self.coarse.T, 0))
+
     def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and coding error of every vector."""
         lists = nearest(units, self.coarse)
@@ -66,8 +73,7 @@ class Quantiser:
         apart = np.maximum(2 - 2 * (units @ self.coarse.T) + ((self.coarse**2).sum(axis=1) - 1), 0)
         own = nearest(units, self.coarse)
         low = apart[np.arange(len(units)), own]
-        between = np.sqrt(((self.coarse[own][:, None, :] - self.coarse[None, :, :]) ** 2).sum(axis=2))
-        return np.nonzero(apart - low[:, None] <= 2 * reach * between + 1e-6)
+        return np.nonzero(apart - low[:, None] <= 2 * reach * self.between[own] + 1e-6)
 
     def tables(self, units: np.ndarray, of: int) -> np.ndarray:
         """Squared distances of each query's residual to all codes, by query, subspace and code."""
