@@ -70,13 +70,15 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 
 
 class Remembered(dict):
-    """Values made when they are first looked up; emptied when it holds ``most``."""
+    """Values made when they are first looked up; emptied when it holds ``most``. Long keys are not kept."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, longest: int = 64):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         self[key] = value = self.make(key)
