@@ -24,11 +24,17 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """An index in ``folder``; an existing one there is opened with the same number of buckets."""
+    """An index in ``folder``. The number of its buckets is noted beside it, so that any session opens it alike;
+    ``buckets`` (default: the session's shuffle partitions) holds for a new one."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
         self.spark, self.folder = spark, folder
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        note = f"{folder.rstrip('/')}-buckets"
+        if storage.is_complete(spark, note):
+            self.buckets = spark.read.schema("buckets int").json(note).first()["buckets"]
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1, numPartitions=1).select(F.lit(self.buckets).alias("buckets")).write.json(note)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
