@@ -91,6 +91,25 @@ def test_period_stays_within_a_block(weights):
         assert all(abs(seen[i] - w * t / total) < 1 for i, w in enumerate(weights))
 
 
+def _earliest_deadline_first(blocks, weights):
+    """Slot by slot: each phase begins anew with the streams that are left; a stream that cannot fill its weight ends."""
+    left, order = list(blocks), []
+    while any(left):
+        shares = [w if n else 0 for w, n in zip(weights, left)]
+        common = np.gcd.reduce(shares)
+        shares = [int(w // common) for w in shares]
+        if any(n < w for w, n in zip(shares, left)):
+            shares = [min(w, n) for w, n in zip(shares, left)]
+        done, total = [0] * len(shares), sum(shares)
+        for slot in range(total):
+            ready = [s for s, w in enumerate(shares) if w and done[s] < w and done[s] * total // w <= slot]
+            due = min(ready, key=lambda s: (-(-(done[s] + 1) * total // shares[s]), s))
+            done[due] += 1
+            order.append(due)
+        left = [n - d for n, d in zip(left, done)]
+    return order
+
+
 def test_mix_keeps_every_row(spark, docs, none):
     placed = mixing.mix(docs, {"s0": 5, "s1": 1}, block_rows=2)
     rows = placed.select("row.doc_id", "row.slot", "stream", placed["slot"].alias("at"), "place").collect()
@@ -98,6 +117,11 @@ def test_mix_keeps_every_row(spark, docs, none):
     assert len({(r["at"], r["place"]) for r in rows}) == len(rows)
     assert sorted({r["at"] for r in rows}) == list(range(max(r["at"] for r in rows) + 1))
     assert {r.stream for r in rows} == {"s0", "s1", mixing.REST}
+    streams = sorted({r.stream for r in rows})
+    filled = collections.Counter(r.stream for r in rows)
+    weights = mixing.scaled([{"s0": 5, "s1": 1}.get(s) or filled[s] ** 0.5 for s in streams], 1024)
+    plain = _earliest_deadline_first([-(-filled[s] // 2) for s in streams], weights)
+    assert plain == [streams.index(s) for _, s in sorted({(r["at"], r.stream) for r in rows})]
     kept = mixing.mixed(docs)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
     assert mixing.mixed(none).count() == 0
@@ -161,6 +185,23 @@ def test_hot_buckets_are_divided_exactly(spark):
     assert (got == components.unite(labels.copy(), near[:, 0], near[:, 1])).all()
 
 
+def test_division_to_the_last_bits(spark):
+    pairs = [(base := 0x0F1E2D3C4B5A6978 * (i + 1) % (1 << 64), base ^ (1 << a) ^ (1 << b) ^ (1 << c))
+             for i, (a, b, c) in enumerate([(0, 1, 2), (0, 31, 63), (15, 16, 17), (5, 5, 5), (60, 61, 5)])]
+    values = np.unique(np.array(pairs, np.uint64).ravel()).view(np.int64)
+    frame = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    got = {frozenset((r.a, r.b)) for r in simhash.near_links(frame, bucket_rows=1).collect()}
+    assert got == {frozenset(np.array(p, np.uint64).view(np.int64).tolist()) for p in pairs}
+
+
+def test_one_of_a_group_is_kept(spark):
+    text = SENTENCE * 4
+    rows = [(5, text, "a"), (3, text, "b"), (None, text, "c"), (None, "other words here", "d"), (5, "a text of its own", "e"), (9, None, "f"), (8, "", "g")]
+    frame = spark.createDataFrame(rows + [(5, "a text of its own", "h")], "doc_id long, text string, mark string")
+    assert sorted(r.mark for r in simhash.keep_one(frame).collect()) == ["b", "d", "e", "g", "h"]
+    assert simhash.keep_one(frame.limit(0)).count() == 0
+
+
 def test_allocation_adds_up():
     assert sum(t + 1 for t in simhash.allocate([[0, 5, 9, 20, 50]] * 3, 3)) == 4
     assert simhash.allocate([[0, 1, 100, 1000, 10**4], [0, 90, 91, 92, 93]], 3) == [-1, 3]
@@ -212,6 +253,7 @@ def test_index_lasts(spark, docs):
     again = exact.classify(docs.filter("doc_id < 50"), exact.open_index(spark, folder))
     assert first > 30
     assert {r.doc_id for r in again.filter("kept").collect()} == set(range(40, 50))
+    assert exact.DigestIndex(spark, folder, buckets=3).buckets == exact.open_index(spark, folder).buckets != 3
 
 
 # --- 7: BPE -------------------------------------------------------------------------------------
@@ -286,6 +328,19 @@ def test_loser_tree(sizes):
 
 # --- 10: embeddings -----------------------------------------------------------------------------
 
+def test_probes_reach_every_partner():
+    rng = np.random.default_rng(8)
+    units = rng.normal(size=(400, 12)) + 2 * rng.normal(size=(20, 12)).repeat(20, axis=0)
+    units /= np.sqrt((units**2).sum(axis=1))[:, None]
+    model, reach = vectors.fit(units, 12, 4, 8), 0.6
+    asked = set(zip(*(x.tolist() for x in model.probes(units, reach))))
+    own = vectors.nearest(units, model.coarse)
+    near = np.argwhere(np.sqrt(((units[:, None] - units[None]) ** 2).sum(axis=2)) <= reach)
+    assert len(near) > 400 and all((a, own[b]) in asked for a, b in near.tolist())
+    gaps = np.sqrt(((model.coarse[:, None] - model.coarse[None]) ** 2).sum(axis=2))
+    assert np.abs(model.between - gaps).max() < 1e-7
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(30, 16))
