@@ -4,7 +4,8 @@ A text is lower-cased, everything but letters becomes one space, and every posit
 four-letter gram. Grams are counted per language over all training rows; lower orders hold continuation
 counts. A fitted model is a few sorted arrays: the grams' hashes and, for every language, the log
 probability of the last letter, with back-off already worked in. So a text is scored with one binary
-search per letter for all languages, and with more only for grams no language has.
+search per letter for a group of languages, and with more only for grams none of them has. A model that outgrows
+one set of arrays is cut by groups of languages and by the grams' middle letters, and keeps every gram.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
+
+from newslens.llm.stored import stored
 
 ORDER = 4
 UNKNOWN = "und"
@@ -115,20 +119,19 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Model:
-    """Sorted gram hashes by order, their log probabilities, and back-off weights by context."""
+class Part:
+    """The grams of some languages within a range of middle pairs: sorted gram hashes by order, their log
+    probabilities, and back-off weights by context."""
 
-    langs: list[str]
     hashes: list[np.ndarray] = field(default_factory=list)  # by order 1..ORDER
     logs: list[np.ndarray] = field(default_factory=list)  # grams x languages
     contexts: list[np.ndarray] = field(default_factory=list)  # by order 2..ORDER
     weights: list[np.ndarray] = field(default_factory=list)
     floor: float = 0.0
-    limits: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
 
     def score(self, packed: np.ndarray) -> np.ndarray:
         """Log probability of each gram's last letter in every language."""
-        out = np.zeros((len(packed), len(self.langs)), np.float32)
+        out = np.zeros((len(packed), self.logs[0].shape[1]), np.float32)
         rest, keys = np.arange(len(packed)), packed
         for order in range(ORDER, 0, -1):
             table, at, hit = find(self.hashes[order - 1], keys)
@@ -143,23 +146,69 @@ class Model:
         out[rest] += np.float32(self.floor)
         return out
 
-    def entropies(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per letter in every language, and the number of scored letters (0: no letter)."""
+
+@dataclass
+class Group:
+    """Some languages, whose model is in ``parts`` (broadcast) that begin at the middle pairs ``bounds``."""
+
+    langs: list[str]
+    bounds: np.ndarray
+    parts: list[Broadcast]
+
+    def score(self, packed: np.ndarray, hold: bool) -> np.ndarray:
+        """As ``Part.score``; unless ``hold``, a worker has one part in memory at a time."""
+        key = middle(packed)
+        which = np.searchsorted(self.bounds, key, "right") - 1
+        out = np.zeros((len(packed), len(self.langs)), np.float32)
+        for k in np.unique(which):
+            rows = np.flatnonzero(which == k)
+            out[rows] = Part(**self.parts[k].value).score(packed[rows])
+            if not hold and self.parts[k]._path:
+                del self.parts[k]._value  # read again from its file
+        return out
+
+
+@dataclass
+class Model:
+    """Groups of languages, and limits by language."""
+
+    groups: list[Group] = field(default_factory=list)
+    limits: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for g in self.groups for x in g.langs]
+
+    def read(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the best language, its probability and cross-entropy per letter, and the number of
+        scored letters (0: no letter)."""
         parts = [letters(t, table) for t in texts]
-        entropy, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        best, low, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        score = np.zeros(len(texts))
         some = [i for i, p in enumerate(parts) if len(p)]
-        if some and self.langs:
+        if some and self.groups:
             packed, starts = grams([parts[i] for i in some])
             n = np.diff(np.append(starts, len(packed)))
-            # Very long texts are scored in runs, each added to its text.
-            sums = np.zeros((len(some), len(self.langs)))
             owner = np.repeat(np.arange(len(some)), n)
-            for a in range(0, len(packed), CHUNK):
-                scores, own = self.score(packed[a:a + CHUNK]), owner[a:a + CHUNK]
-                first = np.flatnonzero(np.diff(own, prepend=-1))
-                sums[own[first]] += np.add.reduceat(scores, first, axis=0, dtype=np.float64)
-            entropy[some], sizes[some] = -sums / n[:, None], n
-        return entropy, sizes
+            least, at, total = np.full(len(some), np.inf), np.zeros(len(some), np.int64), np.zeros(len(some))
+            hold, begins = sum(len(g.parts) for g in self.groups) == 1, 0
+            for group in self.groups:
+                # Very long texts are scored in runs, each added to its text.
+                sums = np.zeros((len(some), len(group.langs)))
+                for a in range(0, len(packed), CHUNK):
+                    scores, own = group.score(packed[a:a + CHUNK], hold), owner[a:a + CHUNK]
+                    first = np.flatnonzero(np.diff(own, prepend=-1))
+                    sums[own[first]] += np.add.reduceat(scores, first, axis=0, dtype=np.float64)
+                entropy = -sums / n[:, None]
+                found = entropy.argmin(axis=1)
+                now = np.minimum(least, entropy.min(axis=1))
+                at = np.where(entropy.min(axis=1) < least, begins + found, at)
+                total = total * np.exp(np.maximum((now - least) * n, -700)) + np.exp(
+                    np.maximum((now[:, None] - entropy) * n[:, None], -700)
+                ).sum(axis=1)
+                least, begins = now, begins + len(group.langs)
+            best[some], low[some], sizes[some], score[some] = at, least, n, 1 / total
+        return best, score, low, sizes
 
     def limit(self, lang: str, size: int) -> float:
         """The largest cross-entropy that texts of this length are accepted with."""
@@ -170,6 +219,12 @@ class Model:
         return found
 
 
+def middle(packed: np.ndarray) -> np.ndarray:
+    """The third and second letter of a gram. All that a gram of order 3 or 4 is backed off to, or shares a context
+    with, has the same two, and what it needs of order 2 has the same third letter."""
+    return packed & np.uint64(0xFFFF0000) | packed >> np.uint64(32) & np.uint64(0xFFFF)
+
+
 def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(table):
         return table, np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -177,29 +232,21 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return table, at, table[at] == keys
 
 
-def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model from ``{language: (packed grams, counts)}``."""
-    model = Model(sorted(counts))
-    by_lang = []  # per language and order: grams and counts
-    for lang in model.langs:
-        levels = {ORDER: counts[lang]}
-        for order in range(ORDER - 1, 0, -1):
-            # How many letters a gram continues: types of the next order that end in it.
-            mask = np.uint64((1 << (16 * order)) - 1)
-            levels[order] = np.unique(levels[order + 1][0] & mask, return_counts=True)
-        by_lang.append(levels)
-    alphabet = np.unique(np.concatenate([np.zeros(0, np.uint64), *[x[1][0] for x in by_lang]]))
-    model.floor = -float(np.log(len(alphabet) + 1))
+def kneser_ney(
+    langs: list[str], counts: list[dict[str, tuple[np.ndarray, np.ndarray]]], discounts: dict[tuple[str, int], float], floor: float,
+) -> Part:
+    """The part from ``{language: (packed grams, counts)}`` by order, and the discounts of the whole language."""
+    part = Part(floor=floor)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     lower = None
     for order in range(1, ORDER + 1):
-        union = np.unique(np.concatenate([np.zeros(0, np.uint64), *[x[order][0] for x in by_lang]]))
+        own = [counts[order - 1].get(lang, none) for lang in langs]
+        union = np.unique(np.concatenate([x[0] for x in own]))
         context = np.unique(union >> np.uint64(16))
-        logs = np.zeros((len(union), len(model.langs)), np.float32)
-        weights = np.zeros((len(context), len(model.langs)), np.float32)
-        for column, levels in enumerate(by_lang):
-            found, n = levels[order]
-            once, twice = np.sum(n == 1), np.sum(n == 2)
-            discount = once / (once + 2 * twice) if once and twice else 0.5
+        logs = np.zeros((len(union), len(langs)), np.float32)
+        weights = np.zeros((len(context), len(langs)), np.float32)
+        for column, (lang, (found, n)) in enumerate(zip(langs, own, strict=True)):
+            discount = discounts.get((lang, order), 0.5)
             own_at = np.searchsorted(union, found)
             totals, kinds = np.zeros(len(context)), np.zeros(len(context))
             at = np.searchsorted(context, found >> np.uint64(16))
@@ -209,19 +256,76 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             full = np.zeros(len(union))
             full[own_at] = np.maximum(n - discount, 0) / totals[at]
             if order == 1:
-                base = np.full(len(union), np.exp(model.floor))
+                base = np.full(len(union), np.exp(floor))
             else:
                 mask = np.uint64((1 << (16 * (order - 1))) - 1)
                 base = np.exp(lower[1][np.searchsorted(lower[0], union & mask), column].astype(np.float64))
             of = np.searchsorted(context, union >> np.uint64(16))
             logs[:, column] = np.log(full + share[of] * base)
             weights[:, column] = np.log(np.maximum(share, 1e-12))
-        model.hashes.append(union)
-        model.logs.append(logs)
+        part.hashes.append(union)
+        part.logs.append(logs)
         if order > 1:
-            model.contexts.append(context)
-            model.weights.append(weights)
+            part.contexts.append(context)
+            part.weights.append(weights)
         lower = union, logs
+    return part
+
+
+def by_language(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """``{language: (sorted packed grams, counts)}`` of ``lang, gram, n``."""
+    found, out = rows.select("lang", "gram", "n").toArrow().to_pandas(), {}
+    for lang, own in found.groupby("lang"):
+        keys = own["gram"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        out[lang] = keys[by], own["n"].to_numpy(np.int64)[by]
+    return out
+
+
+def learn(counted: DataFrame, cells: int, together: int) -> Model:
+    """The model of all grams and languages of ``lang, gram, n``.
+
+    Statistics (continuation counts, discounts, the alphabet) are of all grams and computed in Spark. The driver
+    then builds one part at a time: ``together`` languages at most and about ``cells`` grams times languages,
+    more only where one pair of letters has more. So parts grow in number with the input, and not in size.
+    """
+    spark = counted.sparkSession
+    levels = {ORDER: stored(counted, "grams")}
+    for order in range(ORDER - 1, 0, -1):
+        # How many letters a gram continues: types of the next order that end in it.
+        ends = F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1)).alias("gram")
+        lower = levels[order + 1].select("lang", ends).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+        levels[order] = stored(lower, "grams")
+    discounts, sizes = {}, {}
+    for order, level in levels.items():
+        kinds = level.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+        for r in kinds.collect():
+            if r["once"] and r["twice"]:
+                discounts[r["lang"], order] = r["once"] / (r["once"] + 2 * r["twice"])
+            if order == ORDER:
+                sizes[r["lang"]] = r["all"]
+    floor = -float(np.log(levels[1].select("gram").distinct().count() + 1))
+    third = F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(0xFFFF))
+    pair = F.shiftleft(third, 16).bitwiseOR(F.shiftrightunsigned("gram", 32).bitwiseAND(F.lit(0xFFFF)))
+    model, langs = Model(), sorted(sizes)
+    for a in range(0, len(langs), together):
+        group = langs[a:a + together]
+        own = {order: level.filter(F.col("lang").isin(group)) for order, level in levels.items()}
+        ranges = -(-sum(sizes[x] for x in group) * len(group) // cells)
+        bounds = [0]
+        if ranges > 1:
+            cuts = [i / ranges for i in range(1, ranges)]
+            bounds = sorted({0, *own[ORDER].agg(F.percentile_approx(pair, cuts, 100 * ranges).alias("at")).first()["at"]})
+        ones, parts = by_language(own[1]), []
+        for begin, end in zip(bounds, [*bounds[1:], 1 << 32], strict=True):
+            fours = by_language(own[ORDER].filter((pair >= begin) & (pair < end)))
+            threes = {
+                x: np.unique(g & np.uint64((1 << 48) - 1), return_counts=True) for x, (g, _) in fours.items()
+            }
+            second = F.shiftrightunsigned("gram", 16)  # of a gram of two letters the first
+            twos = by_language(own[2].filter((second >= begin >> 16) & (second <= (end - 1) >> 16)))
+            parts.append(spark.sparkContext.broadcast(vars(kneser_ney(group, [ones, twos, threes, fours], discounts, floor))))
+        model.groups.append(Group(group, np.array(bounds, np.uint64), parts))
     return model
 
 
@@ -253,29 +357,19 @@ def calibrated(rows: list[tuple[str, float, int]], least: int = 40) -> dict[str,
 
 def fit(
     docs: DataFrame, training: Column, calibration: Column,
-    max_langs: int = 32, max_grams: int = 50_000, calibration_rows: int = 20_000,
+    max_langs: int = 32, calibration_rows: int = 20_000, cells: int = 4_000_000, together: int = 32,
 ) -> Model:
     """Learn from the rows of ``docs`` with a language that meet ``training``; limits from ``calibration``.
 
-    Grams are counted over every training row. What reaches the driver is bounded by the parameters:
-    the ``max_langs`` languages with most rows (ties by name), their ``max_grams`` most frequent grams
-    (ties by hash), and the entropies of ``calibration_rows`` rows, chosen by a hash of the text. A gram
-    beyond that is backed off like one never seen. No labelled rows give a model without languages.
+    Every gram of the ``max_langs`` languages with most rows is learnt (``learn``; ``cells`` and ``together`` bound what is
+    in memory at a time). Limits come from the entropies of ``calibration_rows`` rows, chosen by a hash of the
+    text. No labelled rows give a model without languages.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     learnt = labelled.filter(training)
     common = [r["lang"] for r in learnt.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    counted = count_grams(learnt.filter(F.col("lang").isin(common)) if common else learnt.limit(0))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= max_grams).drop("at")
-    found = top.toPandas()
-    counts = {}
-    for lang, own in found.groupby("lang"):
-        keys = own["gram"].to_numpy(np.int64).view(np.uint64)
-        by = np.argsort(keys)
-        counts[lang] = keys[by], own["n"].to_numpy(np.int64)[by]
-    model = kneser_ney(counts)
-    chosen = labelled.filter(calibration & F.col("lang").isin(model.langs)) if model.langs else labelled.limit(0)
+    model = learn(count_grams(learnt.filter(F.col("lang").isin(common)) if common else learnt.limit(0)), cells, together)
+    chosen = labelled.filter(calibration & F.col("lang").isin(model.langs)) if model.groups else labelled.limit(0)
     # Hashes alone decide, so that no task gathers the texts; copies of a text count once.
     hashed = chosen.select("lang", "text", F.xxhash64("text").alias("h"))
     edge = hashed.select("h").distinct().orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
@@ -297,21 +391,14 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     cross-entropy is beyond the language's calibrated limit, or that the prediction is ``und``. Only the
     ``keep`` columns and the text are read, and rows are scored where they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the parameters of fit()
     fields = [docs.schema[c] for c in keep]
 
     def run(batches):
-        model, table = Model(**shared.value), letter_table()
+        table, langs = letter_table(), model.langs
         for batch, texts in chunks(batches, len(keep)):
-            entropy, sizes = model.entropies(texts, table)
-            if model.langs:
-                best = entropy.argmin(axis=1)
-                low = entropy[np.arange(len(texts)), best]
-                score = 1 / np.exp(np.maximum(-(entropy - low[:, None]) * sizes[:, None], -700)).sum(axis=1)
-            else:
-                best, low, score = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts))
-            none = (sizes == 0) | (not model.langs)
-            names = [UNKNOWN if none[i] else model.langs[best[i]] for i in range(len(texts))]
+            best, score, low, sizes = model.read(texts, table)
+            none = (sizes == 0) | (not langs)
+            names = [UNKNOWN if none[i] else langs[best[i]] for i in range(len(texts))]
             rejected = [bool(none[i] or low[i] > model.limit(names[i], sizes[i])) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keep))] + [

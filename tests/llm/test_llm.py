@@ -296,6 +296,26 @@ def test_language_edges(spark):
     assert got[903].rejected and got[903].lang_pred in ("de", "en") and not got[904].rejected
 
 
+def test_language_model_holds_every_gram(spark):
+    pick = random.Random(8)
+    many = [chr(0x4E00 + i) for i in range(3000)]
+    rows = [(i, "".join(pick.choices(many, k=300)) if i % 2 else SENTENCE * (1 + i % 3), "zh" if i % 2 else "en") for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training, calibration = F.col("doc_id") >= 50, F.col("doc_id") < 50
+    seen = {lang: set() for lang in ("en", "zh")}
+    for i, text, lang in rows[50:]:
+        letters = "   " + text.strip() + " "
+        seen[lang] |= {letters[k:k + 4] for k in range(len(letters) - 3)}
+    models = [langid.fit(frame, training, calibration, cells=cells) for cells in (10_000_000, 20_000)]
+    assert len(seen["zh"]) > 60_000 and [len(m.groups[0].parts) > 5 for m in models] == [False, True]
+    for m in models:
+        parts = [p.value for p in m.groups[0].parts]
+        assert len(np.unique(np.concatenate([p["hashes"][3] for p in parts]))) == len(seen["zh"] | seen["en"])
+        assert sum(len(p["hashes"][3]) for p in parts) == len(seen["zh"] | seen["en"])
+    whole, cut = (sorted(map(tuple, langid.identify(frame, m, ["doc_id"]).collect())) for m in models)
+    assert whole == cut and [r[1] for r in whole] == ["zh" if i % 2 else "en" for i in range(500)]
+
+
 # --- 9: WARC ------------------------------------------------------------------------------------
 
 def test_warc(spark):
