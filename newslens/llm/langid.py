@@ -357,18 +357,16 @@ def calibrated(rows: list[tuple[str, float, int]], least: int = 40) -> dict[str,
 
 def fit(
     docs: DataFrame, training: Column, calibration: Column,
-    max_langs: int = 32, calibration_rows: int = 20_000, cells: int = 4_000_000, together: int = 32,
+    calibration_rows: int = 20_000, cells: int = 4_000_000, together: int = 16,
 ) -> Model:
     """Learn from the rows of ``docs`` with a language that meet ``training``; limits from ``calibration``.
 
-    Every gram of the ``max_langs`` languages with most rows is learnt (``learn``; ``cells`` and ``together`` bound what is
+    Every language and every gram of the training rows is learnt (``learn``; ``cells`` and ``together`` bound what is
     in memory at a time). Limits come from the entropies of ``calibration_rows`` rows, chosen by a hash of the
     text. No labelled rows give a model without languages.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    learnt = labelled.filter(training)
-    common = [r["lang"] for r in learnt.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    model = learn(count_grams(learnt.filter(F.col("lang").isin(common)) if common else learnt.limit(0)), cells, together)
+    model = learn(count_grams(labelled.filter(training)), cells, together)
     chosen = labelled.filter(calibration & F.col("lang").isin(model.langs)) if model.groups else labelled.limit(0)
     # Hashes alone decide, so that no task gathers the texts; copies of a text count once.
     hashed = chosen.select("lang", "text", F.xxhash64("text").alias("h"))

@@ -316,6 +316,20 @@ def test_language_model_holds_every_gram(spark):
     assert whole == cut and [r[1] for r in whole] == ["zh" if i % 2 else "en" for i in range(500)]
 
 
+def test_language_model_holds_every_language(spark):
+    rows = []
+    for k in range(40):
+        own, pick = [chr(0x0100 + 3 * k + j) for j in range(3)], random.Random(k)
+        rows += [(100 * k + i, " ".join("".join(pick.choices(own, k=5)) for _ in range(20)), f"l{k:02}") for i in range(20 if k else 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [langid.fit(frame, F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1, together=n) for n in (16, 64)]
+    some, one = ({r.doc_id: r for r in langid.identify(frame, m, ["doc_id"]).collect()} for m in models)
+    assert models[0].langs == models[1].langs == sorted({r[2] for r in rows}) and len(models[0].groups) == 3
+    # Neighbours of a Latin range are upper and lower case of one letter, so some languages share letters.
+    assert sum(some[i].lang_pred == lang for i, _, lang in rows) >= 0.95 * len(rows)
+    assert all(some[i].lang_pred == one[i].lang_pred and some[i].score == pytest.approx(one[i].score) for i in some)
+
+
 # --- 9: WARC ------------------------------------------------------------------------------------
 
 def test_warc(spark):
