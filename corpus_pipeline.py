@@ -12,8 +12,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts, texts without letters and rejected ones go."""
-    fold = langid.fold(F.col("doc_id"))
-    model = langid.fit(docs, (fold != 0) & (fold != 1), fold == 1)
+    held = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    model = langid.fit(docs, ~held, held)
     found = langid.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
     return found.filter(~F.col("rejected")).select(*COLUMNS)
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslens.llm.stored import stored
 
@@ -329,53 +329,72 @@ def learn(counted: DataFrame, cells: int, together: int) -> Model:
     return model
 
 
-def calibrated(rows: list[tuple[str, float, int]], least: int = 40) -> dict[str, list[tuple[int, float]]]:
+def calibrated(rows: list[tuple[str, float, int]], langs: list[str], least: int = 40) -> dict[str, list[tuple[int, float]]]:
     """Limits by language and length from ``(language, cross-entropy, letters)`` of rows not counted.
 
     Texts are grouped by the power of two of their length, with ``least`` rows in a group at least. The
     limit lies beyond the 99th percentile by three times the way from the median to it, 0.9 at least:
-    mixed and shouted texts pass, texts in letters or words of no learnt language do not.
+    mixed and shouted texts pass, texts in letters or words of no learnt language do not. A language with
+    fewer than ``least`` rows has the limits of all rows together where its own are not higher.
     """
+    pooled = _steps(sorted((int(n), h) for _, h, n in rows), least)
     limits: dict[str, list[tuple[int, float]]] = {}
-    for lang in sorted({r[0] for r in rows}):
-        own = sorted((int(n), h) for name, h, n in rows if name == lang)
-        steps, group = [], []
-        for i, (n, h) in enumerate(own):
-            group.append((n, h))
-            ends = i + 1 == len(own) or own[i + 1][0].bit_length() > n.bit_length()
-            if ends and (len(group) >= least or i + 1 == len(own)):
-                if len(group) < least and steps:
-                    break  # the last limit holds for longer texts
-                values = np.array([x[1] for x in group])
-                middle, high = np.median(values), np.quantile(values, 0.99)
-                begins = 0 if not steps else 1 << (group[0][0].bit_length() - 1)
-                steps.append((begins, float(high + 3 * max(high - middle, 0.3))))
-                group = []
+    by: dict[str, list[tuple[int, float]]] = {lang: [] for lang in langs}
+    for lang, h, n in rows:
+        by[lang].append((int(n), h))
+    for lang, own in by.items():
+        steps = _steps(sorted(own), least)
+        if len(own) < least:
+            begins = sorted({b for b, _ in steps + pooled})
+            steps = [(b, max(v for some in (steps, pooled) for v in [x for at, x in some if at <= b][-1:])) for b in begins]
         limits[lang] = steps
     return limits
 
 
+def _steps(own: list[tuple[int, float]], least: int) -> list[tuple[int, float]]:
+    steps, group = [], []
+    for i, (n, h) in enumerate(own):
+        group.append((n, h))
+        ends = i + 1 == len(own) or own[i + 1][0].bit_length() > n.bit_length()
+        if ends and (len(group) >= least or i + 1 == len(own)):
+            if len(group) < least and steps:
+                break  # the last limit holds for longer texts
+            values = np.array([x[1] for x in group])
+            middle, high = np.median(values), np.quantile(values, 0.99)
+            begins = 0 if not steps else 1 << (group[0][0].bit_length() - 1)
+            steps.append((begins, float(high + 3 * max(high - middle, 0.3))))
+            group = []
+    return steps
+
+
 def fit(
     docs: DataFrame, training: Column, calibration: Column,
-    calibration_rows: int = 20_000, cells: int = 4_000_000, together: int = 16,
+    calibration_rows: int = 5_000, cells: int = 4_000_000, together: int = 16,
 ) -> Model:
     """Learn from the rows of ``docs`` with a language that meet ``training``; limits from ``calibration``.
 
     Every language and every gram of the training rows is learnt (``learn``; ``cells`` and ``together`` bound what is
-    in memory at a time). Limits come from the entropies of ``calibration_rows`` rows, chosen by a hash of the
-    text. No labelled rows give a model without languages.
+    in memory at a time). Limits come from the entropies of ``calibration_rows`` texts of each language, chosen
+    by a hash of the text; the other rows that meet ``calibration`` are learnt from too. No labelled rows give a
+    model without languages.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = learn(count_grams(labelled.filter(training)), cells, together)
-    chosen = labelled.filter(calibration & F.col("lang").isin(model.langs)) if model.groups else labelled.limit(0)
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.coalesce(training, F.lit(False)).alias("train"),
+        F.when(calibration, F.xxhash64("text")).alias("h"),  # null: not for limits
+    )
     # Hashes alone decide, so that no task gathers the texts; copies of a text count once.
-    hashed = chosen.select("lang", "text", F.xxhash64("text").alias("h"))
-    edge = hashed.select("h").distinct().orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
-    sample = hashed.filter(F.col("h") <= F.lit(edge)).dropDuplicates(["h"])
-    scored = identify(sample, model, keep=["lang"])
+    hashes = labelled.filter("h is not null").select("lang", "h").distinct()
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    edges = hashes.withColumn("at", at).filter(F.col("at") <= calibration_rows).groupBy("lang").agg(F.max("h").alias("edge")).collect()
+    # A row for each language.
+    edges = docs.sparkSession.createDataFrame([(r["lang"], r["edge"]) for r in edges], "lang string, edge bigint")
+    dealt = labelled.join(F.broadcast(edges), "lang", "left").withColumn("held", F.coalesce(F.col("h") <= F.col("edge"), F.lit(False)))
+    model = learn(count_grams(dealt.filter(~F.col("held") & (F.col("train") | F.col("h").isNotNull()))), cells, together)
+    sample = dealt.filter(F.col("held") & F.col("lang").isin(model.langs)) if model.groups else dealt.limit(0)
+    scored = identify(sample.dropDuplicates(["lang", "h"]), model, keep=["lang"])
     model.limits = calibrated([
         (r["lang"], r["cross_entropy"], r["letters"]) for r in scored.collect() if r["lang_pred"] == r["lang"]
-    ])
+    ], model.langs)
     return model
 
 

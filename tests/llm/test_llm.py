@@ -330,6 +330,19 @@ def test_language_model_holds_every_language(spark):
     assert all(some[i].lang_pred == one[i].lang_pred and some[i].score == pytest.approx(one[i].score) for i in some)
 
 
+def test_language_limits_of_rare_languages(spark):
+    pick = random.Random(4)
+    rows = [(i, " ".join(pick.choices((GERMAN if i % 50 == 0 else SENTENCE).split(), k=40)) + f" {chr(0x4E00 + i)}", "de" if i % 50 == 0 else "en") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, F.col("doc_id") % 4 > 0, F.col("doc_id") % 4 == 0, calibration_rows=3)
+    assert sorted(model.limits) == ["de", "en"] and all(np.isfinite(model.limit(x, 200)) for x in model.limits)
+    # All rows but three of a language are learnt from: each has a letter of its own.
+    letters = {int(g) for p in model.groups[0].parts for g in p.value["hashes"][0]}
+    assert sum(0x4E00 + i in letters for i in range(600)) == 600 - 6
+    none = langid.calibrated([("en", 2.0, 100)] * 50, ["en", "xx"])
+    assert none["xx"] == none["en"]
+
+
 # --- 9: WARC ------------------------------------------------------------------------------------
 
 def test_warc(spark):
