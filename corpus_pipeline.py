@@ -34,8 +34,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
-    return bpe.encode(docs, bpe.tokenizer_file(spark, queries.TOKENIZER), ids=False)
+    """Token counts and digests of ids and decoded text, and every document's place in the mixture.
+
+    A table that is read again has no order, so the place is computed again; it depends on the rows alone.
+    """
+    placed = mixing.mix(docs).select("row.doc_id", "row.text", "slot", "place")
+    return bpe.encode(placed, bpe.tokenizer_file(spark, queries.TOKENIZER), ids=False, keep=["slot", "place"])
 
 
 STAGES = [

@@ -11,7 +11,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -156,18 +156,20 @@ def normalise(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
-def encode(docs: DataFrame, tokenizer: str, ids: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Tokens of every whole text: ``key, n_tokens, token_ids, ids_sha256, decoded_sha256``.
+def encode(
+    docs: DataFrame, tokenizer: str, ids: bool = True, text: str = "text", key: str = "doc_id", keep: Sequence[str] = (),
+) -> DataFrame:
+    """Tokens of every whole text: ``key, n_tokens, token_ids, ids_sha256, decoded_sha256`` and the ``keep`` columns.
 
     ``tokenizer`` is the content of a tokenizer file. ``token_ids`` holds little-endian unsigned 32-bit
     integers (left out with ``ids=False``). Null text counts as empty, which has no tokens. Rows are
-    independent: repeated rows and null keys give a row each, further columns are not read, and nothing
+    independent: repeated rows and null keys give a row each, other columns are not read, and nothing
     is shuffled. The digests are taken of the ids and of the text decoded from them.
     """
     spark: SparkSession = docs.sparkSession
     # A vocabulary file, a few MB whatever the input; a worker keeps the coder made of it, with its words.
     shared = spark.sparkContext.broadcast({"file": tokenizer})
-    names = [key, "n_tokens", *(["token_ids"] if ids else []), "ids_sha256", "decoded_sha256"]
+    names = [key, "n_tokens", *(["token_ids"] if ids else []), "ids_sha256", "decoded_sha256", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -180,13 +182,14 @@ def encode(docs: DataFrame, tokenizer: str, ids: bool = True, text: str = "text"
                 encoded.append(joined if ids else b"")
                 digests.append(hashlib.sha256(joined).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode(joined).encode()).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(encoded, pa.binary())] if ids else []), pa.array(digests), pa.array(decoded)]
+            columns = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(encoded, pa.binary())] if ids else []), pa.array(digests), pa.array(decoded), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     binary = "token_ids binary, " if ids else ""
-    return docs.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, n_tokens bigint, {binary}ids_sha256 string, decoded_sha256 string"
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(key, text, *keep).mapInArrow(
+        run, f"`{key}` {kind}, n_tokens bigint, {binary}ids_sha256 string, decoded_sha256 string{kept}"
     )
 
 

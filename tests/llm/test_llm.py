@@ -426,3 +426,14 @@ def test_pipeline(spark):
     assert len(ids) == len(rows) and ids <= near and len(ids) >= 0.98 * len(near)
     for r in rows:
         assert r.n_tokens == len(library.encode(docs[r.doc_id].text, add_special_tokens=False).ids)
+
+
+def test_pipeline_has_the_mixture(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: (r.slot, r.place))
+    assert [(r.slot, r.place) for r in rows] == sorted({(r.slot, r.place) for r in rows})
+    filled = collections.Counter(docs[r.doc_id].source or mixing.REST for r in rows)
+    streams = sorted(filled)
+    plain = _earliest_deadline_first([-(-filled[s] // 8) for s in streams], mixing.scaled([filled[s] ** 0.5 for s in streams], 1024))
+    assert plain == [streams.index(s) for _, s in sorted({(r.slot, docs[r.doc_id].source or mixing.REST) for r in rows})]
