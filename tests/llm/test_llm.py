@@ -127,6 +127,29 @@ def test_mix_keeps_every_row(spark, docs, none):
     assert mixing.mixed(none).count() == 0
 
 
+def _slots(spark, blocks, weights, **options):
+    names = [f"s{i:03}" for i in range(len(blocks))]
+    planned = mixing.legs(blocks, mixing.whole(weights, sum(blocks)), 64, **options)
+    rows = sorted(mixing._slots(spark, names, planned).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in rows] == list(range(sum(blocks)))
+    assert {(r["of"], r["at_block"]) for r in rows} == {(s, i) for s, n in zip(names, blocks) for i in range(n)}
+    return [names.index(r["of"]) for r in rows]
+
+
+@pytest.mark.parametrize("blocks, weights, most", [
+    ([2000, 4000], [1, 2], 1024), ([2000, 4000], [1, 2], 3), ([6000, 2, 900], [1, 0.0001, 0.13], 5), ([300] * 4 + [9] * 100, [30] * 4 + [0.8] * 100, 9),
+    ([900, 1100, 1300, 700, 1000], [0.9 ** 0.5, 1.1 ** 0.5, 1.3 ** 0.5, 0.7 ** 0.5, 1], 7),
+])
+def test_mixture_keeps_to_the_given_weights(spark, blocks, weights, most):
+    order, total, seen = _slots(spark, blocks, weights, most=most), sum(weights), [0] * len(blocks)
+    until = min(n * total / w for n, w in zip(blocks, weights)) // 64 * 64
+    assert until >= 1000
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        if t <= until:
+            assert all(abs(n - w * t / total) < 1 for n, w in zip(seen, weights))
+
+
 # --- 3: sharding --------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 1025])
