@@ -106,12 +106,12 @@ def legs(blocks: list[int], weights: list[int], length: int, most: int = 1024) -
 
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 8,
-    max_streams: int = 64, max_period: int = 1024, seed: str = "mix", max_legs: int = 1024,
+    max_period: int = 1024, seed: str = "mix", max_legs: int = 1024,
 ) -> DataFrame:
     """All rows with their place in the mixture: the columns of ``docs`` as ``row``, and ``stream, block, slot, place``.
 
-    ``weights`` gives the target weights by source; without it the ``max_streams`` sources with most rows are
-    weighted by the square root of their rows. Sources without a weight, null ones included, form one stream ``(rest)`` weighted as if it were a
+    ``weights`` gives the target weights by source; without it every source is weighted by the square root of its
+    rows. Sources without a weight, null ones included, form one stream ``(rest)`` weighted as if it were a
     source. Order by ``slot, place``: slots are gapless from 0, a slot is one block of ``block_rows`` rows (the
     last of a stream may be shorter), and ``place`` numbers its rows. Within a stream rows are in the order of a
     hash of their content. No row is dropped or repeated; empty input gives no rows.
@@ -122,13 +122,7 @@ def mix(
     with a source, up to 16 million blocks) and no slot; the slots of the legs are planned in tasks.
     """
     spark = docs.sparkSession
-    if weights is None:
-        counted = docs.filter("source is not null").groupBy("source").agg(F.count("*").alias("n"))
-        named = [r["source"] for r in counted.orderBy(F.desc("n"), "source").limit(max_streams).collect()]
-    else:
-        named = sorted(w for w in weights if weights[w] > 0)
-        if len(named) > max_streams:
-            raise ValueError(f"at most {max_streams} weights")
+    named = None if weights is None else sorted(w for w in weights if weights[w] > 0)
     stream = _stream(F.col("source"), named)
     sizes = {r["stream"]: r["n"] for r in docs.groupBy(stream.alias("stream")).agg(F.count("*").alias("n")).collect()}
     streams = sorted(sizes)

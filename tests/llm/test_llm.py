@@ -150,6 +150,17 @@ def test_mixture_keeps_to_the_given_weights(spark, blocks, weights, most):
             assert all(abs(n - w * t / total) < 1 for n, w in zip(seen, weights))
 
 
+def test_every_source_is_a_stream(spark):
+    rows = [(i, f"s{i % 150:03}") for i in range(6000)] + [(6000 + i, "s007") for i in range(900)] + [(7000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    for weights in (None, {f"s{k:03}": 1 + k % 3 for k in range(150)}):
+        placed = mixing.mix(docs, weights, block_rows=2, max_period=256).select("row.doc_id", "row.source", "stream", "slot", "place").collect()
+        assert sorted(r.doc_id for r in placed) == sorted(i for i, _ in rows)
+        assert all(r.stream == (r.source or mixing.REST) for r in placed)
+        assert sorted({r.slot for r in placed}) == list(range(len({r.slot for r in placed})))
+        assert len({r.stream for r in placed if r.slot < 600}) >= 150
+
+
 # --- 3: sharding --------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 1025])
