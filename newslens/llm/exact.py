@@ -1,8 +1,8 @@
 """Exact de-duplication against a persistent digest index.
 
 The index is a table bucketed and sorted by digest. New data is reduced to one entry per digest,
-anti-joined with the index (a sort-merge join in which the index side needs no shuffle) and what is
-new is appended. Texts are equal when their SHA-256 after lower-casing A-Z is.
+joined with the index (a sort-merge join in which the index side needs no shuffle) and appended: an id where
+the digest is new, else a further count. Reading adds up the counts. Texts are equal when their SHA-256 after lower-casing A-Z is.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newslens.llm.stored import stored
 from newslens.sources import storage
 
-SCHEMA = "digest string, keep_id bigint, group_size bigint"
-
 
 def normalised(text: Column) -> Column:
     """``text`` with A-Z in lower case; null counts as empty."""
@@ -46,19 +44,19 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def entries(self) -> DataFrame:
-        """The entries without their buckets, for joins that adaptive execution may have to split."""
-        return self.spark.read.schema(SCHEMA).parquet(self.folder)
-
-    def new_entries(self, counted: DataFrame) -> DataFrame:
-        """One entry per digest that the index lacks, from ``digest, doc_id, copies``: largest id, number of rows."""
-        found = counted.groupBy("digest").agg(
-            F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")
+        """One entry per digest: the id that its first rows gave, and the number of all rows so far."""
+        return self.table().groupBy("digest").agg(
+            F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
         )
-        return found.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, counted: DataFrame) -> None:
-        """Add what is new; entries already there keep their row."""
-        new = self.new_entries(counted).select("digest", "keep_id", "group_size")
+        """Add one row per digest of ``digest, doc_id, copies``: largest id and number of rows. Where the digest is known
+        only the number counts, and the id stays null."""
+        found = counted.groupBy("digest").agg(F.max("doc_id").alias("id"), F.sum("copies").alias("group_size"))
+        known = self.entries().select("digest", F.lit(True).alias("known")).hint("merge")
+        new = found.join(known, "digest", "left").select(
+            "digest", F.when(F.col("known").isNull(), F.col("id")).alias("keep_id"), "group_size"
+        )
         new.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(
             self.buckets, "digest"
         ).sortBy("digest").saveAsTable(self.name)
@@ -75,17 +73,19 @@ def open_index(spark: SparkSession, folder: str | None = None) -> DigestIndex:
 def classify(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Add documents to the index; one row per document with its decision.
 
-    Gives ``doc_id, digest, keep_id, group_size, kept``. Of equal texts the largest ``doc_id`` stays; an
+    Gives ``doc_id, digest, keep_id, group_size, kept``; ``group_size`` counts the rows of earlier calls too. Of equal texts the largest ``doc_id`` stays; an
     entry that was in the index before wins over new rows. Of rows equal in id and text one stays. A
     null id loses to any other; if all are null, one row stays and ``keep_id`` is null. Empty input
     gives no rows. Only digests and ids are shuffled, and equal rows are counted on the map side.
     """
     thin = digested(docs.select("doc_id", "text")).groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
-    known = index.table().select("digest", F.lit(True).alias("known"))
+    known = index.entries().select("digest", F.lit(True).alias("known"))
     before = thin.join(known, "digest", "left").withColumn("fresh", F.col("known").isNull()).drop("known")
     rows = stored(before, "digested")
     index.append(rows)
-    joined = rows.join(index.entries(), "digest")
+    # Stored, so that the join below reads plain tables, which adaptive execution can split.
+    totals = stored(index.entries().join(rows.select("digest").distinct(), "digest", "left_semi"), "totals")
+    joined = rows.join(totals, "digest")
     return joined.select(
         "doc_id", "digest", "keep_id", "group_size", "fresh",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),

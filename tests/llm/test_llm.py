@@ -290,6 +290,18 @@ def test_index_lasts(spark, docs):
     assert exact.DigestIndex(spark, folder, buckets=3).buckets == exact.open_index(spark, folder).buckets != 3
 
 
+def test_index_counts_later_copies(spark):
+    folder = storage.scratch_folder(spark, "digests")
+    batches = [[(5, "a"), (3, "A"), (None, "b")], [(9, "a"), (9, "a"), (1, "a"), (7, "b"), (2, "c")], [(4, "a"), (8, "c")]]
+    want = [{("a", 5, 2), ("b", None, 1)}, {("a", 5, 5), ("b", None, 2), ("c", 2, 1)}, {("a", 5, 6), ("c", 2, 2)}]
+    for batch, sizes in zip(batches, want):
+        frame = spark.createDataFrame(batch, "doc_id long, text string")
+        got = exact.classify(frame, exact.open_index(spark, folder)).collect()
+        names = {hashlib.sha256(x.encode()).hexdigest(): x for x in "abc"}
+        assert len(got) == len(batch) and {(names[r.digest], r.keep_id, r.group_size) for r in got} == sizes
+    assert not any(r.kept for r in got)
+
+
 # --- 7: BPE -------------------------------------------------------------------------------------
 
 def test_bpe_is_the_library(spark, docs):
