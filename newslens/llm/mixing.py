@@ -116,8 +116,9 @@ def mix(
     last of a stream may be shorter), and ``place`` numbers its rows. Within a stream rows are in the order of a
     hash of their content. No row is dropped or repeated; empty input gives no rows.
 
-    Until the first source ends, each is less than a block away from its share by the weights as given, at any
-    slot; then the same holds from where the others go on. The sources' row counts reach the driver. It goes through
+    In whole periods of ``max_period`` slots that every source can fill, each is less than a block away from its share by
+    the weights as given, at any slot. The period in which a source ends is shared by what each has left of its quota
+    (so are inputs of less than a period); then the same holds from where the others go on. The sources' row counts reach the driver. It goes through
     the slots once, keeps each source's blocks at the cuts between legs (about ``max_legs`` legs and those that end
     with a source, up to 16 million blocks) and no slot; the slots of the legs are planned in tasks.
     """
