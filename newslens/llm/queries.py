@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newslens.llm import bpe, chat, exact, langid, mixing, sharding, simhash, substrings, vectors, warc
+from newslens.llm import (
+    bpe, chat, exact, infill, langid, mixing, resample, sharding, simhash, substrings, urls, vectors, warc,
+)
 from newslens.sources import storage
 
 SHARDS = 24
 WINDOW = 35
 SHINGLE, DISTANCE = 3, 3
+DRAWN_PERCENT, MIN_WORDS, NOISE_SEED = 10, 20, "2024"
+FIM_RATE, SPM_RATE, FIM_SEED = 90, 20, "1"
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -91,6 +96,27 @@ def op10_embeddings(spark, folder):
     return vectors.near_duplicates(_table(spark, folder, "embeddings"))
 
 
+def op11_resampling(spark, folder):
+    """Weights of all documents towards the benchmark, and the ranks of those drawn."""
+    docs, target = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    return resample.resample(docs, target, DRAWN_PERCENT, MIN_WORDS, seed=NOISE_SEED)
+
+
+def op12_fill_in_middle(spark, folder):
+    """Fill-in-middle examples of all documents, and the texts rebuilt from them."""
+    cut = infill.transform(_table(spark, folder, "documents"), FIM_RATE, SPM_RATE, seed=FIM_SEED)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_url_filter(spark, folder):
+    """Verdicts on the URLs of all pages, by rules or by trees trained on hosts that a list of words labels."""
+    pages = _table(spark, folder, "pages")
+    return urls.judge(pages, urls.fit(urls.seeded(pages)), URL_RULES)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this module by name."""
     return {name: f for name, f in globals().items() if name.startswith("op")}
@@ -153,6 +179,62 @@ def statements() -> dict[str, str]:
                 case when payload_bytes >= 100 and page_id is distinct from first then 'revisit' else 'response' end as record_type,
                 case when payload_bytes >= 100 and page_id is distinct from first then first end as refers_to
             from firsts""",
+        "op11_resampling": f"""
+            with split as (
+                select r, doc_id, word from (
+                    select row_number() over () as r, doc_id,
+                        regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents)
+                left join lateral (select unnest(w) as word) on true),
+            wanted as (
+                select unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word from benchmark),
+            kinds as (
+                select word, hex(encode(word)) as h from (select word from split where word is not null union select word from wanted)),
+            hashed as (
+                select word, xor(4294967295, list_reduce(
+                    list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)),
+                        lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end))) % 10000 as bucket
+                from kinds),
+            held as (select bucket, count(*) as s from split join hashed using (word) group by bucket),
+            asked as (select bucket, count(*) as t from wanted join hashed using (word) group by bucket),
+            sums as (select (select coalesce(sum(s), 0) from held) as s_all, (select coalesce(sum(t), 0) from asked) as t_all),
+            gain as (
+                select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE
+                    / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT as g
+                from held left join asked using (bucket), sums),
+            weighted as (
+                select r, any_value(doc_id) as doc_id, count(word) as n_features,
+                    coalesce(floor(sum(g)::DOUBLE / count(word)), 0)::BIGINT as weight
+                from split left join hashed using (word) left join gain using (bucket) group by r),
+            scored as (
+                select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('{NOISE_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+                    + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT as score
+                from weighted),
+            placed as (
+                select r, row_number() over (order by score desc, doc_id nulls last) as place, count(*) over () as n
+                from scored where n_features >= {MIN_WORDS})
+            select doc_id, n_features, weight, score, case when place <= {DRAWN_PERCENT} * n // 100 then place end as rank
+            from scored left join placed using (r)""",
+        "op12_fill_in_middle": f"""
+            with hashed as (
+                select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::BIGINT as n,
+                    sha256('{FIM_SEED}:' || coalesce(doc_id::VARCHAR, '')) as d from documents),
+            drawn as (
+                select *, ('0x' || substr(d, 1, 8))::BIGINT % (n + 1) as a, ('0x' || substr(d, 9, 8))::BIGINT % (n + 1) as b,
+                    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>')
+                        or ('0x' || substr(d, 17, 8))::BIGINT % 100 >= {FIM_RATE} then 'plain'
+                    when ('0x' || substr(d, 25, 8))::BIGINT % 100 < {SPM_RATE} then 'spm' else 'psm' end as form
+                from hashed),
+            parts as (
+                select *, substr(t, 1, least(a, b)) as p, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) as m,
+                    substr(t, greatest(a, b) + 1) as s
+                from drawn)
+            select doc_id, n, form, case when form <> 'plain' then least(a, b) end as prefix_chars,
+                case when form <> 'plain' then greatest(a, b) - least(a, b) end as middle_chars,
+                sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                    when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) as output_sha256,
+                sha256(t) as restored_sha256
+            from parts""",
         "op10_embeddings": """
             with recursive vectors as (
                 select vec_id, label, cast(embedding as double[]) as e from embeddings
