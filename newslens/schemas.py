@@ -24,6 +24,8 @@ SCAN_COLUMNS = [
     "DATE", "SourceCommonName", "DocumentIdentifier", "V2Tone", "V2Organizations", "V2Themes",
 ]
 
+SCAN = T.StructType([ARTICLES[name] for name in SCAN_COLUMNS])
+
 CSV_EXTRACT = _schema(
     ("DATE", T.LongType()),
     ("V2Tone", T.StringType()),
@@ -40,6 +42,9 @@ COVERAGE = _schema(
     ("article_count", T.LongType()),
 )
 
+# A cube that grows also keeps each day's own tone, NULL on silent days, to fill it again from any day on.
+GROWING_COVERAGE = T.StructType([*COVERAGE.fields, T.StructField("own_tone", T.DoubleType(), True)])
+
 MENTIONS = _schema(
     ("signal", T.StringType()),
     ("country_iso3", T.StringType()),

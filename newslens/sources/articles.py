@@ -1,13 +1,16 @@
 """The article table: topic scans, stored scans and CSV extracts."""
 
+import datetime as dt
 import hashlib
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from newslens import schemas
-from newslens.operators.filters import keyword_match, partition_range
+from newslens.operators.filters import keyword_match, month_bounds, partition_range
 from newslens.sources import storage
+from newslens.sources.versions import Part, VersionedTable, partition_files
 
 SCAN_VERSION = "v1"  # raise it when the scanned columns change
 
@@ -28,11 +31,11 @@ def write_articles_table(df: DataFrame, path: str) -> None:
 
 
 def topic_scan(
-    articles: DataFrame, keywords, start: str, end: str, regex: bool = False
+    articles: DataFrame, keywords, start: str, end: str, regex: bool = False, keep=()
 ) -> DataFrame:
-    """Articles of a topic in whole months ``YYYY-MM``, projected to the scan columns."""
+    """Articles of a topic in whole months ``YYYY-MM``, projected to the scan columns and those to ``keep``."""
     in_range = partition_range(articles, start, end)
-    return keyword_match(in_range, keywords, regex).select(*schemas.SCAN_COLUMNS)
+    return keyword_match(in_range, keywords, regex).select(*schemas.SCAN_COLUMNS, *keep)
 
 
 def scan_path(folder: str, topic: str, keywords, start: str, end: str, snapshot: str = "") -> str:
@@ -67,6 +70,53 @@ def materialize_scan(
     return spark.read.schema(scan.schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class GrowingScan:
+    """A stored scan by day. ``changed``: the days that the last refresh scanned anew, or whose articles are gone."""
+
+    table: VersionedTable
+    parts: tuple[Part, ...]
+    changed: tuple[dt.date, ...]
+
+    def rows(self, days=None) -> DataFrame:
+        """The scan columns of all days, or of the given ones; files of other days are not opened."""
+        wanted = None if days is None else {d.isoformat() for d in days}
+        chosen = [p for p in self.parts if wanted is None or p.value in wanted]
+        return self.table.read(chosen, schemas.SCAN).select(*schemas.SCAN_COLUMNS)
+
+
+def refresh_scan(
+    spark: SparkSession, path: str, folder: str, topic: str, keywords, start: str, end: str, regex: bool = False
+) -> GrowingScan:
+    """The scan of a table that grows: only days whose files have changed since the last refresh are read.
+
+    ``path`` is the article table by day. Every stored day carries a digest of its files' names, sizes and times; days with another digest,
+    new ones and ones that are gone are found from the listing alone. They are scanned and replaced in one
+    step. ``end`` may move on from call to call; the stored scan is found by the other parameters.
+    """
+    first, last = (d.isoformat() for d in month_bounds(start, end))
+    table = VersionedTable(spark, f"{scan_path(folder, topic, [*keywords, *(['(pattern)'] if regex else [])], start, '')}", "day")
+    listing = partition_files(spark, path, "partition_date").filter(F.col("value").between(first, last))
+    files = {r["value"]: r["note"] for r in listing.collect()}
+    stored = {p.value: p for p in table.parts()}
+    in_range = {v for v in stored if first <= v <= last}
+    fresh = sorted(v for v, note in files.items() if v not in stored or stored[v].note != note)
+    gone = sorted(in_range - set(files))
+    if fresh or gone:
+        days = [dt.date.fromisoformat(v) for v in fresh]
+        articles = read_articles(spark, path).filter(F.col("partition_date").isin(days))
+        found = topic_scan(articles, keywords, start, end, regex, keep=["partition_date"])
+        by_day = found.withColumn("day", F.col("partition_date").cast("string")).drop("partition_date")
+        version, written = table.stage(by_day.hint("rebalance", "day"))
+        for value in fresh:
+            stored[value] = Part(value, version if value in written else None, files[value])
+        for value in gone:
+            del stored[value]
+        table.publish(version, list(stored.values()))
+    parts = tuple(p for _, p in sorted(stored.items()) if first <= p.value <= last)
+    return GrowingScan(table, parts, tuple(dt.date.fromisoformat(v) for v in sorted([*fresh, *gone])))
+
+
 _CSV = {
     "header": True,
     "escape": '"',

@@ -46,3 +46,9 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     fs, jpath = _filesystem(spark, path)
     fs.delete(jpath, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    fs, jpath = _filesystem(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(jpath)) if fs.exists(jpath) else []
