@@ -52,11 +52,9 @@ def build_topics(
     articles = topic_articles(raw, boundaries, outlets)
     measured = signals[0].name if signals else "orgs"
     if distinct_articles and signals:
-        listed, count = topics.entry_articles(articles, signals), F.count_distinct("article")
-    else:
-        # The rollup adds spellings up anyway, so plain mentions go to it without a merge of their own.
-        listed, count = topics.entry_counts(articles, signals), F.sum("count")
-    return topics.ranked_topics(listed, n, threshold, measured, count)
+        return topics.listed_topics(topics.distinct_rollup(articles, signals, measured), n, threshold, measured)
+    # The rollup adds spellings up anyway, so plain mentions go to it without a merge of their own.
+    return topics.ranked_topics(topics.entry_counts(articles, signals), n, threshold, measured)
 
 
 def build_feed(

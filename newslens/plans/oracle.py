@@ -60,6 +60,10 @@ EVENT_ART = """event_art AS MATERIALIZED (
     (['FRA','DEU','GBR','USA',NULL,NULL,'TUV','ITA','ESP','JPN','CHN','IND','BRA','CAN','AUS',
       NULL,'TUR','KOR','UKR','RUS','POL','SWE','IRL','ZAF','MEX'])[(user_id % 25 + 1)::INT] AS iso,
     user_id || '/' || event_type AS doc, ts,
+    'daily.' || (['fr','de','co.uk','us','com','net','tv','it','es','jp','cn','in','br','ca','au',
+      'org','tr','kr','ua','ru','pl','se','ie','za','mx'])[(user_id % 25 + 1)::INT] AS outlet,
+    CAST(CAST(CAST(round((value * 1000 - 20000.0) * 100) AS BIGINT) * 1285737123 AS DECIMAL(20,0))
+      * CAST('0.000000000000001' AS DECIMAL(16,15)) AS VARCHAR) || ',1.5,2.5,4.0,20.1,0.5,310' AS tone_text,
     CAST(CAST(CAST(CAST(round((value * 1000 - 20000.0) * 100) AS BIGINT) * 1285737123 AS DECIMAL(20,0))
       * CAST('0.000000000000001' AS DECIMAL(16,15)) AS VARCHAR) AS DOUBLE) AS tone
   FROM events)"""
@@ -336,6 +340,11 @@ FROM art WHERE {MONTHS_WHERE} AND {SCAN_WHERE} AND {HOT_WHERE}""")
     sql["csv_extract"] = _with(ART, f"SELECT {CSV_FIELDS} FROM art")
     sql["materialize_scan"] = _with(ART, f"""SELECT "DATE", V2Tone, V2Themes FROM (
   SELECT {CSV_FIELDS} FROM art WHERE {MONTHS_WHERE} AND {SCAN_WHERE} AND {HOT_WHERE})""")
+    clicks = EVENT_ART + ",\nclicks AS (SELECT * FROM event_art WHERE doc LIKE '%click%')"
+    sql["incremental_scan"] = _with(clicks, """SELECT CAST(strftime(ts, '%Y%m%d%H%M%S') AS BIGINT) AS "DATE",
+  outlet AS SourceCommonName, 'https://wire.example/' || doc AS DocumentIdentifier, tone_text AS V2Tone FROM clicks""")
+    sql["incremental_coverage"] = _with(
+        clicks + ",\n" + _daily("daily", "clicks") + ",\n" + _cube("cube", "daily"), f"SELECT {CUBE_COLUMNS} FROM cube")
     profile = """SELECT min(date) AS first_date, max(date) AS last_date,
   count(DISTINCT country_iso3) AS countries, count(*) AS total_rows,
   sum(article_count)::BIGINT AS total_articles FROM {rows}"""
