@@ -95,18 +95,58 @@ def entry_counts(df: DataFrame, signals: list[Signal] | None = None) -> DataFram
     )
 
 
-def entry_articles(df: DataFrame, signals: list[Signal]) -> DataFrame:
-    """Distinct (raw entry, article) pairs with their key and name. Needs ``country_iso3`` and ``era``.
-
-    Pairs collapse before the cleaning, so the regexes run once per pair. A dropped entry has NULLs
-    as key, name and article.
+def distinct_rollup(df: DataFrame, signals: list[Signal], measured: str, eras: int) -> DataFrame:
+    """What :func:`topic_rollup` gives ``with_totals``, without names and with articles counted instead of mentions.
+
+    An article counts once per bucket, however many eras, countries or spellings hold it. A pair of key and article
+    carries its eras as the bits of one number, so it is shuffled once per country and once over all
+    of them, and not once per grain: the bits are merged by ``or`` and every bucket's count is a sum of bits.
+    All buffers are numbers, so Spark aggregates by hashing. Totals count the articles of a country that hold any
+    kept entry of ``measured``. An article without an identifier counts for none.
     """
-    pairs = _entries(df, signals, "country_iso3", "era", "DocumentIdentifier").distinct()
-    return _with_key(pairs, signals).select(
-        "signal", "country_iso3", "era", "key",
-        _per_signal(signals, lambda s: s.shown(F.col("key"), F.col("raw"))).alias("name"),
-        F.when(F.col("key").isNotNull(), F.col("DocumentIdentifier")).alias("article"),
+    entries = _entries(df.filter(F.col("DocumentIdentifier").isNotNull()), signals, "country_iso3", "era", "DocumentIdentifier")
+    article = ["DocumentIdentifier", "country_iso3"]
+    spelt = entries.groupBy("signal", "raw", *article).agg(F.expr("bit_or(shiftleft(1L, era))").alias("eras"))
+    # Cleaned after repeated mentions have collapsed. Dropped entries keep a null key: a filter on it would move
+    # below the sums, and the regexes with it.
+    pairs = _with_key(spelt, signals).groupBy("signal", "key", *article).agg(F.bit_or("eras").alias("eras"))
+    anywhere = pairs.groupBy("signal", "key", "DocumentIdentifier").agg(F.bit_or("eras").alias("eras"))
+    nowhere = F.lit(None).cast("string").alias("country_iso3")
+
+    def counted(rows: DataFrame, scope: str, *keys: str) -> DataFrame:
+        in_era = [F.sum(F.shiftright("eras", e).bitwiseAND(F.lit(1))).alias(f"_{e}") for e in range(eras)]
+        sums = rows.groupBy(*keys, "signal", "key").agg(F.count("*").alias("_all"), *in_era)
+        buckets = [F.struct(F.lit(str(b)).alias("bucket"), F.col(f"_{b}").alias("count")) for b in ("all", *range(eras))]
+        flat = sums.select(F.lit(scope).alias("scope"), *(keys or [nowhere]), "signal", "key", F.inline(F.array(*buckets)))
+        return flat.filter(F.col("count") > F.when(F.col("key").isNull(), F.col("count")).otherwise(0))
+
+    # Of the same shuffle: what is asked of its rows is an aggregate, which cannot be moved below it.
+    asked = F.max(F.when((F.col("signal") == measured) & F.col("key").isNotNull(), 1).otherwise(0))
+    holders = pairs.groupBy(*article).agg(asked.alias("holds"))
+    totals = holders.groupBy("country_iso3").agg(F.sum("holds").alias("count")).select(
+        F.lit("total").alias("scope"), "country_iso3", F.lit(measured).alias("signal"), F.lit(None).cast("string").alias("key"),
+        F.lit("all").alias("bucket"), "count",
     )
+    per_country = counted(pairs, "country", "country_iso3").unionByName(totals.filter(F.col("count") > 0))
+    valid = F.when(F.col("count") > 0, fields.valid_country(F.col("country_iso3")))
+    return counted(anywhere, "global").unionByName(per_country.filter(valid))
+
+
+def with_names(listed: DataFrame, df: DataFrame, signals: list[Signal]) -> DataFrame:
+    """Add the names of a listing: made from the key, or the smallest spelling of the bucket.
+
+    Spellings are counted with map-side partial sums, for signals that show them alone.
+    """
+    made = _per_signal(signals, lambda s: s.display(F.col("key")) if s.display else F.lit(None).cast("string"))
+    spelt = [s for s in signals if not s.display]
+    if not spelt:
+        return listed.withColumn("name", made)
+    place = ["scope", "country_iso3", "bucket", "signal", "key"]
+    found = topic_rollup(entry_counts(df, spelt)).select(*[F.col(c).alias(f"_{c}") for c in place], F.col("name").alias("_name"))
+    same = F.lit(True)
+    for c in place:
+        same = same & (listed[c].eqNullSafe(found[f"_{c}"]) if c == "country_iso3" else listed[c] == found[f"_{c}"])
+    return listed.join(found, same, "left").withColumn("name", F.coalesce("_name", made)).drop(*[f"_{c}" for c in place], "_name")
 
 
 def mention_counts(
@@ -230,7 +270,14 @@ def ranked_topics(
     count: Column | None = None,
 ) -> DataFrame:
     """Rollup, top n and country threshold in one pass over mentions, entry counts or articles."""
-    top = top_n_per_group(topic_rollup(mentions, with_totals=True, count=count), n)
+    return listed_topics(topic_rollup(mentions, with_totals=True, count=count), n, threshold, signal)
+
+
+def listed_topics(
+    rolled: DataFrame, n: int = TOP_N, threshold: int = MIN_COUNTRY_MENTIONS, signal: str = "orgs"
+) -> DataFrame:
+    """Top n of a rollup with totals; countries whose total of ``signal`` misses the threshold are left out."""
+    top = top_n_per_group(rolled, n)
     is_total = (F.col("scope") == "total") & (F.col("signal") == signal)
     country_total = F.max(F.when(is_total, F.col("count"))).over(Window.partitionBy("country_iso3"))
     return (

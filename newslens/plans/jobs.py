@@ -52,7 +52,8 @@ def build_topics(
     articles = topic_articles(raw, boundaries, outlets)
     measured = signals[0].name if signals else "orgs"
     if distinct_articles and signals:
-        return topics.listed_topics(topics.distinct_rollup(articles, signals, measured), n, threshold, measured)
+        counted = topics.distinct_rollup(articles, signals, measured, len(boundaries) - 1)
+        return topics.with_names(topics.listed_topics(counted, n, threshold, measured), articles, signals)
     # The rollup adds spellings up anyway, so plain mentions go to it without a merge of their own.
     return topics.ranked_topics(topics.entry_counts(articles, signals), n, threshold, measured)
 
