@@ -3,13 +3,14 @@
 A source of weight w out of W has its i-th block (from 1) released at slot ``(i - 1) W / w`` and due by
 ``i W / w``; in every slot the released block with the earliest deadline is next. Up to any slot every
 source is less than one block away from its share. The slots are cut into legs; from the number of blocks
-that each source has before a cut, its leg is planned by itself, in a Spark task. When a source ends, the others go on in the proportion of their weights.
+that each source has before a cut, its leg is planned by itself, in a Spark task. When a source ends, the others
+go on in the proportion of their weights.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 from math import gcd, lcm
 
@@ -20,22 +21,6 @@ from newslens.llm.ranks import ranked
 REST = "(rest)"
 
 
-def period(weights: list[int]) -> list[int]:
-    """The source of each slot of one period, earliest deadline first among released blocks."""
-    total = sum(weights)
-    releases = sorted(
-        (i * total // w, -(-(i + 1) * total // w), s) for s, w in enumerate(weights) for i in range(w)
-    )
-    ready: list[tuple[int, int]] = []
-    slots, at = [], 0
-    for slot in range(total):
-        while at < len(releases) and releases[at][0] <= slot:
-            heapq.heappush(ready, releases[at][1:])
-            at += 1
-        slots.append(heapq.heappop(ready)[1])
-    return slots
-
-
 def scaled(wanted: list[float] | list[Fraction], most: int) -> list[int]:
     """Whole weights in the same proportion, at least 1 each, with a sum of about ``most``."""
     total = sum(wanted)
@@ -54,44 +39,40 @@ def whole(wanted: list[float], blocks: int) -> list[int]:
     return weights if sum(weights) <= most else scaled(exact, most - len(exact))
 
 
-def states(weights: list[int], cuts: Iterable[int]) -> Iterator[list[int]]:
-    """Blocks of each source in the slots before each cut, earliest deadline first among released blocks."""
+def states(weights: list[int], blocks: list[int], every: int) -> Iterator[tuple[int, list[int]]]:
+    """A phase, earliest deadline first among released blocks: after every so many slots and at its end the number of
+    slots and of each source's blocks in them. It ends before the slot in which a source is due that has no block left."""
     total, done, slot = sum(weights), [0] * len(weights), 0
     later = [(0, -(-total // w), s) for s, w in enumerate(weights)]
     heapq.heapify(later)
     ready: list[tuple[int, int]] = []
-    for cut in cuts:
-        for slot in range(slot, cut):
-            while later and later[0][0] <= slot:
-                heapq.heappush(ready, heapq.heappop(later)[1:])
-            s = heapq.heappop(ready)[1]
-            done[s] += 1
-            heapq.heappush(later, (done[s] * total // weights[s], -(-(done[s] + 1) * total // weights[s]), s))
-        slot = cut
-        yield list(done)
+    while True:
+        while later and later[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(later)[1:])
+        s = heapq.heappop(ready)[1]
+        if done[s] == blocks[s]:
+            yield slot, done
+            return
+        done[s] += 1
+        heapq.heappush(later, (done[s] * total // weights[s], -(-(done[s] + 1) * total // weights[s]), s))
+        slot += 1
+        if slot % every == 0:
+            yield slot, list(done)
 
 
 def legs(blocks: list[int], weights: list[int], length: int, most: int = 1024) -> list[tuple[int, ...]]:
     """``phase, cut, slots, source, weight, total, done, until, first, begins`` for each source of each leg.
 
-    A phase goes on for whole periods of ``length`` slots while every source in it can fill its share; then a source
-    that cannot ends with a single period in which its weight is what it has left. Phases are cut into legs of a
-    period; where those would be more than ``most``, of up to 16 periods.
+    A phase runs by the weights as given until a source that is due has no block left; then the others begin anew by
+    theirs. Phases are cut into legs of ``length`` slots; where those would be more than ``most``, of up to 16 times as many.
     """
     left, first, begins, out, phase = list(blocks), [0] * len(blocks), 0, [], 0
     leg = length * min(16, -(-sum(blocks) // (length * most)))
     while any(left):
         own = [s for s, n in enumerate(left) if n]
         shares = [weights[s] for s in own]
-        total = sum(shares)
-        slots = length * min(left[s] * total // (length * w) for s, w in zip(own, shares, strict=True))
-        if not slots:
-            wanted = next(states(shares, [length]))
-            pairs = [(s, min(n, left[s])) for s, n in zip(own, wanted, strict=True) if n]
-            own, shares = [s for s, _ in pairs], [n for _, n in pairs]
-            total = slots = sum(shares)
-        cut, done, cuts = 0, [0] * len(own), [*range(leg, slots, leg), slots]
-        for end, until in zip(cuts, states(shares, cuts), strict=True):
+        total, cut, done = sum(shares), 0, [0] * len(own)
+        for end, until in states(shares, [left[s] for s in own], leg):
             out += [
                 (phase, cut, end - cut, s, w, total, a, b, first[s], begins)
                 for s, w, a, b in zip(own, shares, done, until, strict=True) if b > a
@@ -100,7 +81,7 @@ def legs(blocks: list[int], weights: list[int], length: int, most: int = 1024) -
         for s, n in zip(own, done, strict=True):
             left[s] -= n
             first[s] += n
-        begins, phase = begins + slots, phase + 1
+        begins, phase = begins + cut, phase + 1
     return out
 
 
@@ -116,11 +97,11 @@ def mix(
     last of a stream may be shorter), and ``place`` numbers its rows. Within a stream rows are in the order of a
     hash of their content. No row is dropped or repeated; empty input gives no rows.
 
-    In whole periods of ``max_period`` slots that every source can fill, each is less than a block away from its share by
-    the weights as given, at any slot. The period in which a source ends is shared by what each has left of its quota
-    (so are inputs of less than a period); then the same holds from where the others go on. The sources' row counts reach the driver. It goes through
-    the slots once, keeps each source's blocks at the cuts between legs (about ``max_legs`` legs and those that end
-    with a source, up to 16 million blocks) and no slot; the slots of the legs are planned in tasks.
+    At every slot each source is less than a block away from its share by the weights as given, until a source is due
+    that has no block left; then the same holds for the others from there on. Inputs of any size follow this one rule. The
+    sources' row counts reach the driver. It goes through the slots once, keeps each source's blocks at the cuts between legs (about
+    ``max_legs`` legs of ``max_period`` slots, up to 16 million blocks, more beyond) and no slot; the slots of the
+    legs are planned in tasks.
     """
     spark = docs.sparkSession
     named = None if weights is None else sorted(w for w in weights if weights[w] > 0)
