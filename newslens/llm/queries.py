@@ -65,7 +65,9 @@ def op5_substrings(spark, folder):
 
 def op6_exact_dedup(spark, folder):
     """Exact duplicates of all documents, by way of a digest index."""
-    found = exact.classify(_table(spark, folder, "documents"), exact.open_index(spark))
+    index = exact.open_index(spark)
+    found = exact.classify(_table(spark, folder, "documents"), index)
+    index.close()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
