@@ -28,22 +28,27 @@ CHUNK = 1 << 20
 
 
 def letter_table() -> np.ndarray:
-    """For every code point its hash: 16 bits of the lower-case letter, or 0 if it is no letter."""
+    """For every code point its hash: the lower-case letter if 16 bits hold it, one of 2,048 others (which stand for
+    nothing else) if they do not, and 0 if it is no letter."""
     table = np.zeros(0x110000, np.uint16)
     for point in range(LETTERS_END):
         letter = chr(point)
         if letter.isalpha():
             low = letter.lower()
-            table[point] = (ord(low) if len(low) == 1 else point) & 0xFFFF or 1
+            table[point] = short(ord(low) if len(low) == 1 else point)
         elif unicodedata.category(letter) in ("Mn", "Mc"):
-            table[point] = point & 0xFFFF or 1  # marks are part of a letter
+            table[point] = short(point)  # marks are part of a letter
     return table
 
 
+def short(point: int) -> int:
+    return point if point < 0x10000 else 0xD800 + point * 40_503 % 2048
+
+
 def letters(text: str, table: np.ndarray) -> np.ndarray:
     """Hashes of the letters with single zeros between words, or nothing if there is no letter."""
     codes = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if not codes.any():
+    if not any(c.isalpha() for c in text):  # marks alone are none
         return codes[:0]
     keep = codes != 0
     keep[1:] |= keep[:-1]
@@ -406,8 +411,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     score 0 if the text is null or has no letter or nothing was learnt. ``score`` is the probability of
     the predicted language among all, every one being as likely beforehand. ``rejected`` says that the
     cross-entropy is beyond the language's calibrated limit, or that the prediction is ``und``. Only the
-    ``keep`` columns and the text are read, and rows are scored where they are.
+    ``keep`` columns and the text are read, and rows are scored where they are. ``keep`` must not name a result.
     """
+    clash = sorted({"lang_pred", "score", "cross_entropy", "letters", "rejected"} & set(keep))
+    if clash:
+        raise ValueError(f"columns to keep are named as results: {clash}")
     fields = [docs.schema[c] for c in keep]
 
     def run(batches):
