@@ -94,7 +94,13 @@ def fit(sample: np.ndarray, lists: int, subspaces: int, codes: int) -> Quantiser
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return balanced(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width))
+
+
+def balanced(vectors: np.ndarray) -> np.ndarray:
+    """The rows times powers of two that bring their largest components near 1, so that no square overflows."""
+    most = np.abs(vectors).max(axis=1, initial=0)
+    return np.ldexp(vectors, -np.frexp(most)[1][:, None])
 
 
 def _coded(classes: DataFrame, model: Quantiser, width: int, reach: float, queries: bool) -> DataFrame:
@@ -120,16 +126,16 @@ def _coded(classes: DataFrame, model: Quantiser, width: int, reach: float, queri
                     names=[*batch.schema.names, "list", "codes", "error"],
                 )
 
-    kind = classes.schema["label"].dataType.simpleString()
+    kinds = dict(classes.dtypes)
     return classes.select("cid", "label", "vector", "copies").mapInArrow(
-        run, f"cid bigint, label {kind}, vector array<float>, copies bigint, list int, codes binary, error double"
+        run, f"cid bigint, label {kinds['label']}, vector {kinds['vector']}, copies bigint, list int, codes binary, error double"
     )
 
 
 def compare(model: Quantiser, of: int, index: pd.DataFrame, queries: pd.DataFrame, least: float, reach: float):
     """Of one list: links of each query, weighted by copies, and edges that connect what is linked."""
     def matrix(frame):
-        vectors = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+        vectors = balanced(np.stack(frame["vector"].to_numpy()).astype(np.float64))
         return vectors, np.sqrt((vectors**2).sum(axis=1))
 
     (y, y_norm), (x, x_norm) = matrix(index), matrix(queries)
@@ -195,19 +201,25 @@ def near_duplicates(
 
     The quantiser is fitted on ``sample_rows`` distinct vectors, the smallest by a hash, and holds about one
     list per ``list_rows`` of a label's vectors, ``max_lists`` at most; every vector is indexed and every
-    vector is a query. Equal vectors of a label are one class and count as so many links. Vectors that are
-    null, zero, or hold null or non-finite components, or have no label, or another length than most
-    (ties: the shorter) link with nothing: no links, their own component. ``component_id`` is the smallest key
+    vector is a query. Equal vectors of a label are one class and count as so many links. Only vectors of one length are
+    compared; shorter ones are filled up with zeros, which no cosine sees, and are a label of their own. Vectors that are
+    null, zero, or hold null or non-finite components, or have no label, link with nothing: no links, their own
+    component. Components are compared as they come, floats or doubles of any size. ``component_id`` is the smallest key
     that links reach; null keys count for no minimum, and where it is null the row counts as kept. Empty
     input gives no rows.
     """
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(column).cast("array<float>").alias("vector"))
+    kind = "float" if dict(vectors.dtypes)[column] == "array<float>" else "double"
+    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(column).cast(f"array<{kind}>").alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     sound = F.coalesce(finite & F.exists("vector", lambda v: v != 0) & F.col("label").isNotNull(), F.lit(False))
     rows = rows.withColumn("width", F.when(sound, F.size("vector")))
-    common = rows.filter("width is not null").groupBy("width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
-    width = common["width"] if common else 0
-    good, bad = rows.filter(F.col("width") == width), rows.filter(~F.col("width").eqNullSafe(F.lit(width)))
+    width = rows.agg(F.max("width")).first()[0]
+    good, bad = rows.filter("width is not null"), rows.filter("width is null")
+    filled = F.concat("vector", F.array_repeat(F.lit(0).cast(kind), (width or 0) - F.col("width")))
+    good = good.select(
+        "id", F.concat_ws(":", "width", F.col("label").cast("string")).alias("label"),
+        F.when(F.col("width") == (width or 0), F.col("vector")).otherwise(filled).alias("vector"),
+    )
     alone = bad.select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")
     )
@@ -220,7 +232,7 @@ def near_duplicates(
     )
     per_label = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     chosen = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).collect()
-    sample = np.array([r["vector"] for r in chosen], np.float64)
+    sample = balanced(np.array([r["vector"] for r in chosen], np.float64))
     sample /= np.sqrt((sample**2).sum(axis=1))[:, None]
     model = fit(sample, max(1, min(max_lists, per_label // list_rows)), subspaces, codes)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
