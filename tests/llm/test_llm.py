@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -82,31 +84,25 @@ def test_chat_examples(spark):
 
 # --- 2: mixing ----------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("weights", [[1], [3, 1], [34] + [1] * 66, [5, 3, 2, 7], [9, 1]])
-def test_period_stays_within_a_block(weights):
-    slots, total, seen = mixing.period(weights), sum(weights), collections.Counter()
-    assert collections.Counter(slots) == {s: w for s, w in enumerate(weights)}
-    for t, s in enumerate(slots, 1):
-        seen[s] += 1
-        assert all(abs(seen[i] - w * t / total) < 1 for i, w in enumerate(weights))
-
-
 def _earliest_deadline_first(blocks, weights):
-    """Slot by slot: each phase begins anew with the streams that are left; a stream that cannot fill its weight ends."""
+    """From the definition, slot by slot: block i of a source is released at i W / w and due by (i + 1) W / w, W being the
+    weights of the sources that still have blocks when one that has none is due."""
     left, order = list(blocks), []
     while any(left):
-        shares = [w if n else 0 for w, n in zip(weights, left)]
-        common = np.gcd.reduce(shares)
-        shares = [int(w // common) for w in shares]
-        if any(n < w for w, n in zip(shares, left)):
-            shares = [min(w, n) for w, n in zip(shares, left)]
-        done, total = [0] * len(shares), sum(shares)
-        for slot in range(total):
-            ready = [s for s, w in enumerate(shares) if w and done[s] < w and done[s] * total // w <= slot]
-            due = min(ready, key=lambda s: (-(-(done[s] + 1) * total // shares[s]), s))
+        own = [s for s, n in enumerate(left) if n]
+        total, done, slot = sum(Fraction(weights[s]) for s in own), dict.fromkeys(own, 0), 0
+        rate = {s: Fraction(weights[s]) / total for s in own}
+        while True:
+            released = [s for s in own if math.floor(done[s] / rate[s]) <= slot]
+            due = min(released, key=lambda s: (math.ceil((done[s] + 1) / rate[s]), s))
+            if done[due] == left[due]:
+                break
             done[due] += 1
             order.append(due)
-        left = [n - d for n, d in zip(left, done)]
+            slot += 1
+            assert all(abs(done[s] - rate[s] * slot) < 1 for s in own)
+        for s in own:
+            left[s] -= done[s]
     return order
 
 
@@ -119,8 +115,9 @@ def test_mix_keeps_every_row(spark, docs, none):
     assert {r.stream for r in rows} == {"s0", "s1", mixing.REST}
     streams = sorted({r.stream for r in rows})
     filled = collections.Counter(r.stream for r in rows)
-    weights = mixing.scaled([{"s0": 5, "s1": 1}.get(s) or filled[s] ** 0.5 for s in streams], 1024)
-    plain = _earliest_deadline_first([-(-filled[s] // 2) for s in streams], weights)
+    blocks = [-(-filled[s] // 2) for s in streams]
+    weights = mixing.whole([{"s0": 5, "s1": 1}.get(s) or filled[s] ** 0.5 for s in streams], sum(blocks))
+    plain = _earliest_deadline_first(blocks, weights)
     assert plain == [streams.index(s) for _, s in sorted({(r["at"], r.stream) for r in rows})]
     kept = mixing.mixed(docs)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
@@ -137,17 +134,31 @@ def _slots(spark, blocks, weights, **options):
 
 
 @pytest.mark.parametrize("blocks, weights, most", [
-    ([2000, 4000], [1, 2], 1024), ([2000, 4000], [1, 2], 3), ([6000, 2, 900], [1, 0.0001, 0.13], 5), ([300] * 4 + [9] * 100, [30] * 4 + [0.8] * 100, 9),
+    ([2000, 4000], [1, 2], 1024), ([2000, 4000], [1, 2], 3), ([600, 2, 90], [1, 0.0001, 0.13], 5), ([300] * 4 + [9] * 20, [30] * 4 + [0.8] * 20, 9),
     ([900, 1100, 1300, 700, 1000], [0.9 ** 0.5, 1.1 ** 0.5, 1.3 ** 0.5, 0.7 ** 0.5, 1], 7),
+    ([500, 500], [9, 1], 1024), ([100, 900], [1, 1], 1024), ([5000, 5000], [9, 1], 4), ([1], [3.5], 9), ([3, 1, 4], [0.1, 0.7, 0.2], 9), ([7, 0, 7], [1, 1, 1], 9),
 ])
 def test_mixture_keeps_to_the_given_weights(spark, blocks, weights, most):
-    order, total, seen = _slots(spark, blocks, weights, most=most), sum(weights), [0] * len(blocks)
-    until = min(n * total / w for n, w in zip(blocks, weights)) // 64 * 64
-    assert until >= 1000
+    """At every slot, small inputs and ends of sources included."""
+    order = _slots(spark, blocks, weights, most=most)
+    assert order == _earliest_deadline_first(blocks, mixing.whole(weights, sum(blocks)))
+    total, seen = sum(w for w, n in zip(weights, blocks) if n), [0] * len(blocks)
     for t, s in enumerate(order, 1):
+        if any(n == b > 0 for n, b in zip(seen, blocks)):
+            break
         seen[s] += 1
-        if t <= until:
-            assert all(abs(n - w * t / total) < 1 for n, w in zip(seen, weights))
+        assert all(abs(n - w * t / total) < 1 + 1e-9 for n, w, b in zip(seen, weights, blocks) if b)
+
+
+def test_weights_hold_over_many_blocks(spark):
+    blocks, weights = [90_000, 60_000, 10_000], [0.9, 0.4, 0.033]
+    order, seen = _slots(spark, blocks, weights, most=50), np.zeros(3)
+    for t, s in enumerate(order, 1):
+        if seen[s] == blocks[s] or seen.max() == 90_000:
+            break
+        seen[s] += 1
+        assert (np.abs(seen - np.array(weights) * t / sum(weights)) < 1).all()
+    assert t > 120_000
 
 
 def test_every_source_is_a_stream(spark):
@@ -302,6 +313,42 @@ def test_index_counts_later_copies(spark):
     assert not any(r.kept for r in got)
 
 
+def test_batches_can_be_repeated(spark, docs, plan):
+    folder = storage.scratch_folder(spark, "digests")
+    index = exact.open_index(spark, folder)
+
+    def run(part, batch):
+        return sorted(map(str, exact.classify(part, index, batch).collect()))
+
+    one, two = docs.filter("doc_id < 40 or doc_id is null"), docs.filter("doc_id >= 30")
+    first = run(one, "one")
+    assert run(one, "one") == first and any("kept=True" in r for r in first)
+    second = run(two, "two")
+    assert run(two, "two") == second and run(two, "two") == second and run(one, "one") == first
+    # As if each had been run once.
+    other = exact.open_index(spark)
+    assert sorted(map(str, exact.classify(one, other, "x").collect())) == first
+    assert sorted(map(str, exact.classify(two, other, "y").collect())) == second
+    assert sorted(index.entries().collect()) == sorted(other.entries().collect())
+    small = index.compacted(storage.scratch_folder(spark, "digests"))
+    assert sorted(small.entries().collect()) == sorted(index.entries().collect())
+    assert spark.table(small.name).count() == small.entries().count()
+    again = exact.classify(two, small, "three").collect()
+    assert not any(r.kept for r in again) and len(again) == len(second)
+    known = index.entries(without="two").select("digest").hint("merge")
+    text = plan(exact.digested(two).groupBy("digest").agg(F.max("doc_id")).join(known, "digest", "left_anti"))
+    assert "SortMergeJoin" in text and "LeftAnti" in text and text.count("Exchange hashpartitioning(digest") == 1
+    for x in (index, other, small):
+        x.close()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_many_copies_of_a_row(spark):
+    frame = spark.range(10_001).select(F.lit(3).cast("long").alias("doc_id"), F.lit("A a").alias("text"))
+    got = exact.classify(frame, exact.open_index(spark))
+    assert got.count() == 10_001 and got.filter("kept").count() == 1 and {r.group_size for r in got.select("group_size").distinct().collect()} == {10_001}
+
+
 # --- 7: BPE -------------------------------------------------------------------------------------
 
 def test_bpe_is_the_library(spark, docs):
@@ -342,6 +389,17 @@ def test_language_edges(spark):
     assert got[903].rejected and got[903].lang_pred in ("de", "en") and not got[904].rejected
 
 
+def test_texts_without_a_letter(spark):
+    frame = spark.createDataFrame([(i, x, "en") for i, x in enumerate([SENTENCE, GERMAN, "\u0301\u0300", "12 \u0301", "", None, "é", "\U00020061"])], "doc_id long, text string, lang string")
+    model = langid.fit(frame, F.col("doc_id") < 2, F.lit(False))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame, model, keep=["doc_id"]).collect()}
+    assert [got[i] for i in range(2, 6)] == [("und", 0.0)] * 4 and got[6][0] == got[7][0] == "en"
+    table = langid.letter_table()
+    assert table[0x20061] != table[ord("a")] and table[0x20061] not in table[:0x10000]
+    with pytest.raises(ValueError):
+        langid.identify(frame.withColumn("score", F.lit(1)), model, keep=["doc_id", "score"])
+
+
 def test_language_model_holds_every_gram(spark):
     pick = random.Random(8)
     many = [chr(0x4E00 + i) for i in range(3000)]
@@ -454,6 +512,24 @@ def test_embeddings(spark):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_of_any_width_and_size(spark, kind):
+    big, small = (1e200, 1e-200) if kind == "double" else (1e30, 1e-30)
+    rows = [
+        (1, [1.0, 0, 0, 0], 0), (2, [1.0, 0, 0, 0], 0), (3, [1.0, 0.01, 0, 0], 0), (4, [0.0, 1, 0], 0), (5, [0.0, 1, 0], 0), (6, [0.0, 1, 0, 0], 0),
+        (7, [big, 0.0], 1), (8, [big, 0.0], 1), (9, [small, small / 100], 1), (10, [0.0, small], 1), (11, [big, big, 0.0], 1), (12, [0.0, big, big], 1),
+        (13, [], 1), (14, [0.0, 0.0], 1),
+    ]
+    frame = spark.createDataFrame([(i, [float(x) for x in v], l) for i, v, l in rows], f"vec_id long, embedding array<{kind}>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()}
+    assert got == {
+        1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (2, 7), 8: (2, 7), 9: (2, 7),
+        10: (0, 10), 11: (0, 11), 12: (0, 12), 13: (0, 13), 14: (0, 14),
+    }
+    nothing_sound = vectors.near_duplicates(frame.filter("vec_id > 12")).collect()
+    assert sorted((r.vec_id, r.n_links, r.kept) for r in nothing_sound) == [(13, 0, True), (14, 0, True)]
+
+
 # --- Pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline(spark):
@@ -477,9 +553,41 @@ def test_pipeline(spark):
 def test_pipeline_has_the_mixture(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    rows = sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: (r.slot, r.place))
-    assert [(r.slot, r.place) for r in rows] == sorted({(r.slot, r.place) for r in rows})
+    rows = sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(len(rows)))
     filled = collections.Counter(docs[r.doc_id].source or mixing.REST for r in rows)
     streams = sorted(filled)
-    plain = _earliest_deadline_first([-(-filled[s] // 8) for s in streams], mixing.scaled([filled[s] ** 0.5 for s in streams], 1024))
-    assert plain == [streams.index(s) for _, s in sorted({(r.slot, docs[r.doc_id].source or mixing.REST) for r in rows})]
+    blocks = [-(-filled[s] // 8) for s in streams]
+    plain = _earliest_deadline_first(blocks, mixing.whole([filled[s] ** 0.5 for s in streams], sum(blocks)))
+    want, left = [], dict(filled)
+    for s in plain:
+        n = min(8, left[streams[s]])
+        want += [streams[s]] * n
+        left[streams[s]] -= n
+    assert [docs[r.doc_id].source or mixing.REST for r in rows] == want
+
+
+def _stage(spark, stage, docs, tmp_path, name):
+    path = str(tmp_path / name)
+    stage(spark, docs, "").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("case", ["empty", "odd"])
+def test_stages_take_any_rows(spark, tmp_path, case):
+    """Null ids and texts, repeated rows, texts without letters, clashing columns, no rows at all."""
+    rows = _rows() if case == "odd" else []
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = _stage(spark, stage, docs, tmp_path, name)
+    got = docs.collect()
+    assert [r.position for r in sorted(got, key=lambda r: r.position)] == list(range(len(got)))
+    assert bool(got) == bool(rows)
+    texts = [r[1] for r in rows]
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    for r in got:
+        if r.doc_id is not None:
+            ids = library.encode(texts[[x[0] for x in rows].index(r.doc_id)], add_special_tokens=False).ids
+            assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
