@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newslens.llm import bpe, exact, langid, mixing, queries, simhash
 from newslens.llm.stored import stored
@@ -19,27 +19,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, that with the largest id."""
+    """One document of each text, that with the largest id; null texts count as empty, null ids lose."""
     return exact.keep_first(docs, exact.open_index(spark)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
+    """One document of each group of near copies, that with the smallest id; null texts count as empty."""
     return simhash.keep_one(docs, queries.SHINGLE, queries.DISTANCE).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order in which their sources are mixed."""
+    """All documents in the order in which their sources are mixed; the files they are written to keep it."""
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text, and every document's place in the mixture.
+    """Token counts, digests of ids and decoded text, and ``position``: every document's place in the mixture, from 0.
 
-    A table that is read again has no order, so the place is computed again; it depends on the rows alone.
+    The place is read from the stored order: the rows of the part files before, and those before it in its own. Null
+    texts count as empty.
     """
-    placed = mixing.mix(docs).select("row.doc_id", "row.text", "slot", "place")
-    return bpe.encode(placed, bpe.tokenizer_file(spark, queries.TOKENIZER), ids=False, keep=["slot", "place"])
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+    placed = docs.select("doc_id", "text", F.struct(part.alias("part"), F.col("_metadata.file_name").alias("name")).alias("file"), F.col("_metadata.row_index").alias("row"))
+    # A row for each file of the mixture.
+    sizes = placed.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("file").alias("of"), before.alias("before"))
+    numbered = placed.join(starts, placed["file"] == starts["of"]).select("doc_id", "text", (F.col("before") + F.col("row")).alias("position"))
+    return bpe.encode(numbered, bpe.tokenizer_file(spark, queries.TOKENIZER), ids=False, keep=["position"])
 
 
 STAGES = [
