@@ -125,11 +125,23 @@ def article_volume(df: DataFrame, *by: str, key: str = "DocumentIdentifier") ->
     )
 
 
+def tone_counts(df: DataFrame, low=-10.0, high=10.0, bins: int = 20, by=tuple(CUBE_KEYS)) -> DataFrame:
+    """Histograms of article tone per day and country, as one row per bin that has any.
+
+    They add up: those of days or countries together are the sums of their bins, and a new day adds rows of its
+    own, so any period's distribution comes from stored counts without the articles. Bin 0 lies below the range and
+    bin ``bins + 1`` above it.
+    """
+    bin_of = F.width_bucket("tone", F.lit(low), F.lit(high), F.lit(bins)).alias("bin")
+    return df.filter(F.col("tone").isNotNull()).groupBy(*by, bin_of).agg(F.count("*").alias("records"))
+
+
+def merged_tone_counts(counts: DataFrame, low=-10.0, high=10.0, bins: int = 20, by=()) -> DataFrame:
+    """The distribution over all rows of ``counts``, or one for each value of ``by``; the bins must be those they were counted with."""
+    added = counts.groupBy(*by, "bin").agg(F.sum("records").alias("records"))
+    return added.withColumn("bin_low", F.lit(low) + (F.col("bin") - 1) * F.lit((high - low) / bins))
+
+
 def tone_distribution(df: DataFrame, low=-10.0, high=10.0, bins: int = 20) -> DataFrame:
     """Histogram of article tone. Bin 0 lies below the range and bin ``bins + 1`` above it."""
-    return (
-        df.filter(F.col("tone").isNotNull())
-        .groupBy(F.width_bucket("tone", F.lit(low), F.lit(high), F.lit(bins)).alias("bin"))
-        .agg(F.count("*").alias("records"))
-        .withColumn("bin_low", F.lit(low) + (F.col("bin") - 1) * F.lit((high - low) / bins))
-    )
+    return merged_tone_counts(tone_counts(df, low, high, bins, by=()), low, high, bins)

@@ -26,12 +26,27 @@ def rolling_country_frame(
         begin = F.lit(start_date).cast("date")
         cube = cube.filter(F.col("date") >= begin)
     shown = cube.withColumn("_day", F.datediff("date", begin)).filter(F.col("_day") % step == 0)
-    frame = country.orderBy("_day").rangeBetween(-(size - 1) * step, 0)
-    framed = shown.select(
+    order = country.orderBy("_day")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    # Sums since the start, and what they were a frame ago: the same cost for any size. As decimals, so that nothing is
+    # left over when the two are subtracted.
+    mass = (F.col("avg_tone") * F.col("article_count")).cast("decimal(32,18)")
+    running = shown.select(
         "date",
         "country_iso3",
-        F.sum(F.when(tone.covered(), F.col("avg_tone") * F.col("article_count"))).over(frame).alias("mass"),
-        F.sum(F.when(tone.covered(), F.col("article_count"))).over(frame).alias("total"),
+        "_day",
+        F.coalesce(F.sum(F.when(tone.covered(), mass)).over(so_far), F.lit(0)).alias("_mass"),
+        F.coalesce(F.sum(F.when(tone.covered(), F.col("article_count"))).over(so_far), F.lit(0)).alias("_total"),
+    )
+
+    def in_frame(name: str):
+        return F.col(name) - F.coalesce(F.lag(name, size).over(order), F.lit(0))
+
+    framed = running.select(
+        "date",
+        "country_iso3",
+        in_frame("_mass").cast("double").alias("mass"),
+        in_frame("_total").alias("total"),
         F.least(F.lit(size), F.floor(F.col("_day") / step) + 1).alias("frame_days"),
     )
     return framed.filter(F.col("total") > 0).select(

@@ -1,5 +1,6 @@
 """The registered queries, by operator name: each takes (session, table folder)."""
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -218,6 +219,16 @@ def keyword_match(spark, folder):
     )
 
 
+TOPICS = {"promo": ["promo"], "hot promo": ["hot", "PROMO "], "rod": ["rod"], "old rod": ["old rod"], "hot": ["hot"], "none": ["no such word"]}
+
+
+def topic_match(spark, folder):
+    """Several topics from one scan, stored and read back."""
+    scans = article_store.materialize_scans(w.articles(spark, folder), storage.scratch_folder(spark, "scans"), TOPICS, *MONTHS)
+    named = [rows.select(F.lit(name).alias("topic"), "DATE", "SourceCommonName", "DocumentIdentifier") for name, rows in scans.items()]
+    return functools.reduce(DataFrame.unionByName, named)
+
+
 def partition_range(spark, folder):
     return filters.partition_range(w.articles(spark, folder), *MONTHS).select(
         "DATE", "partition_date", "SourceCommonName"
@@ -396,6 +407,16 @@ def tone_distribution(spark, folder):
     return _tidy(coverage.tone_distribution(_located(spark, folder), -5.0, 5.0, 25))
 
 
+def tone_distribution_by_country(spark, folder):
+    """Of one year, from stored counts per day and country."""
+    bins = (-5.0, 5.0, 25)
+    path = datasets.write_tone_counts(
+        coverage.tone_counts(_located(spark, folder), *bins), storage.scratch_folder(spark, "tones"), "Parts", "1995-01", "2001-12"
+    )
+    year = spark.read.parquet(path).filter(F.col("date").between("1997-01-01", "1997-12-31"))
+    return _tidy(coverage.merged_tone_counts(year, *bins, by=("country_iso3",)))
+
+
 def article_volume(spark, folder):
     return coverage.article_volume(_located(spark, folder), "date")
 

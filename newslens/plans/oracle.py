@@ -356,6 +356,14 @@ FROM art WHERE {MONTHS_WHERE} AND {SCAN_WHERE} AND {HOT_WHERE}""")
     sql["country_names"] = _with(_NAMES, "SELECT iso3, max(name) AS name FROM names WHERE iso3 IS NOT NULL GROUP BY iso3")
 
     # Filters
+    url = "linenumber <> 7"
+    matches = {
+        "promo": SCAN_WHERE, "hot promo": f"({SCAN_WHERE}) AND ({HOT_WHERE})", "hot": HOT_WHERE,
+        "rod": f"p_name LIKE '% rod' AND {url}", "old rod": f"p_name IN ('old rod', 'cold rod') AND p_partkey % 5 <> 2 AND {url}",
+    }
+    sql["topic_match"] = _with(ART, " UNION ALL ".join(
+        f"""SELECT '{name}' AS topic, packed AS "DATE", source AS SourceCommonName, doc AS DocumentIdentifier
+FROM art WHERE {MONTHS_WHERE} AND {where}""" for name, where in matches.items()))
     sql["keyword_match"] = _with(ART, f"""SELECT packed AS "DATE", source AS SourceCommonName,
   'ECON_' || upper(replace(p_name, ' ', '_')) || ';' || ['TAX_','ENV_','POLITICAL_','','SECURITY_'][p_size % 5 + 1]
     || upper(word1) || ';' || p_type || CASE WHEN p_size > 40 THEN '_' || p_size ELSE '' END AS Themes,
@@ -460,6 +468,10 @@ ORDER BY mentions DESC, country_iso3 LIMIT 6""")
     sql["tone_distribution"] = _with(ART, """SELECT bin, count(*) AS records, round(-5.0::DOUBLE + (bin - 1) * 0.4::DOUBLE, 8) AS bin_low FROM (
   SELECT CASE WHEN tone < -5 THEN 0 WHEN tone >= 5 THEN 26 ELSE floor((tone + 5) / 10 * 25)::BIGINT + 1 END AS bin
   FROM art WHERE tone IS NOT NULL AND iso IS NOT NULL) GROUP BY bin""")
+    sql["tone_distribution_by_country"] = _with(ART, """SELECT country_iso3, bin, count(*) AS records,
+  round(-5.0::DOUBLE + (bin - 1) * 0.4::DOUBLE, 8) AS bin_low FROM (
+  SELECT iso AS country_iso3, CASE WHEN tone < -5 THEN 0 WHEN tone >= 5 THEN 26 ELSE floor((tone + 5) / 10 * 25)::BIGINT + 1 END AS bin
+  FROM art WHERE tone IS NOT NULL AND iso IS NOT NULL AND year(date) = 1997) GROUP BY ALL""")
     sql["article_volume"] = _with(ART, "SELECT date, count(*) AS records, count(DISTINCT doc) AS articles FROM art WHERE iso IS NOT NULL GROUP BY date")
     sql["country_volume"] = _with(ART, """SELECT iso AS country_iso3, count(*) AS records, count(DISTINCT doc) AS articles
 FROM art WHERE iso IS NOT NULL GROUP BY iso""")

@@ -5,10 +5,10 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from newslens import schemas
-from newslens.operators.filters import keyword_match, month_bounds, partition_range
+from newslens.operators.filters import keyword_match, month_bounds, partition_range, topic_match
 from newslens.sources import storage
 from newslens.sources.versions import Part, VersionedTable, partition_files
 
@@ -70,6 +70,27 @@ def materialize_scan(
     return spark.read.schema(scan.schema).parquet(path)
 
 
+def materialize_scans(
+    articles: DataFrame, folder: str, topics: dict[str, list[str]], start: str, end: str, snapshot: str = ""
+) -> dict[str, DataFrame]:
+    """The stored scans of many topics from one scan of the articles, by topic.
+
+    Each is what :func:`materialize_scan` would read. The scans of a batch of topics are stored together, partitioned by topic, under a
+    digest of all their keywords; a topic without articles has an empty scan.
+    """
+    spark = articles.sparkSession
+    every = sorted(json.dumps([name, sorted({k.lower().strip() for k in words})]) for name, words in topics.items())
+    path = scan_path(folder, "topics", every, start, end, snapshot)
+    names = sorted(topics)
+    if not storage.is_complete(spark, path):
+        found = topic_match(partition_range(articles, start, end), topics, "_topic")
+        number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_topic")).alias("topic_no")
+        rows = found.select(*schemas.SCAN_COLUMNS, number)
+        rows.hint("rebalance", "topic_no").write.mode("overwrite").partitionBy("topic_no").option("compression", "snappy").parquet(path)
+    stored = spark.read.schema(T.StructType([*schemas.SCAN.fields, T.StructField("topic_no", T.LongType())])).parquet(path)
+    return {n: stored.filter(F.col("topic_no") == i + 1).select(*schemas.SCAN_COLUMNS) for i, n in enumerate(names)}
+
+
 @dataclass(frozen=True)
 class GrowingScan:
     """A stored scan by day. ``changed``: the days that the last refresh scanned anew, or whose articles are gone."""

@@ -1,6 +1,6 @@
 """The sentiment cube and the exported documents."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newslens import dims, schemas
 from newslens.operators.rankings import summary_document
@@ -22,21 +22,60 @@ def read_coverage(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
     return spark.read.schema(schemas.COVERAGE).parquet(storage.dataset_path(folder, dataset))
 
 
+_GROUP_ROWS, _PAGE_ROWS = 20_000, 1_000
+_CURVE_BITS = 8  # of the date, in units of a month, and of the country
+_UNIT_DAYS = 32
+
+
+def _curve(date: Column, country: Column) -> Column:
+    """Place on a Z-order curve over months and country codes: neighbours on it are close in both."""
+    unit = F.unix_date(date) + F.lit(1 << 20)  # no negative days
+    unit = F.floor(unit / _UNIT_DAYS)
+    # The code as a number below 256 that keeps the order of the codes.
+    code = sum((F.greatest(F.lit(0), F.least(F.lit(25), F.ascii(F.substring(country, i + 1, 1)) - 65)) * 26 ** (2 - i) for i in range(3)), F.lit(0))
+    code = F.floor(F.coalesce(code, F.lit(0)) * ((1 << _CURVE_BITS) / 26**3))
+
+    def bit(number: Column, i: int) -> Column:
+        return F.pmod(F.floor(number / (1 << i)), F.lit(2))
+
+    high = F.floor(unit / (1 << _CURVE_BITS)) * (1 << 2 * _CURVE_BITS)
+    return sum((bit(unit, i) * (1 << 2 * i + 1) + bit(code, i) * (1 << 2 * i) for i in range(_CURVE_BITS)), high)
+
+
 def write_coverage(cube: DataFrame, folder: str, topic: str, start: str, end: str) -> str:
-    """Store a cube as ``<topic>-<start>-<end>``, sorted so a date filter skips row groups."""
+    """Store a cube as ``<topic>-<start>-<end>``, along a curve through dates and countries.
+
+    Row groups and pages are small and hold a few months of a few countries, so a filter on a date and a filter on a
+    country both skip most of them.
+    """
     path = storage.dataset_path(folder, f"{storage.slug(topic)}-{start}-{end}")
     columns = [F.col(f.name).cast(f.dataType) for f in schemas.COVERAGE]
     (
         cube.select(*columns)
-        .repartitionByRange("date")
-        .sortWithinPartitions("date", "country_iso3")
+        .withColumn("_at", _curve(F.col("date"), F.col("country_iso3")))
+        .repartitionByRange("_at", "country_iso3", "date")
+        .sortWithinPartitions("_at", "country_iso3", "date")
+        .drop("_at")
         .write.mode("overwrite")
         .option("compression", "snappy")
+        .option("parquet.block.row.count.limit", _GROUP_ROWS)
+        .option("parquet.page.row.count.limit", _PAGE_ROWS)
         .parquet(path)
     )
     return path
 
 
+def write_tone_counts(counts: DataFrame, folder: str, topic: str, start: str, end: str) -> str:
+    """Store histograms per day and country, laid out as the cube is."""
+    path = storage.dataset_path(folder, f"{storage.slug(topic)}-{start}-{end}-tones")
+    at = _curve(F.col("date"), F.col("country_iso3"))
+    placed = counts.withColumn("_at", at).repartitionByRange("_at", "country_iso3", "date", "bin")
+    placed.sortWithinPartitions("_at", "country_iso3", "date", "bin").drop("_at").write.mode("overwrite").option(
+        "parquet.block.row.count.limit", _GROUP_ROWS
+    ).option("parquet.page.row.count.limit", _PAGE_ROWS).parquet(path)
+    return path
+
+
 def _write_document(document: DataFrame, path: str) -> str:
     """A one-row frame as one JSON document."""
     document.select(F.to_json(F.struct(*document.columns))).write.mode("overwrite").text(path)
