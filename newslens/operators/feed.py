@@ -11,7 +11,7 @@ POOL = 80_000
 FEED_ROWS = 320
 EXTRACT_ROWS = 10_000
 
-_PREFIX = 4      # hex digits of the sample key that name a bucket: 65,536 buckets
+PREFIX = 4       # hex digits of the sample key that name a bucket: 65,536 buckets
 _SLICE_BITS = 12  # a date is cut into 4,096 slices in the even sample
 _PLACE_DIGITS = 12   # hex digits of the sample key that place an article
 _MARGIN, _SPARE = 1.25, 100  # a first guess keeps this factor and these many articles more
@@ -30,16 +30,19 @@ def _below_cutoff(hashed: DataFrame, n: int, size: Column) -> DataFrame:
     ``size`` counts what a bucket contributes. The histogram has 65,536 rows at most, so the
     running sum over it is small whatever the input; what survives is about n plus one bucket.
     """
-    bucket = F.substring("_key", 1, _PREFIX)
+    bucket = F.substring("_key", 1, PREFIX)
     histogram = hashed.groupBy(bucket.alias("bucket")).agg(size.alias("n"))
-    reached = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    cutoff = (
+    return hashed.filter(bucket <= cutoff(histogram, n, "bucket", "n").scalar())
+
+
+def cutoff(histogram: DataFrame, n: int, bucket: str, size: str) -> DataFrame:
+    """The bucket up to which a histogram of sample keys holds n, in one row; beyond every bucket if it never does."""
+    reached = F.sum(size).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0))
+    return (
         histogram.withColumn("reached", reached)
         .filter(F.col("reached") >= n)
-        .select(F.coalesce(F.min("bucket"), F.lit("g")))
-        .scalar()
+        .select(F.coalesce(F.min(bucket), F.lit("g")).alias("cutoff"))
     )
-    return hashed.filter(bucket <= cutoff)
 
 
 def _near_the_first(hashed: DataFrame, n: int, key: str) -> DataFrame:
@@ -151,11 +154,19 @@ def even_sample(
     one. A date with a large part of all rows is spread over its slices. Rows need a date and a
     distinct key.
     """
+    keyed = sliced(df, key)
+    picks = slice_picks(keyed.groupBy(date, "_slice").agg(F.count("*").alias("_rows")), final, date)
+    return picked(keyed, picks, date).select(*df.columns)
+
+
+def sliced(df: DataFrame, key: str) -> DataFrame:
+    """Add the sample key ``_key`` and the ``_slice`` of its date that it falls in."""
     slice_no = F.conv(F.substring("_key", 1, 4), 16, 10).cast("int")
-    keyed = df.withColumn("_key", sample_key(key)).withColumn(
-        "_slice", F.shiftright(slice_no, 16 - _SLICE_BITS)
-    )
-    cells = keyed.groupBy(date, "_slice").agg(F.count("*").alias("_rows"))
+    return df.withColumn("_key", sample_key(key)).withColumn("_slice", F.shiftright(slice_no, 16 - _SLICE_BITS))
+
+
+def slice_picks(cells: DataFrame, final: int, date: str) -> DataFrame:
+    """From ``_rows`` by ``date`` and ``_slice``: the slices that hold a pick, with the rank they start at and their picks."""
     days = cells.groupBy(date).agg(F.sum("_rows").alias("_day_rows"))
     running = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(
@@ -165,7 +176,7 @@ def even_sample(
     )
     in_day = Window.partitionBy(date).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_day_start") + F.coalesce(F.sum("_rows").over(in_day), F.lit(0))
-    picks = (
+    return (
         cells.join(days, date)
         .select(date, "_slice", "_rows", "_total", start.alias("_start"))
         .select(
@@ -176,12 +187,15 @@ def even_sample(
         )
         .filter(F.size("_picks") > 0)
     )
+
+
+def picked(keyed: DataFrame, picks: DataFrame, date: str) -> DataFrame:
+    """The rows at the picks: only those of slices that hold one are numbered."""
     number = F.row_number().over(Window.partitionBy(date, "_slice").orderBy("_key"))
     return (
         keyed.join(F.broadcast(picks), [date, "_slice"])
         .withColumn("_index", F.col("_start") + number - 1)
         .filter(F.array_contains("_picks", F.col("_index")))
-        .select(*df.columns)
     )
 
 

@@ -120,10 +120,10 @@ def distinct_rollup(df: DataFrame, signals: list[Signal], measured: str, eras: i
         flat = sums.select(F.lit(scope).alias("scope"), *(keys or [nowhere]), "signal", "key", F.inline(F.array(*buckets)))
         return flat.filter(F.col("count") > F.when(F.col("key").isNull(), F.col("count")).otherwise(0))
 
-    # Of the same shuffle: what is asked of its rows is an aggregate, which cannot be moved below it.
-    asked = F.max(F.when((F.col("signal") == measured) & F.col("key").isNotNull(), 1).otherwise(0))
-    holders = pairs.groupBy(*article).agg(asked.alias("holds"))
-    totals = holders.groupBy("country_iso3").agg(F.sum("holds").alias("count")).select(
+    # Of the same shuffle: an aggregate of its rows cannot be moved below it, and one of all its columns needs no other.
+    asked = F.when((F.col("signal") == measured) & F.col("key").isNotNull(), F.col("eras")).otherwise(0)
+    holders = pairs.groupBy(*article).agg(F.bit_or(asked).alias("held"))
+    totals = holders.groupBy("country_iso3").agg(F.count_if(F.col("held") != 0).alias("count")).select(
         F.lit("total").alias("scope"), "country_iso3", F.lit(measured).alias("signal"), F.lit(None).cast("string").alias("key"),
         F.lit("all").alias("bucket"), "count",
     )

@@ -75,14 +75,11 @@ def _era_stats(spark, folder):
 
 
 def _parsed(spark, folder):
-    """Articles of the feed: dated, with lenient tone, keys not NULL."""
-    raw = w.articles(spark, folder).select(
-        "DocumentIdentifier",
-        "SourceCommonName",
-        fields.packed_date(F.col("DATE")).alias("date"),
-        fields.first_tone(F.col("V2Tone"), strict=False).alias("tone"),
-    )
-    return filters.drop_null_keys(raw, "DocumentIdentifier", "date")
+    return jobs.feed_articles(w.articles(spark, folder))
+
+
+def _sample_store(spark, folder):
+    return jobs.store_feed(w.articles(spark, folder), storage.scratch_folder(spark, "samples"))
 
 
 def _names(spark, folder):
@@ -544,6 +541,14 @@ def even_sample(spark, folder):
     return _tidy(feed.even_sample(feed.dedupe_articles(_parsed(spark, folder)), 150))
 
 
+def pool_sample_stored(spark, folder):
+    return _tidy(_sample_store(spark, folder).pool(400))
+
+
+def even_sample_stored(spark, folder):
+    return _tidy(_sample_store(spark, folder).even(150))
+
+
 def random_extract(spark, folder):
     return feed.random_extract(
         w.articles(spark, folder).select(*schemas.CSV_EXTRACT.fieldNames())
@@ -606,6 +611,11 @@ def build_feed(spark, folder):
     return jobs.build_feed(w.articles(spark, folder), pool=700)
 
 
+def build_feed_stored(spark, folder):
+    """From articles stored in the order of the sample."""
+    return jobs.stored_feed(_sample_store(spark, folder), pool=700)
+
+
 def overview_series(spark, folder):
     return _tidy(jobs.overview_series(_served(spark, folder)))
 

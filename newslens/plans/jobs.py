@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from newslens.dims import ERA_BOUNDARIES
 from newslens.functions import eras, fields, titles
 from newslens.operators import coverage, feed, filters, geo, timeline, topics
+from newslens.sources.sample_store import SampleStore
 
 
 def located_articles(raw: DataFrame, outlets=None) -> DataFrame:
@@ -62,15 +63,36 @@ def build_feed(
     raw: DataFrame, final: int = feed.FEED_ROWS, pool: int = feed.POOL, outlets=None
 ) -> DataFrame:
     """A time-balanced sample of headlines: title, source, country, date and tone."""
+    title = titles.url_title(F.col("DocumentIdentifier"))
+    return _feed(feed.pool_sample(feed_articles(raw), pool, derive={"title": title}), final, outlets)
+
+
+def feed_articles(raw: DataFrame) -> DataFrame:
+    """What the feed knows of an article: lenient tone, keys not NULL."""
     parsed = raw.select(
         "DocumentIdentifier",
         "SourceCommonName",
         fields.packed_date(F.col("DATE")).alias("date"),
         fields.first_tone(F.col("V2Tone"), strict=False).alias("tone"),
     )
-    usable = filters.drop_null_keys(parsed, "DocumentIdentifier", "date")
+    return filters.drop_null_keys(parsed, "DocumentIdentifier", "date")
+
+
+def store_feed(raw: DataFrame, path: str) -> SampleStore:
+    """Store the feed's articles in the order of its samples; :func:`stored_feed` then reads about as many rows as it pools."""
+    usable = feed_articles(raw)
+    store = SampleStore(raw.sparkSession, path, usable.schema)
+    store.write(usable)
+    return store
+
+
+def stored_feed(store: SampleStore, final: int = feed.FEED_ROWS, pool: int = feed.POOL, outlets=None) -> DataFrame:
+    """What :func:`build_feed` gives of the stored articles."""
     title = titles.url_title(F.col("DocumentIdentifier"))
-    pooled = feed.pool_sample(usable, pool, derive={"title": title})
+    return _feed(store.pool(pool).withColumn("title", title), final, outlets)
+
+
+def _feed(pooled: DataFrame, final: int, outlets) -> DataFrame:
     titled = geo.outlet_country(pooled.filter(F.col("title").isNotNull()), outlets=outlets)
     # The pool bounds this frame, so numbering its rows in one task is safe.
     picked = feed.even_pick_join(titled, final, ("date", "DocumentIdentifier"))

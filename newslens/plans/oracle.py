@@ -593,6 +593,9 @@ UNION ALL SELECT 'most_negative ' || (row_number() OVER (ORDER BY era) - 1), mos
 UNION ALL SELECT 'most_positive ' || (row_number() OVER (ORDER BY era) - 1), most_positive, positive_tone FROM ({extremes})
 UNION ALL SELECT 'headline', date_range, avg_tone FROM ({total}))"""
 
+    for name in ("pool_sample", "even_sample", "build_feed"):
+        sql[f"{name}_stored"] = sql[name]
+
     # Streaming: the batch over all days
     sql["incremental_daily_sentiment"] = _with(DENSE_DAILY, f"SELECT {CUBE_COLUMNS} FROM dense_daily")
     return sql

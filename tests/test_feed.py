@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from newslens.operators import feed
 from newslens.plans import jobs
+from newslens.sources.sample_store import SampleStore
+from test_sources import rows_read
 
 ARTICLE = "DocumentIdentifier string, SourceCommonName string, date date, tone double"
 
@@ -107,3 +109,28 @@ def test_build_feed(spark):
         ("One Two Three Four Five", "a.fr", "FRA", "2024-01-03", 1.24),
     ]
     assert jobs.build_feed(raw, final=1).count() == 1
+
+
+@pytest.mark.parametrize("n", [1, 250, 10_000])
+def test_stored_samples_are_the_same(spark, tmp_path, n):
+    frame = hot_articles(spark)
+    store = SampleStore(spark, str(tmp_path / "store"), frame.schema)
+    store.write(frame)
+    assert sorted(store.pool(n).collect()) == sorted(feed.pool_sample(frame, n).collect())
+    even = feed.even_sample(feed.dedupe_articles(frame), n)
+    assert sorted(store.even(n).collect()) == sorted(even.collect())
+    empty = SampleStore(spark, str(tmp_path / "none"), frame.schema)
+    empty.write(frame.limit(0))
+    assert empty.pool(n).collect() == [] and empty.even(n).collect() == []
+
+
+def test_stored_samples_read_little(spark, tmp_path):
+    frame = spark.range(200_000).select(
+        F.concat(F.lit("doc"), "id").alias("DocumentIdentifier"), F.lit("s").alias("SourceCommonName"),
+        F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") % 500).cast("int")).alias("date"), F.col("id").cast("double").alias("tone"),
+    )
+    store = SampleStore(spark, str(tmp_path / "store"), frame.schema)
+    store.write(frame)
+    assert store.pool(1000).count() == 1000
+    assert rows_read(store.pool(1000)) < 30_000  # a row group, and the counts
+    assert rows_read(store.even(3)) < 80_000

@@ -73,10 +73,20 @@ def test_topics_read_once_and_clean_after_counting(raw, plan):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_distinct_topics_shuffle_pairs_once_per_country(raw):
+    """One scan for the pairs and one for the spellings; what is asked of the pairs reads their shuffle again."""
+    text = executed(jobs.build_topics(raw, ["x"], w.BOUNDARIES, distinct_articles=True))
+    assert "Expand" not in "\n".join(x for x in text.splitlines() if "DocumentIdentifier" in x)
+    assert text.count("ReusedExchange") >= 2 and len(scans(text)) == 2
+    assert not any("SortAggregate" in x and "DocumentIdentifier" in x for x in text.splitlines())
+
+
 def test_feed_samples_before_it_shuffles_whole_rows(raw, plan):
-    text = plan(jobs.build_feed(raw, pool=10))
+    df = jobs.build_feed(raw, pool=10)
+    text = plan(df)
     assert "substring" in text and "TakeOrderedAndProject" in text
-    assert 1 in read_columns(text) or 2 in read_columns(text)
+    # The whole rows, and for the cutoff the key and the date twice.
+    assert read_columns(executed(df)) == [2, 2, 4]
 
 
 def test_date_filter_reaches_the_scan(spark, raw, plan, tmp_path):

@@ -4,10 +4,11 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from newslens import dims, schemas
 from newslens.operators import coverage
-from newslens.plans import batch, jobs
+from newslens.plans import batch, jobs, views
 from newslens.sources import articles, datasets, storage
 
 
@@ -79,6 +80,61 @@ def test_materialize(spark, table, tmp_path):
     assert docs(articles.materialize_scan(table, folder, *request)) == found
 
 
+def test_many_scans_from_one(spark, table, tmp_path):
+    topics = {"Solar": ["solar", "flare"], "flare": ["flare"], "None/such": ["nowhere"], "CEO 2": ["tax_ceo"]}
+    scans = articles.materialize_scans(table, str(tmp_path), topics, "2024-01", "2024-02")
+    for name, words in topics.items():
+        alone = articles.topic_scan(table, words, "2024-01", "2024-02")
+        assert docs(scans[name]) == docs(alone) and scans[name].columns == alone.columns
+    assert docs(scans["None/such"]) == [] and len(docs(scans["Solar"])) == 5
+    # Read from the store the next time, and only the topic's part of it.
+    again = articles.materialize_scans(table.limit(0), str(tmp_path), topics, "2024-01", "2024-02")
+    assert docs(again["flare"]) == docs(scans["flare"])
+    assert all("topic_no=" in f for f in again["flare"].inputFiles())
+
+
+def rows_read(df):
+    """Rows that the scans of a query gave."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if "Scan" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.executedPlan() if "Adaptive" in plan.nodeName() else plan)
+    return sum(found)
+
+
+def test_cube_layout_serves_days_and_countries(spark, tmp_path):
+    names = [a + b + c for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "AEIO" for c in "NR"]
+    days = spark.range(1500).select(F.date_add(F.lit("2015-02-20").cast("date"), F.col("id").cast("int")).alias("date"))
+    cube = days.select("date", F.explode(F.array(*[F.lit(n) for n in names])).alias("country_iso3")).select(
+        "date", "country_iso3", F.rand(1).alias("avg_tone"), F.lit(1).cast("bigint").alias("article_count"))
+    datasets.write_coverage(cube, str(tmp_path), "x", "a", "b")
+    stored = datasets.read_coverage(spark, str(tmp_path), "x-a-b")
+    total = 1500 * len(names)
+    assert stored.count() == total
+    day = views.sentiment_by_date(stored, "2017-03-03")
+    assert day.count() == len(names) and rows_read(day) < total / 5
+    series = stored.filter((F.col("country_iso3") == names[90]) & F.col("avg_tone").isNotNull())
+    assert series.count() == 1500 and rows_read(series) < total / 5
+    dates = [r.date for r in views.country_timeline(stored, names[90]).collect()]
+    assert len(dates) == 1500 and dates == sorted(dates)
+
+
+def test_curve_takes_any_key(spark, tmp_path):
+    rows = [(dt.date(1950, 1, 1), "zz", 1.0, 1), (dt.date(2400, 1, 1), None, 1.0, 1), (None, "FRA", None, 0), (dt.date(2024, 1, 1), "ÀÉ", 1.0, 1)]
+    cube = spark.createDataFrame(rows, schemas.COVERAGE)
+    datasets.write_coverage(cube, str(tmp_path), "odd", "a", "b")
+    assert sorted(map(str, datasets.read_coverage(spark, str(tmp_path), "odd-a-b").collect())) == sorted(map(str, cube.collect()))
+
+
 def test_empty_scan_is_not_kept(spark, table, tmp_path):
     request = ("none", ["nowhere"], "2024-02", "2024-02")
     assert articles.materialize_scan(table, str(tmp_path), *request).collect() == []
