@@ -123,10 +123,6 @@ def era_slice(df: DataFrame, era: int, boundaries=ERA_BOUNDARIES) -> DataFrame:
     return df.filter(eras.in_era(F.col("date"), era, boundaries))
 
 
-def missing_columns(df: DataFrame, *columns: str) -> list[str]:
-    return [c for c in columns if c not in df.columns]
-
-
 def with_optional_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Give the frame every column of the schema; absent ones become typed NULLs."""
     return df.select(*[

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newslens import schemas
-from newslens.functions import fields, titles
+from newslens.functions import fields, labels, titles
 from newslens.operators import coverage, feed, filters, frames, geo, rankings, timeline, topics
 from newslens.plans import batch, jobs, views, warehouse as w
 from newslens.sources import articles as article_store, datasets, storage
@@ -505,6 +505,17 @@ def url_title(spark, folder):
     )
 
 
+def theme_label(spark, folder):
+    """Records by the label of their theme codes; codes that are no theme have none."""
+    codes = w.articles(spark, folder).select(F.explode(F.split("Themes", ";")).alias("code"))
+    return codes.groupBy(labels.theme_label(F.col("code")).alias("label")).agg(F.count("*").alias("records"))
+
+
+def slugify(spark, folder):
+    named = F.concat("p_name", F.lit(" / "), "p_brand", F.lit("--"), "p_type", F.lit(" Émile!"))
+    return w.table(spark, folder, "part").select("p_partkey", fields.slugify(named).alias("slug"))
+
+
 # --- Sorts, limits, sets, samples ----------------------------------------------------
 
 def sorted_outputs(spark, folder):

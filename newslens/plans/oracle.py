@@ -593,6 +593,12 @@ UNION ALL SELECT 'most_negative ' || (row_number() OVER (ORDER BY era) - 1), mos
 UNION ALL SELECT 'most_positive ' || (row_number() OVER (ORDER BY era) - 1), most_positive, positive_tone FROM ({extremes})
 UNION ALL SELECT 'headline', date_range, avg_tone FROM ({total}))"""
 
+    sql["theme_label"] = _with(ART, f"""SELECT {_title_sql('label')} AS label, count(*) AS records FROM (
+  SELECT p_name AS label FROM art
+  UNION ALL SELECT CASE WHEN p_size % 5 <> 0 THEN word1 END FROM art
+  UNION ALL SELECT CASE WHEN p_size <= 40 THEN kind END FROM art) GROUP BY label""")
+    sql["slugify"] = """SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand || '--' || p_type || ' Émile!'),
+  '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part"""
     for name in ("pool_sample", "even_sample", "build_feed"):
         sql[f"{name}_stored"] = sql[name]
 

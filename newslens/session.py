@@ -1,11 +1,20 @@
 """Session settings for local runs; a cluster brings its own."""
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def temporary_folder() -> str:
+    """A folder of this machine that goes when the process ends; for sessions on this machine alone."""
+    folder = tempfile.mkdtemp(prefix="newslens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def local_session(name: str = "newslens", cpus: int | None = None) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     spark = (
@@ -17,7 +26,7 @@ def local_session(name: str = "newslens", cpus: int | None = None) -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="newslens-"))
+        .config("spark.checkpoint.dir", temporary_folder())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
