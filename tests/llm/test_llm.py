@@ -389,6 +389,68 @@ def test_language_edges(spark):
     assert got[903].rejected and got[903].lang_pred in ("de", "en") and not got[904].rejected
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of letters by plain dictionaries, with the corpus' alphabet below it."""
+
+    def __init__(self, texts, alphabet):
+        self.counts = {4: collections.Counter(g for t in texts for g in self.grams(t))}
+        for order in (3, 2, 1):
+            self.counts[order] = collections.Counter(g[1:] for g in self.counts[order + 1])  # types that end in it
+        self.discounts, self.totals, self.kinds = {}, {}, {}
+        for order, held in self.counts.items():
+            once, twice = (sum(n == k for n in held.values()) for k in (1, 2))
+            self.discounts[order] = once / (once + 2 * twice) if once and twice else 0.5
+            self.totals[order], self.kinds[order] = collections.Counter(), collections.Counter()
+            for g, n in held.items():
+                self.totals[order][g[:-1]] += n
+                self.kinds[order][g[:-1]] += 1
+        self.floor = 1 / (alphabet + 1)
+
+    @staticmethod
+    def grams(text):
+        spaced = "".join(c if c.isalpha() else " " for c in text.lower())
+        spaced = "   " + " ".join(spaced.split()) + " "
+        return [spaced[i:i + 4] for i in range(len(spaced) - 3)]
+
+    def p(self, gram):
+        order, context = len(gram), gram[:-1]
+        below = self.p(gram[1:]) if order > 1 else self.floor
+        total = self.totals[order][context]
+        if not total:
+            return below
+        d = self.discounts[order]
+        return max(self.counts[order][gram] - d, 0) / total + d * self.kinds[order][context] / total * below
+
+    def entropy(self, text):
+        own = self.grams(text)
+        return -sum(math.log(self.p(g)) for g in own) / len(own)
+
+
+def test_kneser_ney_is_the_plain_one(spark):
+    """Probabilities, discounts and continuation counts against dictionaries, by the cross-entropies they give."""
+    pick = random.Random(3)
+    syllables = {"aa": ["ka", "to", "mi", "ra", "é"], "bb": ["ka", "der", "sch", "ung", "to"], "cc": ["x", "yx", "日本", "z", "mi"]}
+
+    def made(lang, n):
+        return " ".join("".join(pick.choices(syllables[lang], k=pick.randint(1, 4))) for _ in range(n))
+
+    rows = [(i, made(lang, pick.randint(3, 30)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 12)]
+    held = [(100 + i, made(lang, pick.randint(1, 12)).capitalize() + "!", None) for i, lang in enumerate(["aa", "bb", "cc"] * 10)]
+    frame = spark.createDataFrame(rows + held, "doc_id long, text string, lang string")
+    alphabet = len({c for _, t, _ in rows for c in t if c.isalpha()} | {" "})
+    plain = {x: PlainKneserNey([t for _, t, lang in rows if lang == x], alphabet) for x in syllables}
+    for options in ({}, {"cells": 300}, {"together": 1}):
+        model = langid.fit(frame, F.col("doc_id") < 100, F.lit(False), **options)
+        got = {r.doc_id: r for r in langid.identify(frame, model, keep=["doc_id"]).collect()}
+        for i, text, _ in rows + held:
+            entropies = {x: m.entropy(text) for x, m in plain.items()}
+            best = min(entropies, key=lambda x: (entropies[x], x))
+            n = len(PlainKneserNey.grams(text))
+            assert got[i].lang_pred == best and got[i].letters == n
+            assert got[i].cross_entropy == pytest.approx(entropies[best], abs=1e-5)
+            assert got[i].score == pytest.approx(1 / sum(math.exp((entropies[best] - e) * n) for e in entropies.values()), abs=1e-3)
+
+
 def test_texts_without_a_letter(spark):
     frame = spark.createDataFrame([(i, x, "en") for i, x in enumerate([SENTENCE, GERMAN, "\u0301\u0300", "12 \u0301", "", None, "é", "\U00020061"])], "doc_id long, text string, lang string")
     model = langid.fit(frame, F.col("doc_id") < 2, F.lit(False))
