@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from newslens.llm import bpe, exact, langid, mixing, queries, simhash
 from newslens.llm.stored import stored
 
+BROADCAST_FILES = 50_000  # about 5 MB of names and counts
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -41,10 +42,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
     placed = docs.select("doc_id", "text", F.struct(part.alias("part"), F.col("_metadata.file_name").alias("name")).alias("file"), F.col("_metadata.row_index").alias("row"))
-    # A row for each file of the mixture.
+    # A row for each file of the mixture; sent to all tasks while there are not too many, so that no text is shuffled.
     sizes = placed.groupBy("file").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col("file").alias("of"), before.alias("before"))
+    if len(docs.inputFiles()) <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     numbered = placed.join(starts, placed["file"] == starts["of"]).select("doc_id", "text", (F.col("before") + F.col("row")).alias("position"))
     return bpe.encode(numbered, bpe.tokenizer_file(spark, queries.TOKENIZER), ids=False, keep=["position"])
 
