@@ -100,7 +100,8 @@ def classify(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> D
     batch = batch or uuid.uuid4().hex
     # Stored, so that the joins below read plain tables, which adaptive execution can split.
     rows = stored(digested(docs.select("doc_id", "text")).groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digested")
-    own = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("copies"))
+    # Stored too: the optimizer would move the anti-join below this sum, where a digest has a row for each of its ids.
+    own = stored(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("copies")), "own")
     known = index.entries(without=batch)
     fresh = own.join(known.select("digest").hint("merge"), "digest", "left_anti").select(
         "digest", "keep_id", "copies", F.col("copies").alias("group_size"), F.lit(True).alias("owner")

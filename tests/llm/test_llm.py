@@ -339,7 +339,7 @@ def test_batches_can_be_repeated(spark, docs, plan):
     text = plan(exact.digested(two).groupBy("digest").agg(F.max("doc_id")).join(known, "digest", "left_anti"))
     assert "SortMergeJoin" in text and "LeftAnti" in text and text.count("Exchange hashpartitioning(digest") == 1
     for x in (index, other, small):
-        x.close()
+        x.close()  # the folders stay
     assert not spark.catalog.tableExists(index.name)
 
 
