@@ -58,12 +58,14 @@ def _near_the_first(hashed: DataFrame, n: int, key: str) -> DataFrame:
     guess = hashed.agg(
         F.ceil(F.least(F.lit(float(space)), F.lit(space * (n * _MARGIN + _SPARE)) / keys)).alias("guess")
     ).scalar()
+    # Where all articles are wanted the hash is not even computed: the cheap test comes first.
     enough = (
-        hashed.filter((place < guess) & (guess < F.lit(space)))
+        hashed.filter((guess < F.lit(space)) & (place < guess))
         .agg((F.count_distinct(F.xxhash64(key)) >= n).alias("enough"))
         .scalar()
     )
-    return hashed.filter(place < F.when(enough, guess).otherwise(F.lit(space)))
+    cut = F.when(enough, guess).otherwise(F.lit(space))
+    return hashed.filter((cut >= F.lit(space)) | (place < cut))
 
 
 def dedupe_articles(
