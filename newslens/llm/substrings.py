@@ -2,14 +2,16 @@
 
 Level 1 are windows of a quarter of the wanted length. One in about fifteen of them is looked at: in every
 window of the wanted length, the short one with the smallest hash, its anchor. Equal long windows have
-equal anchors at the same place, so a long window whose anchor is alone cannot repeat. Anchors that
-repeat are extended to twice the length, to the right or to the left, where the long windows around
-them reach, and those alone again are dropped. The rest is extended to the wanted length: first the whole
-stretch of long windows that share an anchor is compared at once, and only stretches that are alone
-there are taken apart into single windows. Nothing longer is asked for, so no candidate survives that.
-
-Equal texts are one text with a weight, so a group of copies is looked at once. Hashes are polynomials modulo 2**64 of 64-bit word hashes, and always compared together with the
-anchor's own hash, so equality rests on 128 bits.
+equal anchors at the same place, so a long window whose anchor is alone cannot repeat. Level 2 are windows
+of twice that length: every anchor that repeats is extended to the right or to the left, where the long
+windows around it reach, and those alone on both sides are dropped. Level 3, twice as long again and
+overlapping to fit, is the wanted length. What is left is extended to it: first the whole stretch of long
+windows that share an anchor is compared at once, and stretches that are alone there, with those that share
+their anchor, are taken apart into single windows. Nothing longer is asked for, so no candidate survives that.
+
+Equal texts are one text with a weight, so a group of copies is looked at once; equal stretches are one kind
+with a weight, so they are extended once. Hashes are polynomials modulo 2**64 of 64-bit word hashes, and always
+compared together with the anchor's own hash, so equality rests on 128 bits.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from newslens.llm.stored import stored
 RUN = 1 << 18  # words hashed at a time
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+# An anchor's place in 64 bits: first window (a text has fewer than 2**30 words), windows, two doubled hashes.
+_FIRST, _COUNT, _SIDE = 34, 26, 13
+MOST_WORDS = 300  # so that an anchor's windows, three quarters of a window's words, are counted in eight bits
 
 
 class Hashes:
@@ -143,9 +148,9 @@ def find_anchors(texts: DataFrame, length: int) -> DataFrame:
                 if not len(text):
                     continue
                 row = pa.array(np.array(rows, np.int64)[text])
-                spot = (first + np.array(offsets, np.int64)[text]).astype(np.uint64) << np.uint64(32)
-                spot |= count.astype(np.uint64) << np.uint64(26)
-                spot |= (right >> np.uint64(51)) << np.uint64(13) | left >> np.uint64(51)
+                spot = (first + np.array(offsets, np.int64)[text]).astype(np.uint64) << np.uint64(_FIRST)
+                spot |= count.astype(np.uint64) << np.uint64(_COUNT)
+                spot |= (right >> np.uint64(64 - _SIDE)) << np.uint64(_SIDE) | left >> np.uint64(64 - _SIDE)
                 yield pa.RecordBatch.from_arrays(
                     [tid.take(row), weight.take(row), *(pa.array(x.view(np.int64)) for x in (spot, h, s))],
                     names=["tid", "weight", "spot", "h", "s"],
@@ -155,30 +160,18 @@ def find_anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _first(spot: Column) -> Column:
-    return F.shiftright(spot, 32)
+    return F.shiftrightunsigned(spot, _FIRST)
 
 
 def _count(spot: Column) -> Column:
-    return F.shiftright(spot, 26).bitwiseAND(F.lit(63))
+    return F.shiftright(spot, _COUNT).bitwiseAND(F.lit(255))
 
 
-def _sides(kinds: DataFrame) -> list[DataFrame]:
-    """Kinds whose doubled window is not alone: to the right, and to the left."""
-    found = []
-    for side in (F.shiftright("spot", 13).bitwiseAND(F.lit(8191)), F.col("spot").bitwiseAND(F.lit(8191))):
-        own = kinds.withColumn("side", side)
-        again = own.groupBy(F.col("h").alias("of_h"), F.col("side").alias("of_side")).agg(F.sum("same").alias("n"))
-        again = stored(again.filter("n >= 2").select("of_h", "of_side"), "doubled")
-        found.append(own.join(again, (own["h"] == again["of_h"]) & (own["side"] == again["of_side"]), "left_semi"))
-    return found
+def repeated_anchors(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Level 1: the anchors that repeat, and ``h, s, same, tid, spot``, one row per kind of stretch among them.
 
-
-def stretches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Anchors whose whole stretch repeats, and of each other kind of stretch that may repeat in part, one.
-
-    Among the latter is one of every repeated kind that shares its anchor with a kind that is alone, as
-    windows of the two may be equal. Counts are added up on the map side and stored, so that the joins
-    with them have two plain shuffles and adaptive execution can split an anchor of very many places.
+    Counts are added up on the map side and stored, here and below, so that the joins with them have two
+    plain shuffles and adaptive execution can split an anchor of very many places.
     """
     again = found.groupBy(F.col("h").alias("again")).agg(F.sum("weight").alias("n")).filter("n >= 2")
     again = stored(again.select("again"), "anchor-hashes")
@@ -186,15 +179,34 @@ def stretches(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = stored(rows.groupBy("h", "s").agg(
         F.sum("weight").alias("same"), F.first("tid").alias("tid"), F.first("spot").alias("spot")
     ), "kinds")
+    return rows, kinds
+
+
+def doubled(kinds: DataFrame) -> DataFrame:
+    """Level 2: the kinds whose anchor, at twice its length, is not alone to the right or to the left."""
+    sides = {"right": F.shiftright("spot", _SIDE).bitwiseAND(F.lit((1 << _SIDE) - 1)), "left": F.col("spot").bitwiseAND(F.lit((1 << _SIDE) - 1))}
+    rows = kinds.withColumns(sides)
+    for side in sides:
+        again = rows.groupBy(F.col("h").alias("of_h"), F.col(side).alias("of_side")).agg(F.sum("same").alias("n")).filter("n >= 2")
+        again = stored(again.select("of_h", "of_side"), f"doubled-{side}").withColumn(f"again_{side}", F.lit(True))
+        rows = rows.join(again, (rows["h"] == again["of_h"]) & (rows[side] == again["of_side"]), "left").drop("of_h", "of_side")
+    return stored(rows.filter("again_right or again_left").select(*kinds.columns), "doubled")
+
+
+def stretches(rows: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors whose whole stretch repeats, and of each other kind of stretch that may repeat in part, one.
+
+    ``kinds`` are those left by :func:`doubled`. Among the latter is one of every repeated kind that shares its
+    anchor with a kind that is alone, as windows of the two may be equal.
+    """
     whole = kinds.filter("same >= 2").select(F.col("h").alias("of_h"), F.col("s").alias("of_s"))
     settled = rows.join(whole, (rows["h"] == whole["of_h"]) & (rows["s"] == whole["of_s"]), "left_semi")
     partly = kinds.groupBy(F.col("h").alias("of")).agg(
         F.min("same").alias("least"), F.count("*").alias("n")
     ).filter("least = 1 and n >= 2")
     partly = stored(partly.select("of"), "partly")
-    loose = stored(kinds.join(partly, kinds["h"] == partly["of"], "left_semi"), "loose")
-    right, left = _sides(loose)
-    return settled.select("tid", "spot"), right.unionByName(left).select("tid", "spot", "h")
+    loose = kinds.join(partly, kinds["h"] == partly["of"], "left_semi")
+    return settled.select("tid", "spot"), loose.select("tid", "spot", "h")
 
 
 def windows(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
@@ -208,7 +220,7 @@ def windows(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
             for i in range(batch.num_rows):
                 words = plain.decompress(batch.column(2)[i].as_py()).split()
                 spots, h = (np.array(batch.column(c)[i].as_py(), np.int64) for c in (3, 4))
-                first, count = spots >> 32, spots >> 26 & 63
+                first, count = (spots.view(np.uint64) >> np.uint64(_FIRST)).astype(np.int64), spots >> _COUNT & 255
                 for a in range(0, max(1, len(words) - length + 1), RUN):
                     piece = words[a:a + RUN + length - 1]
                     starts = np.repeat(first - a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -228,9 +240,10 @@ def windows(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(texts: DataFrame, length: int = 35) -> DataFrame:
     """``tid, first, count``: runs of windows of ``length`` words that start more than once in ``distinct_texts``."""
-    if not 4 <= length <= 80:
-        raise ValueError("windows have 4 to 80 words")  # counts of windows at an anchor are packed into six bits
-    settled, open_ = stretches(stored(find_anchors(texts, length), "anchors"))
+    if not 4 <= length <= MOST_WORDS:
+        raise ValueError(f"windows have 4 to {MOST_WORDS} words")
+    rows, kinds = repeated_anchors(stored(find_anchors(texts, length), "anchors"))
+    settled, open_ = stretches(rows, doubled(kinds))
     single = stored(windows(texts, open_, length), "windows")
     twice = single.groupBy(F.col("h").alias("of_h"), F.col("w").alias("of_w")).agg(F.sum("weight").alias("n")).filter("n >= 2")
     twice = stored(twice.select("of_h", "of_w"), "repeated-windows")

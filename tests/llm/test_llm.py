@@ -9,6 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 import zlib
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -260,7 +261,7 @@ def test_components_of_chains_and_stars(spark):
 
 # --- 5: substrings ------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("length", [4, 35])
+@pytest.mark.parametrize("length", [4, 35, 110])
 def test_substrings(spark, docs, none, length):
     rows = docs.collect()
     counts = collections.Counter(tuple(w[i:i + length]) for r in rows for w in [_words(r.text)] for i in range(len(w) - length + 1))
@@ -274,6 +275,44 @@ def test_substrings(spark, docs, none, length):
     assert substrings.remove_repeats(none, length).count() == 0
 
 
+def test_every_candidate_is_doubled(spark, docs):
+    """Levels of 9, 18 and 35 words: what level 2 leaves and what is settled, against plain counts of words."""
+    length = 35
+    texts = substrings.distinct_texts(docs)
+    found = substrings.find_anchors(texts, length)
+    rows, kinds = substrings.repeated_anchors(found)
+    kept = substrings.doubled(kinds)
+    words = {r.tid: (zstandard.ZstdDecompressor().decompress(r.small).split(), r.weight) for r in texts.collect()}
+
+    def parts(r):
+        """The anchor's words, and those of it doubled to the right and to the left where its windows reach."""
+        first, count = (r.spot & (1 << 64) - 1) >> 34, r.spot >> 26 & 255
+        own = words[r.tid][0][first:first + count + length - 1]
+        hashes = substrings.Hashes(own)
+        at = next(i for i in range(len(own) - 8) if int(hashes.at(np.array([i]), np.array([i + 9]))[0]) == r.h & (1 << 64) - 1)
+        return tuple(own[at:at + 9]), tuple(own[at:at + 18]) if at + 18 <= len(own) else None, tuple(own[at - 9:at + 9]) if at >= 9 else None
+
+    all_, left = found.collect(), {(r.h, r.s) for r in kept.collect()}
+    counts = collections.Counter()
+    for r in all_:
+        anchor, right, to_left = parts(r)
+        counts[anchor, "a"] += r.weight
+        counts[right, "r"] += r.weight
+        counts[to_left, "l"] += r.weight
+    levels = [len(all_), 0, 0]
+    for r in all_:
+        anchor, right, to_left = parts(r)
+        levels[1] += counts[anchor, "a"] > 1
+        again = right and counts[right, "r"] > 1 or to_left and counts[to_left, "l"] > 1
+        if again:
+            levels[2] += 1
+            assert (r.h, r.s) in left
+    settled, open_ = substrings.stretches(rows, kept)
+    assert rows.count() == levels[1] and levels[0] > levels[1] >= levels[2] > 0
+    of = {(r.tid, r.spot): (r.h, r.s) for r in rows.collect()}
+    assert {of[r.tid, r.spot] for r in settled.collect()} | {of[r.tid, r.spot] for r in open_.collect()} <= left
+
+
 # --- 6: exact -----------------------------------------------------------------------------------
 
 def test_exact(spark, docs, none):
