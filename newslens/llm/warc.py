@@ -1,16 +1,17 @@
 """WARC archives of pages and a merged index of their captures.
 
-Every task sorts its captures by URL key and time and writes them as archives: a locally sorted run
-each. Reading the archives back gives the runs' index entries with file, offset and length. The
-entries are dealt to ranges of (URL key, time), and in every range a loser tree merges the runs, so the
-ranges one after another are the capture history of all URLs in order.
+Every task sorts its captures by URL key and time and writes them as archives, one gzip member a record: a
+locally sorted run each. Reading the archives back gives the runs' index entries with file, and offset and
+length of the member, so a record can be fetched by itself. The entries are dealt to ranges of (URL key,
+time), and in every range a loser tree merges the runs, so the ranges one after another are the capture
+history of all URLs in order.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,11 @@ END = "\r\n\r\n"
 REVISIT_BYTES = 100
 FIRST_DAY = "2024-01-01 00:00:00"
 
+ARCHIVE_BYTES = 128 << 20  # an archive ends with the record that passes this
+RANGE_ROWS = 250_000  # index entries that a task merges
+_LAST_ZERO = 1 << 24  # a gzip member of less content ends in a zero byte, the highest of the content's size
+_GZIP = 31  # zlib's window bits for gzip
+
 CAPTURE = (
     "url_key string, captured string, page_id bigint, url string, record_type string, refers_to bigint, "
     "payload_bytes bigint, payload_digest string, file string, offset bigint, length bigint"
@@ -55,8 +61,9 @@ def captures(pages: DataFrame, time: Column | None = None) -> DataFrame:
         "payload_bytes": F.octet_length("payload").cast("long"),
         "payload_digest": F.sha2("payload", 256),
     })
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "captured", "url"))
     firsts = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy(F.col("payload_digest").alias("of")).agg(
-        F.min("page_id").alias("first"), F.count("*").alias("times")
+        F.min(known).alias("first"), F.count("*").alias("times")
     ).filter("times > 1")
     # Small payloads look up a key of their own, so that they spread.
     large = F.col("payload_bytes") >= REVISIT_BYTES
@@ -64,10 +71,12 @@ def captures(pages: DataFrame, time: Column | None = None) -> DataFrame:
         F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     ))
     joined = asked.join(firsts, asked["asks"] == firsts["of"], "left")
-    revisit = F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    revisit = F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return joined.select(
         "page_id", "url", "url_key", "captured", "payload_bytes", "payload_digest",
-        F.when(revisit, F.col("first")).alias("refers_to"),
+        F.when(revisit, F.col("first.page_id")).alias("refers_to"),
+        F.when(revisit, F.col("first.url")).alias("refers_to_url"),
+        F.when(revisit, F.col("first.captured")).alias("refers_to_date"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
@@ -78,13 +87,15 @@ def _urn(page_id: Column) -> Column:
 
 
 def record(kind: Column) -> Column:
-    """The text of a capture's record, without the two line ends after it."""
+    """The text of a capture's record."""
     def line(name: str, value) -> Column:
         value = value if isinstance(value, Column) else F.lit(value)
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
     answer = kind == "response"
-    safe_url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    def safe(url: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("payload_bytes").cast("string"), F.lit(END),
@@ -95,46 +106,98 @@ def record(kind: Column) -> Column:
         line("WARC-Type", kind),
         line("WARC-Record-ID", _urn(F.col("page_id"))),
         line("WARC-Date", F.col("captured")),
-        line("WARC-Target-URI", safe_url),
+        line("WARC-Target-URI", safe("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
         line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
         line("WARC-Profile", F.when(~answer, F.lit(PROFILE))),
         line("WARC-Refers-To", F.when(~answer, _urn(F.col("refers_to")))),
+        line("WARC-Refers-To-Target-URI", safe("refers_to_url")),
+        line("WARC-Refers-To-Date", F.col("refers_to_date")),
         line("Content-Type", F.when(answer, "application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
-        F.lit("\r\n"), block,
+        F.lit("\r\n"), block, F.lit(END),
     )
 
 
-def write_archives(found: DataFrame, folder: str, records: int = 500) -> None:
-    """Captures as archives of at most ``records`` records each, sorted by URL key, time and id.
+def packed(text: bytes) -> bytes:
+    """A record as one gzip member, without the zero byte that ends it.
+
+    A record of 16 MB and more does not end in one; its last line end is a member of its own, which does.
+    """
+    def member(content: bytes) -> bytes:
+        press = zlib.compressobj(6, zlib.DEFLATED, _GZIP)
+        return press.compress(content) + press.flush()
+
+    cut = len(text) if len(text) < _LAST_ZERO else len(text) - 2
+    return (member(text[:cut]) + (member(text[cut:]) if cut < len(text) else b""))[:-1]
+
+
+def write_archives(found: DataFrame, folder: str, records: int = 500, size: int = ARCHIVE_BYTES) -> None:
+    """Captures as archives, sorted by URL key, time and id, a gzip member each.
 
-    A record ends in two line ends, which are the line separator of Spark's text files; so the files are
-    WARC in gzip and committed like any other output.
+    An archive ends with its last record of ``records`` or the one that passes ``size`` compressed bytes. Members
+    end in a zero byte, which is the line separator of Spark's text files; so the archives are committed like
+    any other output, on whatever storage the session knows.
     """
     ordered = found.sortWithinPartitions("url_key", "captured", "page_id")
-    ordered.select(record(F.col("record_type")).alias("value")).write.option("lineSep", END).option(
-        "maxRecordsPerFile", records
-    ).option("compression", "gzip").text(folder)
+
+    def run(batches):
+        archive = place = held = full = 0
+        for batch in batches:
+            members, archives = [], []
+            for text in batch.column(0):
+                members.append(packed(text.as_py().encode("utf-8", "surrogatepass")))
+                archives.append(archive)
+                held, full = held + 1, full + len(members[-1])
+                if held >= records or full >= size:
+                    archive, held, full = archive + 1, 0, 0
+            places = range(place, place + len(members))
+            place += len(members)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(archives, pa.int32()), pa.array(places, pa.int64()), pa.array(members, pa.binary())], names=["archive", "place", "member"]
+            )
+
+    members = ordered.select(record(F.col("record_type")).alias("text")).mapInArrow(run, "archive int, place bigint, member binary")
+    members.sortWithinPartitions("archive", "place").select("archive", F.col("member").cast("string").alias("value")).write.option(
+        "lineSep", "\0"
+    ).partitionBy("archive").text(folder)
 
 
 _HEAD = re.compile(rb"^([A-Za-z-]+): (.*)$", re.M)
 
 
-def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, header and block of every record of an archive."""
+def _members(content: memoryview) -> Iterator[tuple[int, bytes]]:
+    """End and content of every gzip member."""
     at = 0
     while at < len(content):
-        split = content.index(b"\r\n\r\n", at)
-        head = {k.decode(): v.rstrip(b"\r").decode("utf-8", "replace") for k, v in _HEAD.findall(content[at:split])}
+        plain, parts, step = zlib.decompressobj(_GZIP), [], 4096
+        while not plain.eof:
+            piece = content[at:at + step]
+            if not len(piece):
+                raise ValueError("the archive breaks off within a record")
+            parts.append(plain.decompress(piece))
+            at += len(piece) - len(plain.unused_data)
+            step = min(step * 2, 1 << 20)
+        yield at, b"".join(parts)
+
+
+def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, header and block of every record of an archive, or of any stretch of whole records."""
+    start, text = 0, b""
+    for end, part in _members(memoryview(content)):
+        text += part
+        split = text.index(b"\r\n\r\n")
+        head = {k.decode(): v.rstrip(b"\r").decode("utf-8", "replace") for k, v in _HEAD.findall(text[:split])}
         size = int(head["Content-Length"])
-        end = split + 4 + size + len(END)
-        yield at, end - at, head, content[split + 4:split + 4 + size]
-        at = end
+        if len(text) == split + 4 + size + len(END):
+            yield start, end - start, head, text[split + 4:split + 4 + size]
+            start, text = end, b""
+    if text:
+        raise ValueError("the archive breaks off within a record")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One index entry per record, file by file; offsets are within the decompressed file, digests are taken anew.
+    """One index entry per record, file by file; offset and length are of its bytes in the file, digests are taken anew.
 
     A response whose payload does not have the digest of its header raises an error.
     """
@@ -148,7 +211,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
-                for offset, length, head, block in parse(gzip.decompress(content.as_py())):
+                for offset, length, head, block in parse(content.as_buffer()):
                     digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["WARC-Payload-Length"])
                     if head["WARC-Type"] == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4:]
@@ -203,10 +266,12 @@ def merged(entries: DataFrame) -> DataFrame:
     """The capture history: entries in the order of URL key, time and id, over all partitions one after another.
 
     ``entries`` come in runs, one per file and sorted within it. Ranges also split a URL with very many
-    captures; null ids come first. A range's entries, without payloads, are what a task holds.
+    captures; null ids come first. A range's entries, without payloads, are what a task holds: about ``RANGE_ROWS``,
+    since the number of ranges follows the number of entries.
     """
     runs = stored(entries, "runs")
-    ranged = runs.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("file", "offset")
+    ranges = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // RANGE_ROWS))
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "file", "offset").sortWithinPartitions("file", "offset")
 
     names = runs.columns
 
@@ -229,11 +294,13 @@ def merged(entries: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names))
 
 
-def archive(pages: DataFrame, folder: str, time: Column | None = None, records: int = 500) -> DataFrame:
+def archive(
+    pages: DataFrame, folder: str, time: Column | None = None, records: int = 500, size: int = ARCHIVE_BYTES
+) -> DataFrame:
     """Write pages as archives below ``folder``, read them back and merge their index.
 
     One row per page in the order of URL key, time and id, with the columns of ``CAPTURE``; empty input
-    gives no rows, and columns beside ``page_id, url, html`` are not read.
+    gives no rows, and columns beside ``page_id, url, html`` are not read. Payloads of any length are archived whole.
     """
-    write_archives(captures(pages, time), folder, records)
+    write_archives(captures(pages, time), folder, records, size)
     return merged(read_archives(pages.sparkSession, folder))

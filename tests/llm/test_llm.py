@@ -1,6 +1,7 @@
 """The llm operators against brute force, on small tables with nulls, ties, repeated rows and long texts."""
 
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -571,6 +572,40 @@ def test_warc(spark):
     assert warc.archive(frame.limit(0), storage.scratch_folder(spark, "warc")).count() == 0
 
 
+def test_records_are_fetched_by_their_index(spark):
+    """Every entry's file, offset and length lead to its record alone, in archives capped by records and by bytes."""
+    pick = random.Random(3)
+    texts = ["".join(chr(pick.randrange(32, 0x3000)) for _ in range(pick.choice([0, 40, 900]))) for _ in range(40)]
+    texts += [texts[2] + "\0\x1f\x8b\r\n\r\n" * 30] * 3 + ["z" * (17 << 20), None, ""]
+    pages = [(i, f"http://h{i % 7}.org/{i}", t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    folder = storage.scratch_folder(spark, "warc")
+    rows = warc.archive(frame, folder, records=5, size=2000).collect()
+    files, times = {}, collections.Counter()
+    assert sorted(r.page_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        content = files.setdefault(r.file, open(r.file.removeprefix("file:").replace("//", "/"), "rb").read())
+        times[r.file] += 1
+        part = content[r.offset:r.offset + r.length]
+        [(start, length, head, block)] = warc.parse(part)
+        assert (start, length, head["WARC-Record-ID"]) == (0, r.length, f"<urn:page:{r.page_id}>")
+        assert gzip.decompress(part).endswith(block + b"\r\n\r\n")
+        payload = (texts[r.page_id] or "").encode()
+        if r.record_type == "response":
+            assert block.endswith(b"\r\n\r\n" + payload) and head.get("WARC-Refers-To-Target-URI") is None
+        else:
+            first = r.refers_to
+            assert block == b"" and texts[first] == texts[r.page_id] and head["WARC-Refers-To-Target-URI"] == pages[first][1]
+            assert head["WARC-Refers-To-Date"] == next(x.captured for x in rows if x.page_id == first)
+    assert max(times.values()) <= 5 and len(files) > 10
+    for name, content in files.items():
+        own = sorted((r.offset, r.length) for r in rows if r.file == name)
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(own[-1]) == len(content)
+        assert sum(n for _, n in own[:-1]) < 2000
+    with pytest.raises(ValueError):
+        list(warc.parse(content[:-1]))
+
+
 @pytest.mark.parametrize("sizes", [[], [0], [3], [2, 0, 5], [1] * 9, [7, 7, 7, 1]])
 def test_loser_tree(sizes):
     pick = random.Random(4)
