@@ -72,6 +72,16 @@ def _with_key(entries: DataFrame, signals: list[Signal]) -> DataFrame:
     return entries.withColumn("key", F.when(F.col("raw") != "", key))
 
 
+def mention_keys(df: DataFrame, signals: list[Signal], *carry: str) -> DataFrame:
+    """One row per mention with its ``raw`` spelling and ``key``, which is NULL for entries to be dropped."""
+    return _with_key(_entries(df, signals, *carry), signals)
+
+
+def shown_names(signals: list[Signal]) -> Column:
+    """The name of a ``key`` whose smallest spelling is ``raw``."""
+    return _per_signal(signals, lambda s: s.shown(F.col("key"), F.col("raw")))
+
+
 def entry_counts(df: DataFrame, signals: list[Signal] | None = None) -> DataFrame:
     """Mentions per raw entry, with its key and name. Needs ``country_iso3`` and ``era``.
 

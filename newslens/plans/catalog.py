@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newslens import schemas
 from newslens.functions import fields, labels, titles
-from newslens.operators import coverage, feed, filters, frames, geo, rankings, timeline, topics
+from newslens.operators import candidates, coverage, feed, filters, frames, geo, rankings, timeline, topics
 from newslens.plans import batch, jobs, views, warehouse as w
 from newslens.sources import articles as article_store, datasets, storage
 from newslens.streaming import daily as daily_stream
@@ -610,6 +610,13 @@ def build_topics(spark, folder):
     return jobs.build_topics(w.articles(spark, folder), STOPS, w.BOUNDARIES, threshold=MIN_MENTIONS)
 
 
+def build_topics_candidates(spark, folder):
+    """Only candidates are counted everywhere; summaries small enough that some buckets have to be counted in full."""
+    articles = jobs.topic_articles(w.articles(spark, folder), w.BOUNDARIES)
+    signals = topics.default_signals(STOPS)
+    return candidates.top_topics(articles, signals, threshold=MIN_MENTIONS, tracked=2_000)
+
+
 def build_topics_distinct(spark, folder):
     """Distinct articles at all grains, with a threshold that some countries miss."""
     return jobs.build_topics(

@@ -573,6 +573,7 @@ WHERE scope = 'country' AND country_iso3 = 'USA' AND bucket = '1' AND position <
     # Composite jobs
     sql["build_coverage"] = sql["forward_fill"]
     sql["build_topics"] = _with(_ranked(4800), TOPIC_COLUMNS)
+    sql["build_topics_candidates"] = sql["build_topics"]
     sql["build_topics_distinct"] = _with(_distinct_ranked(500), TOPIC_COLUMNS)
     sql["build_feed"] = _with(_feed_rows(700, 320), "SELECT * FROM feed")
     smoothed = _smooth("timeline", 90).replace("round(coalesce(", "(coalesce(").replace(", 0), 0), 8)", ", 0), 0))")
