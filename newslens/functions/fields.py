@@ -1,5 +1,7 @@
 """Parsing and formatting of article fields."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -10,6 +12,11 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a.cast("bigint"), F.lit(b).cast("bigint"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: a one-element transform binds it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def packed_date(packed: Column) -> Column:
     """Integer ``YYYYMMDDHHMMSS`` (or ``YYYYMMDD``) to DATE, by arithmetic instead of text parsing.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from newslens import dims
-from newslens.functions.fields import title_case, trimmed
+from newslens.functions.fields import once, title_case, trimmed
 
 MIN_THEME_LENGTH = 3
 MAX_THEME_WORDS = 4
@@ -31,14 +31,16 @@ def theme_key(
     for prefix in reversed(strip_prefixes):
         rest = F.substr(code, F.lit(len(prefix) + 1))
         stripped = F.when(F.startswith(code, F.lit(prefix)), rest).otherwise(stripped)
-    key = F.lower(trimmed(F.translate(stripped, "_", " ")))
+
+    def usable(key):
+        blanks = F.char_length(key) - F.char_length(F.replace(key, F.lit(" "), F.lit("")))
+        return F.when(
+            (F.char_length(key) >= MIN_THEME_LENGTH) & (blanks < MAX_THEME_WORDS) & ~key.isin(*stop_labels), key
+        )
+
     return F.when(
-        theme_family_kept(code, drop_prefixes)
-        & (F.translate(code, "0123456789", "") == code)
-        & (F.char_length(key) >= MIN_THEME_LENGTH)
-        & (F.size(F.split(key, " ")) <= MAX_THEME_WORDS)
-        & ~key.isin(*stop_labels),
-        key,
+        theme_family_kept(code, drop_prefixes) & (F.translate(code, "0123456789", "") == code),
+        once(F.lower(trimmed(F.translate(stripped, "_", " "))), usable),
     )
 
 
@@ -49,5 +51,6 @@ def theme_label(code: Column, **rules) -> Column:
 
 def org_key(raw: Column, stops=dims.ORG_STOPS) -> Column:
     """Lower-case organisation, unless it is too short or on the stop list."""
-    key = F.lower(trimmed(raw))
-    return F.when((F.char_length(key) >= MIN_ORG_LENGTH) & ~key.isin(*stops), key)
+    return once(
+        F.lower(trimmed(raw)), lambda key: F.when((F.char_length(key) >= MIN_ORG_LENGTH) & ~key.isin(*stops), key)
+    )

@@ -81,8 +81,12 @@ def candidates(placed: DataFrame, n: int, tracked: int = TRACKED, spare: int = S
 
 
 def counted(mentions: DataFrame, signals: list[topics.Signal]) -> DataFrame:
-    """Mentions per (signal, country, era, key) with the smallest spelling's name."""
-    sums = mentions.groupBy(*FINEST, "key").agg(F.min("raw").alias("raw"), F.count("*").alias("count"))
+    """Mentions per (signal, country, era, key) with the smallest spelling's name.
+
+    Spellings are counted first, by hashing; the smallest of a key's is sought among the distinct ones.
+    """
+    spelt = mentions.groupBy(*FINEST, "key", "raw").agg(F.count("*").alias("count"))
+    sums = spelt.groupBy(*FINEST, "key").agg(F.min("raw").alias("raw"), F.sum("count").alias("count"))
     return sums.select(*FINEST, "key", topics.shown_names(signals).alias("name"), "count")
 
 

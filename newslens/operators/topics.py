@@ -73,8 +73,18 @@ def _with_key(entries: DataFrame, signals: list[Signal]) -> DataFrame:
 
 
 def mention_keys(df: DataFrame, signals: list[Signal], *carry: str) -> DataFrame:
-    """One row per mention with its ``raw`` spelling and ``key``, which is NULL for entries to be dropped."""
-    return _with_key(_entries(df, signals, *carry), signals)
+    """One row per mention with its ``raw`` spelling and ``key``, which is NULL for entries to be dropped.
+
+    Entries are cleaned inside their article's array, so that each is cleaned once: a filter on the key of exploded
+    entries would move below the cleaning and repeat it, with the spelling derived anew at every use.
+    """
+    def cleaned(s: Signal) -> Column:
+        entries = F.filter(F.split(s.column, ";"), lambda entry: s.keep(entry))
+        spelt = F.transform(entries, lambda entry: fields.trimmed(F.substring_index(entry, ",", 1)))
+        return F.transform(spelt, lambda raw: F.struct(raw.alias("raw"), F.when(raw != "", s.key(raw)).alias("key")))
+
+    found = F.array(*[F.struct(F.lit(s.name).alias("signal"), cleaned(s).alias("_entries")) for s in signals])
+    return df.select(*carry, F.inline(found)).select(*carry, "signal", F.inline("_entries"))
 
 
 def shown_names(signals: list[Signal]) -> Column:
@@ -173,15 +183,12 @@ def mention_counts(
         counted = entry_counts(df, signals).groupBy(*keys)
         merged = counted.agg(F.min("name").alias("name"), F.sum("count").alias("count"))
         return merged.filter(F.col("count").isNotNull())
-    entries = _entries(df, signals, "country_iso3", "era", "DocumentIdentifier")
+    # A caller that drops the name is counted by hashing: a smallest text would have every mention sorted.
     return (
-        _with_key(entries, signals)
+        mention_keys(df, signals, "country_iso3", "era", "DocumentIdentifier")
+        .filter(F.col("key").isNotNull())
         .groupBy(*keys)
-        .agg(
-            F.min(F.when(F.col("key").isNotNull(), F.col("raw"))).alias("_raw"),
-            F.count_distinct("DocumentIdentifier").alias("count"),
-        )
-        .filter(F.col("_raw").isNotNull())
+        .agg(F.min("raw").alias("_raw"), F.count_distinct("DocumentIdentifier").alias("count"))
         .select(
             *keys,
             _per_signal(signals, lambda s: s.shown(F.col("key"), F.col("_raw"))).alias("name"),

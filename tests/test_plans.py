@@ -116,3 +116,20 @@ def test_no_python_workers_and_no_cross_joins(spark, plan, name):
     text = plan(catalog.registered()[name](spark, FOLDER))
     for banned in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert banned not in text, banned
+
+
+def test_a_mention_is_cleaned_once(raw, plan):
+    signals = topics.default_signals()
+    kept = topics.mention_keys(jobs.topic_articles(raw), signals, "country_iso3", "era").filter(F.col("key").isNotNull())
+    # The spelling and the key of each signal, the outlet's name and its label.
+    assert plan(kept).count("trim(") <= 2 * len(signals) + 2
+
+
+def test_distinct_mentions_without_names_are_hashed(raw, plan):
+    counted = topics.mention_counts(jobs.topic_articles(raw), distinct_articles=True).drop("name")
+    assert "SortAggregate" not in plan(counted)
+
+
+def test_texts_of_a_part_are_made_before_the_join(spark, plan):
+    text = plan(w.articles(spark, FOLDER).select("DocumentIdentifier"))
+    assert text.index("Join") < text.index("wire.example") and text.count("wire.example") == 1
