@@ -16,6 +16,7 @@ _SLICE_BITS = 12  # a date is cut into 4,096 slices in the even sample
 _PLACE_DIGITS = 12   # hex digits of the sample key that place an article
 _MARGIN, _SPARE = 1.25, 100  # a first guess keeps this factor and these many articles more
 _ESTIMATE_ERROR = 0.02
+_BEYOND = "g"  # after every hex digit
 
 
 def sample_key(*keys, seed: int = SEED) -> Column:
@@ -45,27 +46,28 @@ def cutoff(histogram: DataFrame, n: int, bucket: str, size: str) -> DataFrame:
     )
 
 
-def _near_the_first(hashed: DataFrame, n: int, key: str) -> DataFrame:
+def _near_the_first(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """Drop the rows that cannot be among the first n distinct keys in sample order.
 
     A sketch of the number of distinct keys, merged from one small state per task, gives a place up to
     which about ``n * _MARGIN + _SPARE`` keys lie; those alone are then counted exactly, and if they
-    are fewer than n, or the place is the end, every row is kept.
+    are fewer than n, or the place is the end, every row is kept. Places are compared as hex digits, and the
+    sketch hashes no key for the order.
     """
     space = 16**_PLACE_DIGITS
-    place = F.conv(F.substring("_key", 1, _PLACE_DIGITS), 16, 10).cast("bigint")
     keys = F.greatest(F.lit(1), F.approx_count_distinct(key, _ESTIMATE_ERROR))
-    guess = hashed.agg(
-        F.ceil(F.least(F.lit(float(space)), F.lit(space * (n * _MARGIN + _SPARE)) / keys)).alias("guess")
-    ).scalar()
+    reach = F.ceil(F.least(F.lit(float(space)), F.lit(space * (n * _MARGIN + _SPARE)) / keys)).cast("bigint")
+    digits = F.lpad(F.lower(F.hex(reach)), _PLACE_DIGITS, "0")
+    guess = df.agg(F.when(reach >= space, _BEYOND).otherwise(digits).alias("guess")).scalar()
+    place = F.substring(sample_key(key, seed=seed), 1, _PLACE_DIGITS)
     # Where all articles are wanted the hash is not even computed: the cheap test comes first.
     enough = (
-        hashed.filter((guess < F.lit(space)) & (place < guess))
+        df.filter((guess < F.lit(_BEYOND)) & (place < guess))
         .agg((F.count_distinct(F.xxhash64(key)) >= n).alias("enough"))
         .scalar()
     )
-    cut = F.when(enough, guess).otherwise(F.lit(space))
-    return hashed.filter((cut >= F.lit(space)) | (place < cut))
+    cut = F.when(enough, guess).otherwise(_BEYOND)
+    return df.filter((cut >= F.lit(_BEYOND)) | (place < cut))
 
 
 def dedupe_articles(
@@ -97,10 +99,8 @@ def pool_sample(
     the de-duplication: only about n articles are ever shuffled, whole or as a hash. Distinct keys
     are counted by a 64-bit hash; a collision could only move the cutoff up.
     """
-    hashed = df.withColumn("_key", sample_key(key, seed=seed))
-    near = _near_the_first(hashed, n, key).drop("_key")
     return (
-        dedupe_articles(near, key, order)
+        dedupe_articles(_near_the_first(df, n, key, seed), key, order)
         .withColumns({**(derive or {}), "_key": sample_key(key, seed=seed)})
         .orderBy("_key", key)
         .limit(n)

@@ -133,3 +133,7 @@ def test_distinct_mentions_without_names_are_hashed(raw, plan):
 def test_texts_of_a_part_are_made_before_the_join(spark, plan):
     text = plan(w.articles(spark, FOLDER).select("DocumentIdentifier"))
     assert text.index("Join") < text.index("wire.example") and text.count("wire.example") == 1
+
+
+def test_places_of_the_sample_are_compared_as_digits(raw, plan):
+    assert "conv(" not in plan(feed.pool_sample(jobs.feed_articles(raw), 20))
