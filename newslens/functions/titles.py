@@ -1,8 +1,8 @@
 """Headline text from an article URL."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from newslens.functions.fields import title_case
+from newslens.functions.fields import once, title_case
 
 # What counts as a readable slug.
 EXTENSION = r"(?i)\.(html?|php|aspx?|shtml|jsp)$"
@@ -25,8 +25,11 @@ def last_segment(url: Column) -> Column:
 
 def percent_decode(text: Column) -> Column:
     """Percent-decode; a plus sign and malformed escapes stay as they are."""
-    guarded = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.try_url_decode(guarded)
+    def decoded(t):
+        guarded = F.regexp_replace(F.replace(t, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+        return F.when(F.contains(t, F.lit("%")), F.try_url_decode(guarded)).otherwise(t)
+
+    return once(text, decoded)
 
 
 def url_title(url: Column) -> Column:
@@ -34,18 +37,27 @@ def url_title(url: Column) -> Column:
     tokens = F.split(F.translate(percent_decode(last_segment(url)), "_.", "--"), "-")
 
     def is_word(t):
-        number = t.rlike(r"^\d+$")
-        return (number & (F.char_length(t) <= MAX_NUMBER_DIGITS)) | (
-            ~number & ~t.rlike(HEX_ID) & t.rlike(LETTER)
+        # A number holds no letter, and most tokens do.
+        return F.when(t.rlike(LETTER), ~t.rlike(HEX_ID)).otherwise(
+            t.rlike(r"^\d+$") & (F.char_length(t) <= MAX_NUMBER_DIGITS)
         )
 
     def headline(words):
         n_alpha = F.size(F.filter(words, lambda t: t.rlike(LETTER)))
-        title = F.trim(F.array_join(words, " "))
         lo, hi = TITLE_LENGTH
-        return F.when(
-            (n_alpha >= MIN_ALPHA_WORDS) & F.char_length(title).between(lo, hi), title_case(title)
+        readable = once(
+            F.trim(F.array_join(words, " ")),
+            lambda title: F.when(F.char_length(title).between(lo, hi), title_case(title)),
         )
+        return F.when(n_alpha >= MIN_ALPHA_WORDS, readable)
+
+    return once(F.filter(tokens, is_word), headline)
+
+
+def with_title(df: DataFrame, url: str, *carry: str) -> DataFrame:
+    """The ``carry`` columns and the ``title`` of every row that has one.
 
-    # A one-element transform binds the words, so that they are derived once and not per use.
-    return F.element_at(F.transform(F.array(F.filter(tokens, is_word)), headline), 1)
+    The title is generated, and so derived once: a filter on a computed column would repeat it below.
+    """
+    titled = F.inline(F.array(F.struct(url_title(F.col(url)).alias("title"))))
+    return df.select(*carry, titled).filter(F.col("title").isNotNull())

@@ -497,10 +497,7 @@ def first_match(spark, folder):
 
 def url_title(spark, folder):
     """Headlines from the sentences of all documents, with the number of documents each is in."""
-    titled = w.sentence_urls(spark, folder).select(
-        "doc_id", titles.url_title(F.col("url")).alias("title")
-    )
-    return titled.filter(F.col("title").isNotNull()).groupBy("title").agg(
+    return titles.with_title(w.sentence_urls(spark, folder), "url", "doc_id").groupBy("title").agg(
         F.count("*").alias("records"), F.count_distinct("doc_id").alias("documents")
     )
 

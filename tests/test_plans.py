@@ -137,3 +137,7 @@ def test_texts_of_a_part_are_made_before_the_join(spark, plan):
 
 def test_places_of_the_sample_are_compared_as_digits(raw, plan):
     assert "conv(" not in plan(feed.pool_sample(jobs.feed_articles(raw), 20))
+
+
+def test_titles_are_derived_once(spark, plan):
+    assert plan(catalog.url_title(spark, FOLDER)).count("UrlCodec") == 1
