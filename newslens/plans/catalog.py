@@ -9,6 +9,7 @@ from newslens import schemas
 from newslens.functions import fields, labels, titles
 from newslens.operators import candidates, coverage, feed, filters, frames, geo, rankings, timeline, topics
 from newslens.plans import batch, jobs, views, warehouse as w
+from newslens.session import case_sensitive
 from newslens.sources import articles as article_store, datasets, storage
 from newslens.streaming import daily as daily_stream
 
@@ -233,7 +234,8 @@ def partition_range(spark, folder):
 
 
 def parse_packed_date(spark, folder):
-    return w.articles(spark, folder).select(
+    """``DATE`` and ``date`` differ by case alone: only a session that minds case can name them, or store both."""
+    return w.articles(case_sensitive(spark), folder).select(
         "DATE", fields.packed_date(F.col("DATE")).alias("date"),
         fields.iso_date_text(fields.packed_date(F.col("DATE"))).alias("date_text"),
     )

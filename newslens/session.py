@@ -15,6 +15,19 @@ def temporary_folder() -> str:
     return folder
 
 
+def case_sensitive(spark: SparkSession) -> SparkSession:
+    """A second session of the same application that tells column names apart by case; ``spark`` stays as it is.
+
+    All other settings are those of ``spark``. Temporary views are not shared.
+    """
+    other = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            other.conf.set(name, value)
+    other.conf.set("spark.sql.caseSensitive", "true")
+    return other
+
+
 def local_session(name: str = "newslens", cpus: int | None = None) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     spark = (

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from newslens import dims, schemas
 from newslens.operators import coverage
-from newslens.plans import batch, jobs, views
+from newslens.plans import batch, catalog, jobs, views
+from newslens.session import case_sensitive
 from newslens.sources import articles, datasets, storage
 
 
@@ -238,3 +239,18 @@ def test_run_topic(spark, table, tmp_path):
     assert datasets.read_topics(spark, paths["topics"]).count() > 0
     timeline = datasets.read_json_artifact(spark, paths["timeline"], "date date, avg_tone double, article_count long", lines=True)
     assert timeline.count() == 5
+
+
+def test_names_that_differ_by_case_can_be_stored(spark, tmp_path):
+    """A session that ignores case refuses to store ``DATE`` beside ``date``; the given one is left as it is."""
+    line = spark.sql("SELECT 0L l_partkey, 0L l_suppkey, 1 l_linenumber, 5e4D l_extendedprice, 0.1D l_discount, DATE '1996-02-03' l_shipdate")
+    part = spark.sql("SELECT 0L p_partkey, 'hot rod' p_name, 'Brand#1' p_brand, 'PROMO' p_type, 3 p_size")
+    supplier = spark.sql("SELECT 0L s_suppkey, 'Supplier#1' s_name, 7 s_nationkey")
+    for name, table in (("lineitem", line), ("part", part), ("supplier", supplier)):
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    made, stored = catalog.parse_packed_date(spark, str(tmp_path)), str(tmp_path / "stored")
+    assert made.columns == ["DATE", "date", "date_text"]
+    made.write.parquet(stored)
+    back = case_sensitive(spark).read.parquet(stored).select("date_text", "date", "DATE").collect()
+    assert [tuple(r) for r in back] == [("1996-02-03", dt.date(1996, 2, 3), 19960203013015)]
+    assert spark.conf.get("spark.sql.caseSensitive") == "false" and spark.range(1).selectExpr("ID").columns == ["ID"]
