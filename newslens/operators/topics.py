@@ -118,38 +118,40 @@ def entry_counts(df: DataFrame, signals: list[Signal] | None = None) -> DataFram
 def distinct_rollup(df: DataFrame, signals: list[Signal], measured: str, eras: int) -> DataFrame:
     """What :func:`topic_rollup` gives ``with_totals``, without names and with articles counted instead of mentions.
 
-    An article counts once per bucket, however many eras, countries or spellings hold it. A pair of key and article
-    carries its eras as the bits of one number, so it is shuffled once per country and once over all
-    of them, and not once per grain: the bits are merged by ``or`` and every bucket's count is a sum of bits.
-    All buffers are numbers, so Spark aggregates by hashing. Totals count the articles of a country that hold any
-    kept entry of ``measured``. An article without an identifier counts for none.
+    An article counts once per bucket, however many eras, countries or spellings hold it. The records are shuffled by
+    article, texts unsplit; all that is grouped by article is then grouped where it lies, and only the sums are shuffled
+    again. Every grain comes of one pass: a pair of key and article carries its eras as the bits of one number, which are
+    merged by ``or``, and every bucket's count is a sum of bits. All buffers are numbers, so Spark aggregates by hashing.
+    Totals count the articles of a country that hold any kept entry of ``measured``. An article without an identifier
+    counts for none.
     """
-    entries = _entries(df.filter(F.col("DocumentIdentifier").isNotNull()), signals, "country_iso3", "era", "DocumentIdentifier")
-    article = ["DocumentIdentifier", "country_iso3"]
-    spelt = entries.groupBy("signal", "raw", *article).agg(F.expr("bit_or(shiftleft(1L, era))").alias("eras"))
-    # Cleaned after repeated mentions have collapsed. Dropped entries keep a null key: a filter on it would move
-    # below the sums, and the regexes with it.
-    pairs = _with_key(spelt, signals).groupBy("signal", "key", *article).agg(F.bit_or("eras").alias("eras"))
-    anywhere = pairs.groupBy("signal", "key", "DocumentIdentifier").agg(F.bit_or("eras").alias("eras"))
-    nowhere = F.lit(None).cast("string").alias("country_iso3")
-
-    def counted(rows: DataFrame, scope: str, *keys: str) -> DataFrame:
-        in_era = [F.sum(F.shiftright("eras", e).bitwiseAND(F.lit(1))).alias(f"_{e}") for e in range(eras)]
-        sums = rows.groupBy(*keys, "signal", "key").agg(F.count("*").alias("_all"), *in_era)
-        buckets = [F.struct(F.lit(str(b)).alias("bucket"), F.col(f"_{b}").alias("count")) for b in ("all", *range(eras))]
-        flat = sums.select(F.lit(scope).alias("scope"), *(keys or [nowhere]), "signal", "key", F.inline(F.array(*buckets)))
-        return flat.filter(F.col("count") > F.when(F.col("key").isNull(), F.col("count")).otherwise(0))
-
-    # Of the same shuffle: an aggregate of its rows cannot be moved below it, and one of all its columns needs no other.
-    asked = F.when((F.col("signal") == measured) & F.col("key").isNotNull(), F.col("eras")).otherwise(0)
-    holders = pairs.groupBy(*article).agg(F.bit_or(asked).alias("held"))
-    totals = holders.groupBy("country_iso3").agg(F.count_if(F.col("held") != 0).alias("count")).select(
-        F.lit("total").alias("scope"), "country_iso3", F.lit(measured).alias("signal"), F.lit(None).cast("string").alias("key"),
-        F.lit("all").alias("bucket"), "count",
+    here = df.filter(F.col("DocumentIdentifier").isNotNull()).select(
+        "DocumentIdentifier", "country_iso3", "era", *[s.column for s in signals]
+    ).repartition("DocumentIdentifier")
+    entries = _entries(here, signals, "DocumentIdentifier", "country_iso3", "era")
+    spelt = entries.groupBy("DocumentIdentifier", "country_iso3", "signal", "raw").agg(F.expr("bit_or(shiftleft(1L, era))").alias("eras"))
+    # Cleaned after repeated mentions have collapsed. Dropped entries keep a null key, and no eras below: a filter on the key
+    # would move below the sums, and the cleaning with it.
+    pairs = _with_key(spelt, signals)
+
+    def grain(scope: str, country: Column, key: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), country.alias("country_iso3"), key.alias("key"))
+
+    nothing, country, key = F.lit(None).cast("string"), F.col("_country"), F.col("_key")
+    everywhere, there = grain("global", nothing, key), grain("country", country, key)
+    grains = (
+        F.when(~F.coalesce(fields.valid_country(country), F.lit(False)), F.array(everywhere))
+        .when(F.col("signal") == measured, F.array(everywhere, there, grain("total", country, nothing)))
+        .otherwise(F.array(everywhere, there))
     )
-    per_country = counted(pairs, "country", "country_iso3").unionByName(totals.filter(F.col("count") > 0))
-    valid = F.when(F.col("count") > 0, fields.valid_country(F.col("country_iso3")))
-    return counted(anywhere, "global").unionByName(per_country.filter(valid))
+    kept = F.when(key.isNotNull(), F.col("eras")).otherwise(0).alias("eras")
+    placed = pairs.withColumnsRenamed({"country_iso3": "_country", "key": "_key"}).select("DocumentIdentifier", "signal", kept, F.inline(grains))
+    held = placed.groupBy("DocumentIdentifier", "scope", "country_iso3", "signal", "key").agg(F.bit_or("eras").alias("eras"))
+    in_era = [F.sum(F.shiftright("eras", e).bitwiseAND(F.lit(1))).alias(f"_{e}") for e in range(eras)]
+    sums = held.groupBy("scope", "country_iso3", "signal", "key").agg(F.count_if(F.col("eras") != 0).alias("_all"), *in_era)
+    buckets = [F.struct(F.lit(str(b)).alias("bucket"), F.col(f"_{b}").alias("count")) for b in ("all", *range(eras))]
+    counted = sums.select("scope", "country_iso3", "signal", "key", F.inline(F.array(*buckets)))
+    return counted.filter((F.col("count") > 0) & ((F.col("scope") != "total") | (F.col("bucket") == "all")))
 
 
 def with_names(listed: DataFrame, df: DataFrame, signals: list[Signal]) -> DataFrame:

@@ -81,6 +81,14 @@ def test_distinct_topics_shuffle_pairs_once_per_country(raw):
     assert not any("SortAggregate" in x and "DocumentIdentifier" in x for x in text.splitlines())
 
 
+def test_distinct_topics_shuffle_records_and_not_their_entries(raw):
+    """Of all that holds articles only the records are shuffled, once and before they are split; then only sums."""
+    lines = executed(jobs.build_topics(raw, ["x"], w.BOUNDARIES, distinct_articles=True)).splitlines()
+    moved = [i for i, x in enumerate(lines) if re.search(r"- Exchange .*DocumentIdentifier", x)]
+    split = [i for i, x in enumerate(lines) if "Generate explode" in x and "DocumentIdentifier" in x]
+    assert len(moved) == 1 and split and max(split) < moved[0]
+
+
 def test_feed_samples_before_it_shuffles_whole_rows(raw, plan):
     df = jobs.build_feed(raw, pool=10)
     text = plan(df)
